@@ -191,6 +191,7 @@ feature_query(
         "volume_price_trend": f"vc / nullif({lag('vc')}, 0) - 1",
     },
     base="SELECT *, volume * close AS vc FROM raw",
+    places=7,
 )
 feature_query(
     "impact",

@@ -6,9 +6,10 @@ derived from these tables. Every view is a lazy DataFrame over the whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.plans.scan import running
 from tickloom.session import configure
 
 
@@ -25,15 +26,15 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tick_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tick as its own bar (unique per symbol and instant), for long series."""
-    value = F.col("value")
+    value, size = F.col("value"), F.get_json_object("props", "$.k").cast("double")
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"),
         "ts",
-        F.round(value * 0.99, 4).alias("open"),
-        F.round(value * 1.02, 4).alias("high"),
-        F.round(value * 0.97, 4).alias("low"),
+        F.round(value * 0.99, 6).alias("open"),
+        F.round(value * (1.01 + size / 1000), 6).alias("high"),
+        F.round(value * (0.99 - size / 1000), 6).alias("low"),
         value.alias("close"),
-        F.get_json_object("props", "$.k").cast("double").alias("volume"),
+        size.alias("volume"),
     )
 
 
@@ -105,7 +106,7 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Executed order legs: price, execution price and fee per line item."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("run_id"),
+        run_id(F.col("l_suppkey")).alias("run_id"),
         F.col("l_shipdate").alias("timestamp"),
         F.col("l_returnflag").alias("symbol"),
         F.when(F.col("l_linestatus") == "O", "buy").otherwise("sell").alias("action"),
@@ -130,6 +131,47 @@ def tick_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_id(key: Column) -> Column:
+    return F.concat(F.lit("run-"), F.lpad(key.cast("string"), 8, "0"))
+
+
+def leg_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly closes of the symbols :func:`tick_legs` trades."""
+    legs_df = tick_legs(spark, sf_dir)
+    return legs_df.groupBy("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(
+        F.max_by("price", F.struct("ts", "event_id")).alias("close")
+    )
+
+
+def equity_by(spark: SparkSession, sf_dir: str, key: str, capital: float = 1_000_000.0) -> DataFrame:
+    """Daily equity per strategy (or run): capital plus realised P&L to date."""
+    daily = trades(spark, sf_dir).groupBy(key, F.col("exit_time").alias("timestamp")).agg(
+        F.round(F.sum("pnl"), 4).alias("pnl")
+    )
+    out = running(daily, [key], ["timestamp"], {"_total": ("sum", F.col("pnl"))})
+    return out.select(key, "timestamp", F.round(capital + F.col("_total"), 4).alias("portfolio_value"))
+
+
+def signals(labelled: DataFrame) -> DataFrame:
+    """Signal records of labelled bars, some deliberately inconsistent."""
+    size, close = F.col("volume"), F.col("close")
+    return labelled.select(
+        "symbol",
+        "ts",
+        F.upper("signal").alias("signal_type"),
+        F.when(size < 25, "WEAK").when(size < 50, "MODERATE").when(size < 75, "STRONG").otherwise("EXTREME").alias("signal_strength"),
+        F.when(F.col("strategy") == "trend", "REGIME_DETECTION")
+        .when(F.col("strategy").isNull(), "RISK_MANAGEMENT")
+        .otherwise("TECHNICAL_INDICATOR")
+        .alias("signal_source"),
+        (size / 100).alias("confidence_score"),
+        F.when(size != 33, close).alias("entry_price"),
+        F.when(size >= 10, size).alias("position_size"),
+        F.when(size == 12, 0.0).otherwise(close * (0.8 + size / 300)).alias("stop_loss"),
+        (close * (1.2 - size / 400)).alias("take_profit"),
+    )
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One back-test run per supplier, summarised from its line items."""
     line = table(spark, sf_dir, "lineitem")
@@ -160,7 +202,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     capital = F.lit(1_000_000.0)
     return stats.join(held, "run_key", "left").select(
-        F.concat(F.lit("run-"), F.lpad(F.col("run_key").cast("string"), 8, "0")).alias("run_id"),
+        run_id(F.col("run_key")).alias("run_id"),
+        "run_key",
         "finished_at",
         "total_trades",
         "winning_trades",
