@@ -132,21 +132,21 @@ def round_trip_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "trade_summary",
     f"""WITH {TRADES} SELECT strategy, count(*) AS total_trades, count(*) FILTER (pnl > 0) AS winning_trades, count(*) FILTER (pnl < 0) AS losing_trades,
-    count(*) FILTER (pnl = 0) AS break_even_trades, {rnd('sum(pnl)', 3)} AS total_pnl, {rnd('avg(pnl)')} AS average_pnl, {rnd('stddev_pop(pnl)')} AS pnl_std,
+    count(*) FILTER (pnl = 0) AS break_even_trades, {rnd('sum(pnl)', 4)} AS total_pnl, {rnd('avg(pnl)')} AS average_pnl, {rnd('stddev_pop(pnl)')} AS pnl_std,
     max(pnl) AS best_trade, min(pnl) AS worst_trade, {rnd('coalesce(avg(pnl) FILTER (pnl > 0), 0)')} AS average_win,
     {rnd('coalesce(avg(pnl) FILTER (pnl < 0), 0)')} AS average_loss, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols FROM trades GROUP BY 1""",
 )
 def trade_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = pf.trade_summary(trades(spark, sf_dir), ["strategy"])
-    return r6(r6(df, "average_pnl", "pnl_std", "average_win", "average_loss"), "total_pnl", places=3).drop("strategies")
+    return r6(r6(df, "average_pnl", "pnl_std", "average_win", "average_loss"), "total_pnl", places=4).drop("strategies")
 
 
 @query(
     "monthly_pnl",
-    f"""WITH {TRADES} SELECT strftime(exit_time, '%Y-%m') AS month, {rnd('sum(pnl)', 3)} AS pnl_sum, round(avg(pnl), 4) AS pnl_mean, count(pnl) AS pnl_count FROM trades GROUP BY 1""",
+    f"""WITH {TRADES} SELECT strftime(exit_time, '%Y-%m') AS month, {rnd('sum(pnl)', 4)} AS pnl_sum, round(avg(pnl), 4) AS pnl_mean, count(pnl) AS pnl_count FROM trades GROUP BY 1""",
 )
 def monthly_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(pf.monthly_pnl(trades(spark, sf_dir)), "pnl_sum", places=3)
+    return pf.monthly_pnl(trades(spark, sf_dir))
 
 
 _CLOSED = "CASE WHEN action = 'sell' THEN pnl END"
@@ -172,13 +172,13 @@ def trade_stats_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ledger_totals",
-    f"""WITH {LEGS}, c AS (SELECT *, {_CLOSED} AS x FROM legs) SELECT run_id, {rnd('coalesce(sum(x), 0)', 3)} AS total_pnl, {rnd('100000.0 + coalesce(sum(x), 0)', 3)} AS final_value,
+    f"""WITH {LEGS}, c AS (SELECT *, {_CLOSED} AS x FROM legs) SELECT run_id, {rnd('coalesce(sum(x), 0)', 4)} AS total_pnl, {rnd('100000.0 + coalesce(sum(x), 0)', 4)} AS final_value,
     {rnd('coalesce(sum(x), 0) / 100000.0')} AS total_return, count(x) AS closed_trades, count(*) AS legs, count(*) FILTER (x > 0) AS winning_trades,
     {rnd('coalesce(count(*) FILTER (x > 0) / nullif(count(x), 0), 0)')} AS win_rate, {rnd('count(*) FILTER (x > 0) / count(*)')} AS win_rate_by_leg FROM c GROUP BY 1""",
 )
 def ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = pf.ledger_totals(legs(spark, sf_dir), ["run_id"], 100_000.0)
-    return r6(r6(df, "total_pnl", "final_value", places=3), "total_return", "win_rate", "win_rate_by_leg")
+    return r6(r6(df, "total_pnl", "final_value", places=4), "total_return", "win_rate", "win_rate_by_leg")
 
 
 @query(
@@ -246,14 +246,14 @@ _EXEC = """SELECT run_id, {0} AS total_slippage, {1} AS average_slippage, {2} AS
   FROM legs GROUP BY 1""".format(
     rnd("sum(abs(execution_price - price) / nullif(price, 0))"),
     rnd("avg(abs(execution_price - price) / nullif(price, 0))", 9),
-    rnd("sum(fees)", 3),
+    rnd("sum(fees)", 5),
 )
 
 
 @query("execution_quality", f"WITH {LEGS} {_EXEC}")
 def execution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rn.execution_quality(legs(spark, sf_dir), ["run_id"])
-    return r6(r6(r6(df, "total_slippage"), "average_slippage", places=9), "total_fees", places=3)
+    return r6(r6(r6(df, "total_slippage"), "average_slippage", places=9), "total_fees", places=5)
 
 
 @query(
@@ -276,24 +276,24 @@ def position_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "portfolio_rollup",
-    f"""WITH {RUNS} SELECT CAST(sum(initial_equity) AS DOUBLE) AS initial_equity, {rnd('sum(final_equity)', 3)} AS final_equity, {rnd('sum(final_equity) - sum(initial_equity)', 3)} AS equity_change,
+    f"""WITH {RUNS} SELECT CAST(sum(initial_equity) AS DOUBLE) AS initial_equity, {rnd('sum(final_equity)', 4)} AS final_equity, {rnd('sum(final_equity) - sum(initial_equity)', 4)} AS equity_change,
     {rnd('(sum(final_equity) - sum(initial_equity)) / sum(initial_equity) * 100')} AS total_return_pct, {rnd('sum(final_equity) / sum(initial_equity)')} AS equity_efficiency FROM runs""",
 )
 def portfolio_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rn.portfolio_rollup(runs(spark, sf_dir))
-    return r6(r6(df, "final_equity", "equity_change", places=3), "total_return_pct", "equity_efficiency")
+    return r6(r6(df, "final_equity", "equity_change", places=4), "total_return_pct", "equity_efficiency")
 
 
 @query(
     "run_artifacts",
     f"""WITH {RUNS}, {RUN_EQ}, {LEGS}, e AS (SELECT run_key, max(portfolio_value) AS max_value, min(portfolio_value) AS min_value, {rnd('stddev_samp(portfolio_value)', 3)} AS volatility FROM equity GROUP BY 1),
-    l AS (SELECT run_id, count(*) AS legs, {rnd('sum(fees)', 3)} AS fees FROM legs GROUP BY 1)
+    l AS (SELECT run_id, count(*) AS legs, {rnd('sum(fees)', 5)} AS fees FROM legs GROUP BY 1)
     SELECT runs.run_id, runs.total_trades, max_value, min_value, volatility, legs, fees FROM runs LEFT JOIN e ON runs.run_key = e.run_key LEFT JOIN l ON runs.run_id = l.run_id""",
 )
 def run_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = equity_by(spark, sf_dir, "run_key").withColumn("run_id", run_id(F.col("run_key"))).drop("run_key")
     df = rn.join_artifacts(runs(spark, sf_dir), curve, legs(spark, sf_dir))
-    return r6(df, "volatility", "fees", places=3).select(
+    return r6(r6(df, "volatility", places=3), "fees", places=5).select(
         "run_id", "total_trades", "max_value", "min_value", "volatility", "legs", "fees"
     )
 
