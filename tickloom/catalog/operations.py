@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog.registry import query
 from tickloom.catalog.sqltext import ANALYSES, ERRORS, HOURLY_BARS, VOLUME, rnd
+from tickloom.config import FeatureConfig
 from tickloom.functions import timefn as tf
 from tickloom.functions.numeric import rounded
 from tickloom.functions.text import hash_embedding, token_estimate
 from tickloom.operators import operations as ops
+from tickloom.operators.features import compute_features
 from tickloom.sources.tables import analyses, error_log, hourly_bars, table
 from tickloom.streaming import batch_replay
 from tickloom.streaming import jobs
@@ -388,16 +390,18 @@ def stream_clean_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "stream_rolling_mean",
-    f"""SELECT event_type AS symbol, ts, {rnd('CASE WHEN count(*) OVER w = 20 THEN avg(value) OVER w END')} AS ma FROM events
+    "stream_features",
+    f"""SELECT event_type AS symbol, ts, {rnd('CASE WHEN count(*) OVER w = 20 THEN avg(value) OVER w END')} AS ma_20 FROM events
     WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
 )
-def stream_rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = batch_replay.run(
-        spark,
-        f"{sf_dir}/events.parquet",
-        lambda events: jobs.rolling_mean_state(
-            batch_replay.as_ticks(events).select("symbol", "ts", F.col("price").alias("close")), 20
-        ),
+def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tick bars arriving as a stream, their 20-bar mean kept current in a feature table."""
+    cfg = FeatureConfig(ma=(20,), ema=(), regression=(), momentum=(), rsi=())
+
+    def compute(bars: DataFrame) -> DataFrame:
+        return compute_features(bars, cfg, ["trend_momentum"]).select("symbol", "ts", "date", "ma_20")
+
+    out = batch_replay.run_features(
+        spark, f"{sf_dir}/events.parquet", batch_replay.as_bars, compute, lookback_days=2
     )
-    return out.select("symbol", ntz("ts").alias("ts"), rounded("ma").alias("ma"))
+    return out.select("symbol", ntz("ts").alias("ts"), rounded("ma_20").alias("ma_20"))

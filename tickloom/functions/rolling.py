@@ -23,7 +23,7 @@ _AGGREGATES = {
     "max": F.max,
     "list": F.collect_list,
     "autocov": lambda c: F.covar_samp(c, f"{c}_lag"),
-    "tails": lambda c: F.percentile(c, F.array(F.lit(0.05), F.lit(0.01))),
+    "sorted": F.collect_list,
 }
 
 
@@ -31,8 +31,20 @@ def _name(kind: str, column: str, n: int) -> str:
     return f"_{kind}_{column.lstrip('_')}_{n}"
 
 
+# Longer means, sums and deviations are assembled from blocks, see add_long_windows.
+LONG_FRAME = 32
+_BLOCK_KINDS = ("avg", "std", "sum")
+
+
+def is_long(roll: Roll) -> bool:
+    kind, _, n = roll
+    return kind in _BLOCK_KINDS and n > LONG_FRAME
+
+
 def rolled(kind: str, column: str, n: int) -> Column:
-    """The guarded rolling value, once :func:`add_rolls` has added its parts."""
+    """The guarded rolling value, once its parts have been added."""
+    if is_long((kind, column, n)):
+        return F.col(_name(kind, column, n))
     full = F.col(_name("count", column, n)) == n
     return F.when(full, F.col(_name(kind, column, n)))
 
@@ -51,10 +63,19 @@ def add_rolls(df: DataFrame, window: WindowSpec, rolls: Iterable[Roll]) -> DataF
             continue
         frame = window.rowsBetween(-(n - 1), 0)
         parts[_name("count", column, n)] = F.count(column).over(frame)
-        parts[_name(kind, column, n)] = _AGGREGATES[kind](column).over(frame)
+        value = _AGGREGATES[kind](column).over(frame)
+        parts[_name(kind, column, n)] = F.sort_array(value) if kind == "sorted" else value
     return df.withColumns(parts) if parts else df
 
 
+def rolled_quantile(column: str, n: int, q: float) -> Column:
+    """Linearly interpolated quantile of a full window kept as kind ``sorted``."""
+    items, rank = rolled("sorted", column, n), q * (n - 1)
+    below = math.floor(rank)
+    low, high = F.get(items, F.lit(below)), F.get(items, F.lit(min(below + 1, n - 1)))
+    return low + (high - low) * (rank - below)
+
+
 def previous_max(column: str, n: int) -> Column:
     """Guarded maximum over the ``n`` rows before the current one."""
     full = F.col(_name("before_count", column, n)) == n
@@ -87,21 +108,28 @@ def _pieces(n: int) -> list[tuple[int, int, int]]:
     return pieces
 
 
-def _joint_moment(blocks: list[tuple[int, int, Column, Column]]) -> tuple[Column, Column]:
-    """Mean and centred cross moment (value against position) of adjacent blocks.
+# (length, rows after it, mean, sum of squared deviations, cross moment with position)
+Block = tuple[int, int, Column, Column | None, Column | None]
 
-    Each block is (length, rows after it, mean, moment).
-    """
-    n = sum(length for length, _, _, _ in blocks)
+
+def _join_blocks(blocks: list[Block]) -> tuple[Column, Column | None, Column | None]:
+    """Mean, squared deviations and cross moment of adjacent blocks, newest first."""
+    n = sum(block[0] for block in blocks)
     newest = blocks[0][2]
-    mean, moment = F.lit(0.0), F.lit(0.0)
-    for length, after, block_mean, block_moment in blocks:
-        shift = block_mean - newest
-        # Distance of the block's centre from the frame's centre, in rows.
-        offset = n / 2 - (after + length / 2)
-        mean = mean + shift * (length / n)
-        moment = moment + block_moment + shift * (length * offset)
-    return newest + mean, moment
+    shifts = [mean - newest for _, _, mean, _, _ in blocks]
+    drift = sum((s * (b[0] / n) for s, b in zip(shifts, blocks)), F.lit(0.0))
+    squares = cross = None
+    if blocks[0][3] is not None:
+        squares = F.lit(0.0)
+        for s, (length, _, _, m2, _) in zip(shifts, blocks):
+            squares = squares + m2 + (s - drift) * (s - drift) * length
+    if blocks[0][4] is not None:
+        cross = F.lit(0.0)
+        for s, (length, after, _, _, c) in zip(shifts, blocks):
+            # Distance of the block's centre from the frame's centre, in rows.
+            offset = n / 2 - (after + length / 2)
+            cross = cross + c + s * (length * offset)
+    return newest + drift, squares, cross
 
 
 def add_long_windows(
@@ -109,30 +137,49 @@ def add_long_windows(
     window: WindowSpec,
     ewm: dict[str, tuple[str, float, int]],
     slopes: dict[str, tuple[str, int]],
+    rolls: Iterable[Roll] = (),
 ) -> DataFrame:
-    """Exponentially weighted means and regression slopes over long frames.
+    """Exponentially weighted means, slopes, means and deviations over long frames.
 
     A plain frame is re-read for every row, so 720 rows cost 720 updates each.
     Here a block of 4m rows is assembled from four blocks of m rows fetched by
     ``lag``; log4(L) passes over one shared sort replace an L-row frame, and
-    all requests share each pass. Sums only add up and slopes use centred
-    moments, so precision matches the direct computation.
+    all requests share each pass. Sums only add up and deviations and slopes use
+    centred moments, so precision matches the direct computation. A frame that
+    is not full, or holds a null, gives NULL.
 
     ``ewm`` maps an output to (column, alpha, min_periods) with normalised
     weights; its column must be non-null. ``slopes`` maps an output to
-    (column, length): least squares against 0..length-1, NULL until the window
-    is full. Expects the row number in ``_row``.
+    (column, length): least squares against 0..length-1. ``rolls`` are avg, std
+    or sum requests read back with :func:`rolled`. Expects ``_row``.
     """
-    if not ewm and not slopes:
+    rolls = list(rolls)
+    if not ewm and not slopes and not rolls:
         return df
     depth = {name: ewm_levels(alpha) for name, (_, alpha, _) in ewm.items()}
-    columns = sorted({c for c, _ in slopes.values()})
-    slope_depth = max((_pieces(n)[0][0] for _, n in slopes.values()), default=0)
+    sloped = {c for c, _ in slopes.values()}
+    spread = {c for kind, c, _ in rolls if kind == "std"}
+    lengths: dict[str, int] = {}
+    for c, n in [*slopes.values(), *((c, n) for _, c, n in rolls)]:
+        lengths[c] = max(lengths.get(c, 1), n)
+    top = {c: _pieces(n)[0][0] for c, n in lengths.items()}
+
+    def parts(c: str, level: int, at: str = "") -> tuple[str, str | None, str | None]:
+        tag = f"{level}_{c}{at}"
+        return (
+            f"_mean{tag}",
+            f"_square{tag}" if c in spread else None,
+            f"_cross{tag}" if c in sloped else None,
+        )
+
     state = {f"_s_{name}": F.col(c) for name, (c, _, _) in ewm.items()}
-    state |= {f"_mean0_{c}": F.col(c) for c in columns}
-    state |= {f"_moment0_{c}": F.lit(0.0) for c in columns}
+    for c in lengths:
+        mean, square, cross = parts(c, 0)
+        # NULL in, NULL out for every moment.
+        state[mean] = F.col(c).cast("double")
+        state |= {extra: F.col(c) * 0.0 for extra in (square, cross) if extra}
     df = df.withColumns(state)
-    for level in range(max([slope_depth, *depth.values()])):
+    for level in range(max([0, *top.values(), *depth.values()])):
         size = RADIX**level
         grown: dict[str, Column] = {}
         for name, (_, alpha, _) in ewm.items():
@@ -142,41 +189,50 @@ def add_long_windows(
                     weight = (1.0 - alpha) ** (k * size)
                     total = total + weight * F.lag(f"_s_{name}", k * size, 0.0).over(window)
                 grown[f"_s_{name}"] = total
-        if level < slope_depth:
-            for c in columns:
-                mean, moment = f"_mean{level}_{c}", f"_moment{level}_{c}"
+        rising = [c for c in lengths if level < top[c]]
+        for c in rising:
+            for part in filter(None, parts(c, level)):
                 for k in range(1, RADIX):
-                    grown[f"{mean}_{k}"] = F.lag(mean, k * size).over(window)
-                    grown[f"{moment}_{k}"] = F.lag(moment, k * size).over(window)
+                    grown[f"{part}_{k}"] = F.lag(part, k * size).over(window)
         df = df.withColumns(grown)
-        if level < slope_depth:
-            raised: dict[str, Column] = {}
-            for c in columns:
-                mean, moment = f"_mean{level}_{c}", f"_moment{level}_{c}"
-                blocks = [(size, 0, F.col(mean), F.col(moment))] + [
-                    (size, k * size, F.col(f"{mean}_{k}"), F.col(f"{moment}_{k}"))
-                    for k in range(1, RADIX)
-                ]
-                joined = _joint_moment(blocks)
-                raised[f"_mean{level + 1}_{c}"], raised[f"_moment{level + 1}_{c}"] = joined
-            df = df.withColumns(raised)
+        raised: dict[str, Column] = {}
+        for c in rising:
+            names = parts(c, level)
+            blocks = [
+                (size, k * size, *(F.col(p + (f"_{k}" if k else "")) if p else None for p in names))
+                for k in range(RADIX)
+            ]
+            for target, value in zip(parts(c, level + 1), _join_blocks(blocks)):
+                if target:
+                    raised[target] = value
+        df = df.withColumns(raised) if raised else df
     fetched: dict[str, Column] = {}
-    results: dict[str, Column] = {}
-    for name, (c, n) in slopes.items():
-        blocks = []
+
+    def whole(c: str, n: int) -> tuple[Column, Column | None, Column | None]:
+        blocks: list[Block] = []
         for level, length, after in _pieces(n):
-            mean, moment = f"_mean{level}_{c}", f"_moment{level}_{c}"
+            names = parts(c, level)
             if after:
-                for part in (mean, moment):
-                    fetched[f"{part}_at{after}"] = F.lag(part, after).over(window)
-                mean, moment = f"{mean}_at{after}", f"{moment}_at{after}"
-            blocks.append((length, after, F.col(mean), F.col(moment)))
-        _, moment = _joint_moment(blocks)
-        results[name] = moment / (n * (n * n - 1) / 12)
+                moved = parts(c, level, f"_at{after}")
+                for source, target in zip(names, moved):
+                    if source:
+                        fetched[target] = F.lag(source, after).over(window)
+                names = moved
+            blocks.append((length, after, *(F.col(p) if p else None for p in names)))
+        return _join_blocks(blocks)
+
+    results: dict[str, Column] = {}
+    for name, (c, n) in slopes.items():
+        results[name] = whole(c, n)[2] / (n * (n * n - 1) / 12)
+    for kind, c, n in rolls:
+        mean, square, _ = whole(c, n)
+        results[_name(kind, c, n)] = (
+            F.sqrt(square / (n - 1)) if kind == "std" else mean * n if kind == "sum" else mean
+        )
     for name, (_, alpha, periods) in ewm.items():
         decay = 1.0 - alpha
         covered = F.least(F.col("_row"), F.lit(ewm_lookback(alpha)))
         weights = (1 - F.pow(F.lit(decay), covered)) / alpha
         results[name] = F.when(F.col("_row") >= periods, F.col(f"_s_{name}") / weights)
-    scratch = [c for c in df.columns if c.startswith(("_s_", "_mean", "_moment"))]
+    scratch = [c for c in df.columns if c.startswith(("_s_", "_mean", "_square", "_cross"))]
     return df.withColumns(fetched).withColumns(results).drop(*scratch, *fetched)

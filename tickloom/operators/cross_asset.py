@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import ratio
-from tickloom.functions.rolling import add_rolls, rolled
+from tickloom.functions.rolling import add_long_windows, add_rolls, is_long, rolled
 from tickloom.plans.slices import slice_series
 
 
@@ -69,7 +69,11 @@ def pair_features(
     )
     series = slice_series(pair, ["symbol"], ["ts"], lookback=window, rows_per_slice=rows_per_slice)
     rolls = [("avg", "ratio", window), ("std", "ratio", window)]
-    parts = add_rolls(series.df, series.window, rolls)
+    if is_long(rolls[0]):
+        numbered = series.df.withColumn("_row", F.row_number().over(series.window))
+        parts = add_long_windows(numbered, series.window, {}, {}, rolls)
+    else:
+        parts = add_rolls(series.df, series.window, rolls)
     score = ratio(F.col("ratio") - rolled("avg", "ratio", window), rolled("std", "ratio", window))
     kept = [*pair.columns, "ratio_zscore", *(c for c in ("_slice", "_borrowed") if series.sliced)]
     return series.owned(parts.withColumn("ratio_zscore", score).select(*kept))

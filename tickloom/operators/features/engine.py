@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tickloom.config import FeatureConfig, config_hash
 from tickloom.functions.numeric import clip, flag
-from tickloom.functions.rolling import add_long_windows, add_rolls, ewm_lookback
+from tickloom.functions.rolling import add_long_windows, add_rolls, ewm_lookback, is_long
 from tickloom.operators.features.families import FAMILIES, documented_extras
 from tickloom.operators.features.family import Family
 from tickloom.plans.quantiles import quantiles
@@ -71,10 +71,11 @@ def compute_features(
     lags = {name: F.lag(value, k).over(w) for name, (value, k) in spec.lags.items()}
     df = df.withColumns({"_row": F.row_number().over(w), **lags})
     df = df.withColumns(spec.derived) if spec.derived else df
-    df = add_long_windows(df, w, spec.ewm, spec.slopes)
+    long = sorted(r for r in spec.rolls if is_long(r))
+    df = add_long_windows(df, w, spec.ewm, spec.slopes, long)
     if any(kind == "autocov" for kind, _, _ in spec.late_rolls):
         df = df.withColumn("_ret_lag", F.lag("_ret", 1).over(w))
-    df = add_rolls(df, w, sorted(spec.rolls))
+    df = add_rolls(df, w, sorted(spec.rolls - set(long)))
     df = df.withColumns(spec.outputs)
     if spec.late_rolls:
         df = add_rolls(df, w, sorted(spec.late_rolls)).withColumns(spec.late_outputs)

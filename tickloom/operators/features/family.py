@@ -39,26 +39,50 @@ class Family:
         )
 
 
-# Shared inputs. The first bar of a series has no previous bar: its return and
-# true range are NULL, its gain and loss count as zero.
-CLOSE_LAG = {"_close_1": (F.col("close"), 1)}
-RETURN = {"_ret": ratio("close", "_close_1") - 1}
-VOLUME_LAG = {"_volume_1": (F.col("volume"), 1)}
-VOLUME_CHANGE = {"_volume_change": ratio("volume", "_volume_1") - 1}
-NOTIONAL = {"_notional": F.col("volume") * F.col("close")}
-TYPICAL = {"_typical": (F.col("high") + F.col("low") + F.col("close")) / 3}
-TRUE_RANGE = {
-    "_true_range": F.when(
-        F.col("_close_1").isNotNull(),
-        F.greatest(
-            F.col("high") - F.col("low"),
-            F.abs(F.col("high") - F.col("_close_1")),
-            F.abs(F.col("low") - F.col("_close_1")),
-        ),
+# Shared inputs, as functions because columns need a running session. The first
+# bar of a series has no previous bar: its return and true range are NULL, its
+# gain and loss count as zero.
+
+
+def bar_columns() -> tuple[Column, ...]:
+    return tuple(F.col(c) for c in ("open", "high", "low", "close", "volume"))
+
+
+def close_lag() -> dict[str, tuple[Column, int]]:
+    return {"_close_1": (F.col("close"), 1)}
+
+
+def volume_lag() -> dict[str, tuple[Column, int]]:
+    return {"_volume_1": (F.col("volume"), 1)}
+
+
+def simple_return() -> dict[str, Column]:
+    return {"_ret": ratio("close", "_close_1") - 1}
+
+
+def volume_change() -> dict[str, Column]:
+    return {"_volume_change": ratio("volume", "_volume_1") - 1}
+
+
+def notional() -> dict[str, Column]:
+    return {"_notional": F.col("volume") * F.col("close")}
+
+
+def typical_price() -> dict[str, Column]:
+    return {"_typical": (F.col("high") + F.col("low") + F.col("close")) / 3}
+
+
+def true_range() -> dict[str, Column]:
+    before = F.col("_close_1")
+    widest = F.greatest(
+        F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)
     )
-}
-_DELTA = F.col("close") - F.col("_close_1")
-GAIN_LOSS = {
-    "_gain": F.coalesce(F.greatest(_DELTA, F.lit(0.0)), F.lit(0.0)),
-    "_loss": F.coalesce(F.greatest(-_DELTA, F.lit(0.0)), F.lit(0.0)),
-}
+    return {"_true_range": F.when(before.isNotNull(), widest)}
+
+
+def gain_and_loss() -> dict[str, Column]:
+    delta = F.col("close") - F.col("_close_1")
+    return {
+        "_gain": F.coalesce(F.greatest(delta, F.lit(0.0)), F.lit(0.0)),
+        "_loss": F.coalesce(F.greatest(-delta, F.lit(0.0)), F.lit(0.0)),
+    }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.config import QualityConfig
@@ -54,15 +54,19 @@ def deduplicate(
 ) -> DataFrame:
     """One bar per (symbol, ts): best source first, then the tie-break columns.
 
-    ``row_number() = 1`` lets Spark keep one candidate per key before the
-    shuffle, so a hot group of copies shrinks on the map side.
+    A minimum over (rank, tie-breaks, rest of the row) combines on the map side,
+    so a hot group of copies shrinks to one row per task before the shuffle.
     """
     cfg = cfg or QualityConfig()
     rank = F.array_position(F.lit(list(cfg.source_priority)), F.col("source"))
     # Unlisted sources come last.
     priority = F.when(rank > 0, rank).otherwise(len(cfg.source_priority) + 1)
-    best = Window.partitionBy("symbol", "ts").orderBy(priority, *tiebreak)
-    return bars.withColumn("_pick", F.row_number().over(best)).where("_pick = 1").drop("_pick")
+    rest = [c for c in bars.columns if c not in ("symbol", "ts", *tiebreak)]
+    best = F.min(F.struct(priority.alias("_priority"), *tiebreak, *rest))
+    picked = bars.groupBy("symbol", "ts").agg(best.alias("_best"))
+    return picked.select(
+        *(c if c in ("symbol", "ts") else F.col(f"_best.{c}").alias(c) for c in bars.columns)
+    )
 
 
 def canonical(bars: DataFrame, ingested_at: datetime | Column) -> DataFrame:

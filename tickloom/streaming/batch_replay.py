@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.session import configure
+from tickloom.streaming.jobs import features_per_batch
 
 
 def as_ticks(events: DataFrame) -> DataFrame:
@@ -41,6 +42,16 @@ def as_analyses(events: DataFrame) -> DataFrame:
     )
 
 
+def as_bars(events: DataFrame) -> DataFrame:
+    value = F.col("value")
+    return events.select(
+        F.col("event_type").alias("symbol"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        *(value.alias(c) for c in ("open", "high", "low", "close")),
+        F.lit(1.0).alias("volume"),
+    )
+
+
 def as_repeated_bars(events: DataFrame) -> DataFrame:
     """Each tick as a bar, delivered twice; two payload values make it invalid."""
     value, k = F.col("value"), F.get_json_object("props", "$.k").cast("double")
@@ -56,25 +67,31 @@ def as_repeated_bars(events: DataFrame) -> DataFrame:
     ).drop("delivery")
 
 
+def _source(spark: SparkSession, path: str) -> DataFrame:
+    """Streaming read of one Parquet file or a folder of them."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    location, name = path.rsplit("/", 1)
+    if name.endswith(".parquet"):
+        return reader.option("pathGlobFilter", name).parquet(location)
+    return reader.parquet(path)
+
+
+def _fresh_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        return tempfile.mkdtemp(prefix="tickloom-stream-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def run(
     spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], output: str | None = None
 ) -> DataFrame:
-    """Stream ``path`` (one Parquet file or a folder) through ``build`` to a table.
-
-    The result goes to a Parquet sink with a checkpoint, both under the shared
-    folder of ``spark.checkpoint.dir`` where one is set, and is read back.
-    """
+    """Stream ``path`` through ``build`` into a Parquet sink and read it back."""
     configure(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    folder = output or _fresh_folder(base)
-    schema = spark.read.parquet(path).schema
-    location, name = path.rsplit("/", 1)
-    source = spark.readStream.schema(schema)
-    stream = (
-        source.option("pathGlobFilter", name).parquet(location) if name.endswith(".parquet") else source.parquet(path)
-    )
+    folder = output or _fresh_folder(spark)
     query = (
-        build(stream)
+        build(_source(spark, path))
         .writeStream.outputMode("append")
         .format("parquet")
         .option("path", f"{folder}/data")
@@ -86,7 +103,23 @@ def run(
     return spark.read.parquet(f"{folder}/data")
 
 
-def _fresh_folder(base: str | None) -> str:
-    if base is None:
-        return tempfile.mkdtemp(prefix="tickloom-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def run_features(
+    spark: SparkSession,
+    path: str,
+    build: Callable[[DataFrame], DataFrame],
+    compute: Callable[[DataFrame], DataFrame],
+    lookback_days: int,
+) -> DataFrame:
+    """Stream bars into a stored table and keep their features current; read the features."""
+    configure(spark)
+    folder = _fresh_folder(spark)
+    handle = features_per_batch(spark, f"{folder}/bars", f"{folder}/features", compute, lookback_days)
+    query = (
+        build(_source(spark, path))
+        .writeStream.foreachBatch(handle)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/features")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,9 +93,11 @@ def features_per_batch(
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink: store the new bars, refresh the features of their dates.
 
-    Uses the batch feature code on the touched dates plus ``lookback_days`` of
-    stored history, and replaces only those date partitions, so a replayed batch
-    gives the same result.
+    Uses the batch feature code (sliced, so a hot symbol spreads over tasks) on
+    the dates from the first touched one on plus ``lookback_days`` of stored
+    history, and replaces only those date partitions, so a replayed batch gives
+    the same result and a late bar refreshes everything after it.
+    ``lookback_days`` must span the longest look-back in bars.
     """
     def handle(batch: DataFrame, _: int) -> None:
         dated = batch.withColumn("date", F.to_date("ts"))
@@ -142,36 +143,3 @@ def _merged(spark: SparkSession, batch: DataFrame, bars_path: str) -> DataFrame:
     )
     # The result overwrites the partitions it was read from, so it is made durable first.
     return durable(kept.select(*batch.columns).unionByName(batch))
-
-
-RING_OUTPUT = "symbol string, ts timestamp, close double, ma double, n long"
-RING_STATE = "ts array<long>, close array<double>"
-
-
-def rolling_mean_state(bars: DataFrame, window: int = 20) -> DataFrame:
-    """Rolling mean of the last ``window`` closes per symbol, kept as stream state.
-
-    The state is a ring of at most ``window`` closes per symbol. Bars are taken
-    in time order within a trigger.
-    """
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times, closes = (list(x) for x in state.get) if state.exists else ([], [])
-        fresh = pd.concat(list(frames)).sort_values("ts")
-        series = pd.Series(closes + fresh["close"].tolist(), dtype=float)
-        mean = series.rolling(window).mean().iloc[len(closes):]
-        count = series.rolling(window, min_periods=1).count().iloc[len(closes):]
-        stamps = times + [int(t.value // 1000) for t in fresh["ts"]]
-        state.update((stamps[-window:], series.tolist()[-window:]))
-        yield pd.DataFrame(
-            {
-                "symbol": key[0],
-                "ts": fresh["ts"].to_numpy(),
-                "close": fresh["close"].to_numpy(),
-                "ma": mean.to_numpy(),
-                "n": count.astype("int64").to_numpy(),
-            }
-        )
-
-    return bars.groupBy("symbol").applyInPandasWithState(
-        step, RING_OUTPUT, RING_STATE, "append", "NoTimeout"
-    )
