@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tickloom.session import durable
+
 ROWS_PER_SLICE = 1_000_000
 CUTS_PER_SLICE = 16
 # Upper bound on the broadcast cut table; slices grow when data would exceed it.
@@ -151,7 +153,8 @@ def slice_series(
     rows = max(rows, CUTS_PER_SLICE * size["total"] // MAX_CUTS)
     step = max(rows // CUTS_PER_SLICE, 1)
     positions = df.select(*keys, position(df, order[0]).alias("_pos"))
-    table = _slice_table(positions, keys, step, rows, lookback, lookahead)
+    # Small and used by every later evaluation of the result, so computed once.
+    table = durable(_slice_table(positions, keys, step, rows, lookback, lookahead))
     sub = count_not_above(F.col("cuts"), F.col("_pos"))
     sliced = (
         df.withColumn("_pos", position(df, order[0]))
