@@ -43,26 +43,27 @@ def read_raw_bars(
 
 
 def _read_layout(
-    spark: SparkSession, path: str, layout: T.StructType, files: Column, source: str
+    spark: SparkSession, path: str, layout: str, files: Column, source: str
 ) -> DataFrame:
-    fields = T.StructType([*layout.fields, T.StructField("_corrupt_record", T.StringType())])
-    folders = F.split(F.col("_metadata.file_path"), "/")
-    own = [f.name for f in layout.fields if f.name not in ("symbol", "source", "load_id", "ts")]
-    return (
-        spark.read.schema(fields)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("pathGlobFilter", "*.csv")
-        .csv(path)
+    columns = schema.parse(layout).names
+    folders = F.split("file", "/")
+    own = [c for c in columns if c not in ("symbol", "source", "load_id", "ts")]
+    lines = (
+        spark.read.option("pathGlobFilter", "*.csv")
+        .text(path)
         .where(files)
-        .select(
-            *own,
-            "_corrupt_record",
-            F.element_at(folders, -3).alias("symbol"),
-            F.lit(source).alias("source"),
-            file_stem(F.col("_metadata.file_path")).alias("load_id"),
-        )
+        .select("value", F.col("_metadata.file_path").alias("file"))
+        # Header lines repeat the first column's name.
+        .where(~F.col("value").startswith(f"{columns[0]},") & (F.trim("value") != ""))
+    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = F.from_csv("value", f"{layout}, _corrupt_record string", options)
+    return lines.withColumn("_row", parsed).select(
+        *(F.col(f"_row.{c}").alias(c) for c in own),
+        F.col("_row._corrupt_record").alias("_corrupt_record"),
+        F.element_at(folders, -3).alias("symbol"),
+        F.lit(source).alias("source"),
+        file_stem(F.col("file")).alias("load_id"),
     )
 
 
@@ -116,7 +117,7 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 def read_trades(spark: SparkSession, *paths: str) -> DataFrame:
     """Trade-leg CSV logs with or without the ``trade_pnl`` column, by name."""
-    known = {f.name: f.dataType for f in schema.TRADE_LEG.fields}
+    known = {f.name: f.dataType for f in schema.parse(schema.TRADE_LEG).fields}
     merged = None
     for path in paths:
         raw = spark.read.csv(path, header=True)
