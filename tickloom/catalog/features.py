@@ -11,6 +11,7 @@ from tickloom.catalog.registry import query
 from tickloom.catalog.sqltext import HOURLY_BARS, TICK_BARS, frame, full, lag, rnd
 from tickloom.config import FeatureConfig
 from tickloom.functions.numeric import rounded
+from tickloom.operators.feature_qc import long_form
 from tickloom.operators.cross_asset import driver_features, pair_features
 from tickloom.operators.features import (
     compute_features,
@@ -33,6 +34,10 @@ def shaped(df: DataFrame, columns: list[str], places: int = 6) -> DataFrame:
     )
 
 
+# (columns, base SQL) of the default families, for the digest of the whole frame.
+FRAME_PARTS: list[tuple[dict[str, str], str]] = []
+
+
 def feature_query(
     name: str,
     families: list[str],
@@ -46,6 +51,8 @@ def feature_query(
         f"{sql if c.startswith(FLAGS) else rnd(sql, places)} AS {c}" for c, sql in columns.items()
     )
     sql = f"WITH {TICK_BARS}, x AS ({base}) SELECT symbol, ts, {picked} FROM x"
+    if "extras" not in families:
+        FRAME_PARTS.append((columns, base))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = compute_features(tick_bars(spark, sf_dir), cfg, families)
@@ -313,6 +320,34 @@ def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compute_features(tick_bars(spark, sf_dir), CFG)
 
 
+def _digest_sql() -> str:
+    high = {f"high_volatility_{n}": f"high_volatility_{n}" for n in (20, 50)}
+    parts = [*FRAME_PARTS, (high, _HIGH_VOL.replace(f"WITH {TICK_BARS}, ", "WITH "))]
+    tables, cells = [], []
+    for i, (columns, base) in enumerate(parts):
+        values = ", ".join(f"CAST({sql} AS DOUBLE) AS {c}" for c, sql in columns.items())
+        tables.append(f"p{i} AS (SELECT symbol, {values} FROM ({base}))")
+        cells.append(f"SELECT symbol, feature, value FROM p{i} UNPIVOT (value FOR feature IN ({', '.join(columns)}))")
+    return f"""WITH {TICK_BARS}, {', '.join(tables)}, cells AS ({' UNION ALL '.join(cells)})
+    SELECT symbol, feature, count(value) AS n, {rnd('min(value)')} AS low, {rnd('max(value)')} AS high FROM cells GROUP BY 1, 2"""
+
+
+@query("feature_frame_digest", _digest_sql())
+def feature_frame_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count and range of every feature of the whole frame, per symbol."""
+    frame = compute_features(tick_bars(spark, sf_dir), CFG)
+    cells = long_form(frame, feature_names(CFG), ["symbol"])
+    return (
+        cells.groupBy("symbol", "feature")
+        .agg(
+            F.count("value").alias("n"),
+            rounded(F.min("value")).alias("low"),
+            rounded(F.max("value")).alias("high"),
+        )
+        .where("n > 0")
+    )
+
+
 _HOURLY_SET = f"""WITH {HOURLY_BARS}, g AS (SELECT *, coalesce(greatest(d, 0), 0) AS gain, coalesce(greatest(-d, 0), 0) AS loss
 FROM (SELECT *, close - {lag('close')} AS d FROM bars))
 SELECT symbol, ts, {rnd(full('avg', 'close', 20))} AS ma_20, {rnd(_rsi_sql(14))} AS rsi_14,
