@@ -18,6 +18,7 @@ from tickloom.operators.quality import gaps, price_jumps
 from tickloom.operators.signals import label_signals
 from tickloom.operators.trades import barrier_outcomes, equity_curve, grid_rank, open_positions_ordered
 from tickloom.plans.quantiles import quantiles
+from tickloom.plans.ranks import prefix_rank
 from tickloom.plans.scan import running
 from tickloom.plans.slices import SLICE, slice_series
 
@@ -139,6 +140,20 @@ def test_equity_and_positions_sliced_equal_whole(spark, walk_bars):
     )
 
 
+def test_prefix_rank_counts_smaller_earlier_values(spark):
+    rng = np.random.default_rng(3)
+    n = 400
+    # Half of the values are equal.
+    values = np.where(rng.random(n) < 0.5, 0.0, rng.normal(0, 1, n))
+    pdf = pd.DataFrame({"k": np.where(np.arange(n) < 320, "a", "b"), "t": np.arange(n), "v": values})
+    want = pdf.copy()
+    want["below"] = [int(((pdf["k"] == r.k) & (pdf["t"] < r.t) & (pdf["v"] < r.v)).sum()) for r in pdf.itertuples()]
+    want["seen"] = pdf.groupby("k").cumcount() + 1
+    for rows in (None, 40):
+        got = prefix_rank(spark.createDataFrame(pdf), ["k"], "t", "v", rows_per_slice=rows)
+        assert_close(collect(got, "t"), want)
+
+
 def test_bracketed_quantiles_equal_percentile(spark):
     rng = np.random.default_rng(11)
     frames = [

@@ -283,6 +283,19 @@ def high_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(df, ["high_volatility_20", "high_volatility_50"])
 
 
+_SO_FAR = f"""WITH {TICK_BARS}, r AS ({RETS}), v AS (SELECT symbol, ts, {full('stddev_samp', 'ret', 20)} AS v20, {full('stddev_samp', 'ret', 50)} AS v50 FROM r)
+SELECT symbol, ts, CAST(coalesce(v20 > quantile_cont(v20, 0.8) OVER w, false) AS INTEGER) AS high_volatility_20,
+  CAST(coalesce(v50 > quantile_cont(v50, 0.8) OVER w, false) AS INTEGER) AS high_volatility_50 FROM v
+WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)"""
+
+
+@query("high_volatility_expanding", _SO_FAR)
+def high_volatility_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = FeatureConfig(volatility_mode="expanding")
+    df = compute_features(tick_bars(spark, sf_dir), cfg, ["volatility_risk", "regime"])
+    return shaped(df, ["high_volatility_20", "high_volatility_50"])
+
+
 _WINSOR = f"""WITH {TICK_BARS}, f AS (SELECT symbol, ts, close / nullif({lag('close')}, 0) - 1 AS ret_1m,
   (high - low) / nullif(close, 0) AS hl_range FROM raw),
 q AS (SELECT symbol, quantile_cont(ret_1m, 0.01) AS a1, quantile_cont(ret_1m, 0.99) AS b1,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import ratio
 from tickloom.functions.rolling import add_long_windows, add_rolls, is_long, rolled
-from tickloom.plans.slices import slice_series
+from tickloom.plans.slices import BORROWED, SLICE, slice_series
 
 
 def _returns(bars: DataFrame, rows_per_slice: int | None) -> DataFrame:
@@ -75,5 +75,5 @@ def pair_features(
     else:
         parts = add_rolls(series.df, series.window, rolls)
     score = ratio(F.col("ratio") - rolled("avg", "ratio", window), rolled("std", "ratio", window))
-    kept = [*pair.columns, "ratio_zscore", *(c for c in ("_slice", "_borrowed") if series.sliced)]
+    kept = [*pair.columns, "ratio_zscore", *([SLICE, BORROWED] if series.sliced else [])]
     return series.owned(parts.withColumn("ratio_zscore", score).select(*kept))

@@ -22,7 +22,8 @@ from tickloom.functions.rolling import add_long_windows, add_rolls, ewm_lookback
 from tickloom.operators.features.families import FAMILIES, documented_extras
 from tickloom.operators.features.family import Family
 from tickloom.plans.quantiles import quantiles
-from tickloom.plans.slices import slice_series
+from tickloom.plans.ranks import prefix_rank
+from tickloom.plans.slices import BORROWED, SLICE, slice_series
 from tickloom.plans.small import join_small
 
 KEY, TIME = "symbol", "ts"
@@ -80,32 +81,39 @@ def compute_features(
     if spec.late_rolls:
         df = add_rolls(df, w, sorted(spec.late_rolls)).withColumns(spec.late_outputs)
     features = [*spec.outputs, *spec.late_outputs]
-    extra = [c for c in ("_slice", "_borrowed") if series.sliced]
-    regime_inputs = {}
+    extra = [SLICE, BORROWED] if series.sliced else []
+    df = series.owned(df.select(*kept, *features, *extra))
     if "regime" in families:
-        regime_inputs = {f"_vol_{n}": n for n in cfg.volatility}
-        if not {f"volatility_{n}" for n in cfg.volatility} <= set(features):
+        if "volatility_risk" not in families:
             raise ValueError("the regime family needs the volatility_risk family")
-    df = series.owned(df.select(*kept, *features, *extra))
-    if regime_inputs:
-        df = _flag_high_volatility(df, cfg)
+        df = _flag_high_volatility(df, cfg, rows_per_slice)
     return df
 
 
-def _flag_high_volatility(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
+def _flag_high_volatility(
+    df: DataFrame, cfg: FeatureConfig, rows_per_slice: int | None
+) -> DataFrame:
     """``high_volatility_n``: rolling std above its own per-symbol quantile.
 
-    The quantile spans the whole sample, so the flag looks ahead; it is one
-    distributed aggregate, joined back on the symbol.
+    ``full_sample`` takes the quantile over the whole history, so the flag looks
+    ahead; it is one distributed aggregate, joined back on the symbol.
+    ``expanding`` uses the bars so far: a value exceeds the interpolated quantile
+    exactly when more than q * (m - 1) of the m values so far are smaller.
     """
     names = [f"volatility_{n}" for n in cfg.volatility]
-    limits = _limits(df, names, [cfg.volatility_quantile])
-    flags = {
-        f"high_{name}": flag(
-            F.col(name) > F.get(f"_lim_{name}", F.lit(0))
-        )
-        for name in names
-    }
+    q = cfg.volatility_quantile
+    if cfg.volatility_mode == "expanding":
+        for name in names:
+            known = df.where(F.col(name).isNotNull()).select(KEY, TIME, F.col(name).alias("_v"))
+            ranks = prefix_rank(known, [KEY], TIME, "_v", rows_per_slice=rows_per_slice)
+            above = F.col("below") > (F.col("seen") - 1) * F.lit(q) + F.lit(1e-9)
+            flags = ranks.select(KEY, TIME, above.alias("_above"))
+            df = df.join(flags, [KEY, TIME], "left").withColumn(f"high_{name}", flag(F.col("_above"))).drop("_above")
+        return df
+    if cfg.volatility_mode != "full_sample":
+        raise ValueError(f"unknown volatility_mode {cfg.volatility_mode!r}")
+    limits = _limits(df, names, [q])
+    flags = {f"high_{name}": flag(F.col(name) > F.get(f"_lim_{name}", F.lit(0))) for name in names}
     return join_small(df, limits, [KEY]).withColumns(flags).drop(*(f"_lim_{c}" for c in names))
 
 
@@ -174,13 +182,11 @@ def volatility_percentile(
         vol, [KEY], [TIME], lookback=window + volatility_window, rows_per_slice=rows_per_slice
     )
     schema = "symbol string, ts timestamp, vol double, vol_percentile double"
-    borrowed = "_borrowed"
-
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(TIME)
         pdf["vol_percentile"] = pdf["vol"].rolling(window).rank(method="max", pct=True)
-        if borrowed in pdf:
-            pdf = pdf[~pdf[borrowed]]
+        if BORROWED in pdf:
+            pdf = pdf[~pdf[BORROWED]]
         return pdf[[KEY, TIME, "vol", "vol_percentile"]]
 
     df = series.df.withColumn(TIME, F.col(TIME).cast("timestamp"))
