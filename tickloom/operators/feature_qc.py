@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import count_if, ratio
-from tickloom.plans.quantiles import quantiles
+from tickloom.plans.quantiles import aggregate_with_quantiles, quantiles
 from tickloom.plans.small import join_small
 
 
@@ -24,16 +24,15 @@ def long_form(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = ()) ->
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, std, min, exact quartiles, max per feature."""
     cells = long_form(df, columns)
-    basic = cells.groupBy("feature").agg(
+    basic = [
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-    )
-    # Both sides hold one row per feature.
-    q = quantiles(cells, ["feature"], "value", [0.25, 0.5, 0.75])
-    return basic.join(q, "feature", "left").select(
+    ]
+    stats = aggregate_with_quantiles(cells, ["feature"], "value", basic, [0.25, 0.5, 0.75])
+    return stats.select(
         "feature", "count", "mean", "std", "min",
         F.get("quantiles", F.lit(0)).alias("p25"),
         F.get("quantiles", F.lit(1)).alias("p50"),
@@ -91,16 +90,16 @@ def zscore_outliers(df: DataFrame, columns: Sequence[str], threshold: float = 6.
 def quality_metrics(df: DataFrame, columns: Sequence[str], min_non_na: float = 0.95) -> DataFrame:
     """Completeness, moments, tails, PASS/FAIL and score per feature."""
     cells = long_form(df, columns)
-    basic = cells.groupBy("feature").agg(
+    basic = [
         (F.count("value") / F.count("*")).alias("non_na_pct"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-    )
-    q = quantiles(cells, ["feature"], "value", [0.01, 0.5, 0.99])
-    return basic.join(q, "feature", "left").select(
-        *basic.columns,
+    ]
+    stats = aggregate_with_quantiles(cells, ["feature"], "value", basic, [0.01, 0.5, 0.99])
+    return stats.select(
+        "feature", "non_na_pct", "mean", "std", "min", "max",
         *(F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(("p1", "p50", "p99"))),
         F.when(F.col("non_na_pct") >= min_non_na, "PASS").otherwise("FAIL").alias("status"),
         F.greatest(F.lit(0.0), F.col("non_na_pct") / min_non_na).alias("score"),

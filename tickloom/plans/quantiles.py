@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import count_if
@@ -30,13 +30,36 @@ def quantiles(
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """``keys + quantiles array<double>`` with linear interpolation, nulls ignored."""
+    return aggregate_with_quantiles(
+        df, keys, value, [], probs, max_group_rows=max_group_rows, accuracy=accuracy
+    )
+
+
+def aggregate_with_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    aggregates: Sequence[Column],
+    probs: Sequence[float],
+    *,
+    max_group_rows: int | None = None,
+    accuracy: int = ACCURACY,
+) -> DataFrame:
+    """``aggregates`` per group plus its quantiles; one pass when groups are small.
+
+    Group sizes are counted with nulls included: an upper bound that does not
+    need the value column, so whatever computes it is pruned from that job.
+    """
     keys = list(keys)
-    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    longest = values.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    number = F.col(value).cast("double")
     if longest <= (MAX_GROUP_ROWS if max_group_rows is None else max_group_rows):
         wanted = F.array(*(F.lit(float(p)) for p in probs))
-        return values.groupBy(*keys).agg(F.percentile("v", wanted).alias("quantiles"))
-    return _bracketed(values, keys, probs, accuracy)
+        grouped = df.groupBy(*keys).agg(*aggregates, F.percentile(number, wanted).alias("quantiles"))
+        return grouped if aggregates else grouped.where(F.col("quantiles").isNotNull())
+    values = df.where(F.col(value).isNotNull()).select(*keys, number.alias("v"))
+    found = _bracketed(values, keys, probs, accuracy)
+    return df.groupBy(*keys).agg(*aggregates).join(found, keys, "left") if aggregates else found
 
 
 def _bracketed(values: DataFrame, keys: list[str], probs: Sequence[float], accuracy: int) -> DataFrame:

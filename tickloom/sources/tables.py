@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.plans.scan import running
-from tickloom.session import configure
+from tickloom.session import configure, durable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,7 +148,8 @@ def equity_by(spark: SparkSession, sf_dir: str, key: str, capital: float = 1_000
     daily = trades(spark, sf_dir).groupBy(key, F.col("exit_time").alias("timestamp")).agg(
         F.round(F.sum("pnl"), 4).alias("pnl")
     )
-    out = running(daily, [key], ["timestamp"], {"_total": ("sum", F.col("pnl"))})
+    # One row per key and day, read by several passes below: joined and summed once.
+    out = running(durable(daily), [key], ["timestamp"], {"_total": ("sum", F.col("pnl"))})
     return out.select(key, "timestamp", F.round(capital + F.col("_total"), 4).alias("portfolio_value"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,11 +102,12 @@ def features_per_batch(
     """
     def handle(batch: DataFrame, _: int) -> None:
         dated = batch.withColumn("date", F.to_date("ts"))
-        first = dated.agg(F.min("date").alias("d")).first()["d"]
+        days = dated.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
+        first = days["first"]
         if first is None:
             return
         (
-            _merged(spark, dated, bars_path)
+            _merged(spark, dated, bars_path, first, days["last"])
             .repartitionByRange("symbol", "date", "ts")
             .sortWithinPartitions("symbol", "date", "ts")
             .write.mode("overwrite")
@@ -129,7 +131,9 @@ def features_per_batch(
     return handle
 
 
-def _merged(spark: SparkSession, batch: DataFrame, bars_path: str) -> DataFrame:
+def _merged(
+    spark: SparkSession, batch: DataFrame, bars_path: str, first: date, last: date
+) -> DataFrame:
     """The batch plus the stored bars of the same (symbol, date), batch rows winning."""
     try:
         stored = spark.read.parquet(bars_path)
@@ -137,6 +141,8 @@ def _merged(spark: SparkSession, batch: DataFrame, bars_path: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
         return batch
+    # A literal date range prunes the partitions of the stored table.
+    stored = stored.where(F.col("date").between(F.lit(first), F.lit(last)))
     touched = batch.select("symbol", "date").distinct()
     kept = stored.join(touched, ["symbol", "date"], "left_semi").join(
         batch.select("symbol", "ts"), ["symbol", "ts"], "left_anti"
