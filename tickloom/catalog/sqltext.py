@@ -1,4 +1,4 @@
-"""SQL fragments shared by the reference texts of the queries."""
+"""SQL fragments shared by the SQL texts of the queries."""
 
 from __future__ import annotations
 
