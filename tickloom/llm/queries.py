@@ -56,3 +56,32 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op4_token_count")
+def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.token_count import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), limit=2048)
+
+
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.token_files import read_token_files, write_token_files
+
+    files = write_token_files(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, files)
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.packing import pack_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return pack_documents(docs, _tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=0)
