@@ -92,3 +92,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.decontam import find_contamination
 
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=13, share=20)
+
+
+@query("op10_minhash_dedup")
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=5, threshold=0.85)
