@@ -99,3 +99,17 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.minhash_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=5, threshold=0.85)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.toxicity import fit, fold_of, score, training_rows
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = fit(training_rows(docs, table(spark, sf_dir, "labels")))
+    return score(docs, weights).select(
+        "doc_id",
+        (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
