@@ -113,3 +113,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op2_language")
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.langid import fit, fold_of, predict, training_rows
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(training_rows(docs.select("doc_id", "text", "lang")))
+    return predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score"
+    )
