@@ -124,3 +124,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text"), model).select(
         "doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query("op8_embedding_dedup")
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.embed_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.9)
