@@ -137,7 +137,8 @@ _SPOTS = pa.list_(
 
 def document_spots(docs: DataFrame, bitmap, sizes: list[int], width: int) -> DataFrame:
     """Each document with its number of words and, at every shingle that passes the bitmap, the words around it."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kept = [f for f in docs.schema if f.name not in ("_row", "_text")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = Bitmap(bitmap.value)
@@ -160,11 +161,11 @@ def document_spots(docs: DataFrame, bitmap, sizes: list[int], width: int) -> Dat
                         own[i].append({"shingle": v, "at": j - int(firsts[i]), "left": around[: j - begin], "right": around[j - begin :]})
                 spots.extend(own)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "_row"), pa.array(n_words, pa.int64()), pa.array(spots, _SPOTS)],
-                names=["doc_id", "_row", "n_words", "spots"],
+                [*(column(batch, f.name) for f in kept), column(batch, "_row"), pa.array(n_words, pa.int64()), pa.array(spots, _SPOTS)],
+                names=[*(f.name for f in kept), "_row", "n_words", "spots"],
             )
 
-    return docs.select("doc_id", "_row", "_text").mapInArrow(run, f"doc_id {kind}, _row long, {SPOTS}")
+    return docs.mapInArrow(run, f"{fields}, _row long, {SPOTS}")
 
 
 def find_contamination(
@@ -176,8 +177,9 @@ def find_contamination(
     item_text: str = "text",
     width: int = WIDTH,
     share: int = 20,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
+    """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and the ``keep`` columns."""
     spark = docs.sparkSession
     windows = stored(windows_of(items, item_id, item_text, width), "windows")
     shingled = stored(window_shingles(windows), "window-shingles")
@@ -185,7 +187,7 @@ def find_contamination(
     everything = spark.sparkContext.broadcast(Bitmap.of(shingled).bits)
     # Row numbers need to be fixed only from here on: the result is stored below.
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.monotonically_increasing_id().alias("_row")
+        F.col(doc_id).alias("doc_id"), *keep, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.monotonically_increasing_id().alias("_row")
     )
     counts = document_frequency(rows, everything, sizes)
     order = Window.partitionBy("words").orderBy(F.coalesce("n", F.lit(0)), "shingle", "at")
@@ -220,7 +222,7 @@ def find_contamination(
         hits.select("_row", "words").distinct().join(owners, "words").select("_row", "item_id").distinct()
         .groupBy("_row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     )
-    facts = found.select("_row", "doc_id", "n_words").join(covered, "_row", "left").join(listed, "_row", "left")
+    facts = found.select("_row", "doc_id", *keep, "n_words").join(covered, "_row", "left").join(listed, "_row", "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     items_col = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return facts.select(
@@ -230,4 +232,5 @@ def find_contamination(
         F.size(items_col).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_col, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        *keep,
     )

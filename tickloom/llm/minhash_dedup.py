@@ -64,9 +64,14 @@ def set_key(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.astype("<u8").tobytes(), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """``doc_id, n, cls, sig``: set size, 128-bit name of the set, its minwise tokens (null without shingles)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+def signatures(docs: DataFrame, doc_id: str, text: str, width: int, with_row: bool = False) -> DataFrame:
+    """``doc_id, n, cls, sig`` (and ``row``, all columns): set size, 128-bit name of the set, its minwise tokens (null without shingles)."""
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text), F.lit("")).alias("_text"),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if with_row else []),
+    )
+    kind = f", row {rows.schema['row'].dataType.simpleString()}" if with_row else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,11 +90,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame
                     names.append(set_key(values[at[i] : at[i + 1]]) if sizes[i] else None)
                     sigs.append(sig[next(own)].tobytes() if sizes[i] else None)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n", "cls", "sig"],
+                [column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary()), *batch.columns[2:]],
+                names=["doc_id", "n", "cls", "sig", *batch.schema.names[2:]],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n long, cls binary, sig binary")
+    return rows.mapInArrow(run, f"doc_id long, n long, cls binary, sig binary{kind}")
 
 
 def token(sig, coordinate):
@@ -100,11 +105,11 @@ def token(sig, coordinate):
 class Join:
     """One run of the similarity join; tables that later steps read again are stored."""
 
-    def __init__(self, docs: DataFrame, doc_id: str, text: str, width: int, threshold: float, trees: int):
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, width: int, threshold: float, trees: int, with_row: bool = False):
         self.docs, self.doc_id, self.text, self.width = docs, doc_id, text, width
         self.spark, self.threshold, self.trees = docs.sparkSession, threshold, trees
         self.floor = threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / COORDS)
-        self.rows = stored(signatures(docs, doc_id, text, width), "signatures")
+        self.rows = stored(signatures(docs, doc_id, text, width, with_row), "signatures")
         known = self.rows.where(F.col("cls").isNotNull())
         classes = known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         self.classes = stored(classes, "classes")
@@ -279,12 +284,16 @@ class Join:
 
         return rows.groupBy("node", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
 
-    def result(self) -> DataFrame:
+    def link(self) -> DataFrame:
+        """All rounds; ``cls, doc_id, label`` of every class: its smallest doc_id and its component."""
         nodes = stored(self.grow().distinct(), "nodes")
         # First the closest partner of each member, which links most; then all pairs still apart.
         self.confirm(self.compare(nodes, True))
         self.confirm(self.compare(nodes, False))
-        classes = self.labelled(self.classes.select("cls", "doc_id"), self.labels())
+        return stored(self.labelled(self.classes.select("cls", "doc_id"), self.labels()), "class-labels")
+
+    def result(self) -> DataFrame:
+        classes = self.link()
         lowest = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         of_class = classes.join(lowest, "label").select("cls", "component_id")
         some = lookup(self.rows.where(F.col("cls").isNotNull()).select("doc_id", "n", "cls"), of_class, "cls", F.col("doc_id"))
@@ -292,6 +301,15 @@ class Join:
         out = some.select("doc_id", "n", "component_id").unionByName(none)
         return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
+    def representatives(self) -> DataFrame:
+        """The input's columns of one row per component, that of the smallest doc_id, and of every row without shingles."""
+        first = self.link().groupBy("label").agg(F.min(F.struct("doc_id", "cls")).alias("first")).select("first.cls")
+        rows = self.rows.where(F.col("cls").isNotNull()).select("cls", "doc_id", "row").join(first, "cls", "left_semi")
+        # Copies combine on the map side; a null doc_id gives way to any other.
+        one = rows.groupBy("cls").agg(F.coalesce(F.min_by("row", "doc_id"), F.first("row")).alias("row"))
+        none = self.rows.where(F.col("cls").isNull()).select("row")
+        return one.select("row").unionByName(none).select("row.*")
+
 
 def _signature_matrix(column_: pa.Array) -> np.ndarray:
     data = b"".join(x.as_buffer() for x in column_)
@@ -303,3 +321,10 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``. ``threshold`` is taken in whole percent."""
     return Join(docs, doc_id, text, width, threshold, trees).result()
+
+
+def without_near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, trees: int = TREES
+) -> DataFrame:
+    """``docs`` with one row for each group of near duplicates."""
+    return Join(docs, doc_id, text, width, threshold, trees, with_row=True).representatives()

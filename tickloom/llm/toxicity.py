@@ -12,7 +12,7 @@ it, and their states are averaged after every pass (parameter mixing).
 
 Defined results: a null, empty or wordless text has the score of the bias alone; a
 score of 0.5 or more predicts 1. Rows without a label are not learned from; rows that
-repeat a text count once per label. Without labelled rows every score is 0.5.
+repeat a text count once per label. Without labelled rows every score is 0.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ class Ftrl:
 
 
 def sigmoid(x):
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -700, 700)))
 
 
 def sample_rows(rows: DataFrame, max_rows: int) -> DataFrame:
@@ -140,6 +140,8 @@ def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> Dat
     dense = np.zeros((1 << BITS) + 1)
     for at, w in weights.items():
         dense[at] = w
+    if not weights:
+        dense[1 << BITS] = -1e3
     used = np.flatnonzero(dense)
     sent = docs.sparkSession.sparkContext.broadcast((used, dense[used]))
     names = docs.columns
