@@ -75,7 +75,7 @@ def test_sparse_series_borrow_across_many_slices(spark):
 
 def test_lookahead_sliced_equal_whole(walk_bars):
     labelled = label_signals(compute_features(walk_bars, SIGNAL_CFG, ["trend_momentum"])).cache()
-    cfg = TradeConfig(stop_loss_pct=0.002, take_profit_pct=0.003, horizon=25)
+    cfg = TradeConfig(stop_loss_pct=0.002, take_profit_pct=0.003)
     whole = barrier_outcomes(labelled, cfg)
     sliced = barrier_outcomes(labelled, cfg, rows_per_slice=80)
     assert_close(collect(whole, "symbol", "entry_time"), collect(sliced, "symbol", "entry_time"))

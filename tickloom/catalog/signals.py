@@ -18,7 +18,7 @@ from tickloom.sources.tables import hourly_bars, leg_bars, signals, table, tick_
 CFG = FeatureConfig(ma=(20, 50), ema=(), regression=(), momentum=())
 HOURLY = labelled(HOURLY_BARS, "bars")
 TICKS = labelled(TICK_BARS, "raw")
-TRADES = TradeConfig(horizon=24)
+TRADES = TradeConfig()
 
 
 def labelled_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,9 +151,9 @@ def signal_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("symbol", "ts", rounded(score).alias("confidence"))
 
 
-_AHEAD = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING)"
-_BARRIER = f"""{HOURLY}, path AS (SELECT symbol, ts, close, signal, list({{'ts': ts, 'close': close, 'signal': signal}}) OVER {_AHEAD} AS ahead FROM labelled),
-hits AS (SELECT *, list_filter(ahead, lambda b: b.close <= close * (1 - 0.05) OR b.close >= close * (1 + 0.10) OR b.signal = 'sell')[1] AS x FROM path WHERE signal = 'buy')"""
+_BARRIER = f"""{HOURLY}, hits AS (SELECT b.symbol, b.ts, b.close, (SELECT arg_min({{'ts': l.ts, 'close': l.close}}, l.ts) FROM labelled l
+  WHERE l.symbol = b.symbol AND l.ts > b.ts AND (l.close <= b.close * (1 - 0.05) OR l.close >= b.close * (1 + 0.10) OR l.signal = 'sell')) AS x
+  FROM labelled b WHERE b.signal = 'buy')"""
 _REASON = """CASE WHEN x IS NULL THEN 'open' WHEN x.close <= close * (1 - 0.05) THEN 'stop_loss'
   WHEN x.close >= close * (1 + 0.10) THEN 'take_profit' ELSE 'signal' END"""
 
@@ -194,19 +194,27 @@ def trade_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GRID = ParameterGrid()
-_GRID_SQL = f"""{HOURLY}, path AS (SELECT symbol, ts, close, signal, list({{'close': close, 'signal': signal}}) OVER {_AHEAD} AS ahead FROM labelled),
-grid AS (SELECT s, t FROM (SELECT unnest({list(_GRID.stop_loss_pct)}) AS s), (SELECT unnest({list(_GRID.take_profit_pct)}) AS t)),
-ex AS (SELECT s, t, close AS c, list_filter(ahead, lambda b: b.close <= close * (1 - s) OR b.close >= close * (1 + t) OR b.signal = 'sell')[1] AS x FROM path, grid WHERE signal = 'buy'),
-g AS (SELECT s, t, x.close / c - 1 - x.close / c * {_COST} AS gain FROM ex),
+_GRID_SQL = f"""{HOURLY}, grid AS (SELECT s, t FROM (SELECT unnest({list(_GRID.stop_loss_pct)}) AS s), (SELECT unnest({list(_GRID.take_profit_pct)}) AS t)),
+ex AS (SELECT s, t, b.symbol, b.ts AS entered, b.close AS c, min(l.ts) AS left_at, arg_min(l.close, l.ts) AS x FROM labelled b CROSS JOIN grid LEFT JOIN labelled l
+  ON l.symbol = b.symbol AND l.ts > b.ts AND (l.close <= b.close * (1 - s) OR l.close >= b.close * (1 + t) OR l.signal = 'sell')
+  WHERE b.signal = 'buy' GROUP BY ALL),
+g AS (SELECT s, t, left_at, x / c - 1 - x / c * {_COST} AS gain FROM ex),
 a AS (SELECT s, t, count(*) AS entries, count(gain) AS closed_trades, count(*) FILTER (gain > 0) AS wins, coalesce(sum(gain), 0) AS gain FROM g GROUP BY 1, 2),
-ranked AS (SELECT CAST(s AS DOUBLE) AS stop_loss_pct, CAST(t AS DOUBLE) AS take_profit_pct, CAST(z AS DOUBLE) AS max_position_size, entries, closed_trades,
-  {rnd('wins / closed_trades')} AS win_rate, {rnd('gain * z')} AS total_return, {rnd('100000.0 * (1 + gain * z)', 4)} AS final_equity
-  FROM a, (SELECT unnest({list(_GRID.max_position_size)}) AS z))"""
+m AS (SELECT s, t, left_at, sum(gain) AS gain FROM g WHERE left_at IS NOT NULL GROUP BY 1, 2, 3),
+c AS (SELECT *, sum(gain) OVER (PARTITION BY s, t ORDER BY left_at ROWS UNBOUNDED PRECEDING) AS total FROM m),
+p AS (SELECT *, greatest(max(total) OVER (PARTITION BY s, t ORDER BY left_at ROWS UNBOUNDED PRECEDING), 0) AS peak FROM c),
+sizes AS (SELECT unnest({list(_GRID.max_position_size)}) AS z),
+q AS (SELECT s, t, z, min(z * (total - peak) / (1 + z * peak)) AS max_drawdown, avg(z * gain / (1 + z * (total - gain))) AS mu,
+  stddev_samp(z * gain / (1 + z * (total - gain))) AS sd FROM p, sizes GROUP BY 1, 2, 3),
+ranked AS (SELECT CAST(s AS DOUBLE) AS stop_loss_pct, CAST(t AS DOUBLE) AS take_profit_pct, CAST(z AS DOUBLE) AS max_position_size, CAST(entries AS BIGINT) AS entries,
+  CAST(closed_trades AS BIGINT) AS closed_trades, {rnd('wins / closed_trades')} AS win_rate, {rnd('gain * z')} AS total_return, {rnd('100000.0 * (1 + gain * z)', 4)} AS final_equity,
+  {rnd('coalesce(max_drawdown, 0)')} AS max_drawdown, {rnd('coalesce(mu / nullif(sd, 0) * sqrt(1440), 0)', 5)} AS sharpe_ratio
+  FROM (SELECT * FROM a, sizes) LEFT JOIN q USING (s, t, z))"""
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = td.grid_rank(labelled_hourly(spark, sf_dir), _GRID, TRADES)
-    return r6(r6(ranked, "win_rate", "total_return"), "final_equity", places=4)
+    return r6(r6(r6(ranked, "win_rate", "total_return", "max_drawdown"), "final_equity", places=4), "sharpe_ratio", places=5)
 
 
 @query("grid_rank", f"WITH {_GRID_SQL} SELECT * FROM ranked")

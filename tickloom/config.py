@@ -71,7 +71,6 @@ class TradeConfig:
     max_position_size: float = 0.05
     stop_loss_pct: float = 0.05
     take_profit_pct: float = 0.10
-    horizon: int = 50
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tickloom.config import CostModel, ParameterGrid, TradeConfig
 from tickloom.functions.numeric import clip, count_if, ratio
+from tickloom.plans.breach import first_breaches
 from tickloom.plans.scan import running
-from tickloom.plans.slices import slice_series
 from tickloom.plans.small import join_small
+from tickloom.session import durable
 
 
 def trade_cost(value: Column, cfg: TradeConfig | None = None) -> Column:
@@ -37,9 +39,8 @@ def kelly_fraction(
     return clip(raw, F.lit(0.0), F.lit(ceiling))
 
 
-def _path(series_window, horizon: int) -> Column:
-    ahead = series_window.rowsBetween(1, horizon)
-    return F.collect_list(F.struct("ts", "close", "signal")).over(ahead)
+def _instant(micros: Column, kind: str) -> Column:
+    return F.timestamp_micros(micros).cast(kind)
 
 
 def barrier_outcomes(
@@ -47,20 +48,15 @@ def barrier_outcomes(
 ) -> DataFrame:
     """For each buy: the first later bar that hits the stop, the target or a sell.
 
-    Looks at most ``cfg.horizon`` bars ahead; on one bar the stop is tested
-    before the target and the target before the signal. Exits are at the close.
+    However far away it is; on one bar the stop is tested before the target and
+    the target before the signal. Exits are at the close; a buy without one is ``open``.
     """
     cfg = cfg or TradeConfig()
-    series = slice_series(
-        labelled.select("symbol", "ts", "close", "signal"),
-        ["symbol"], ["ts"], lookahead=cfg.horizon, rows_per_slice=rows_per_slice,
-    )
-    entries = series.owned(
-        series.df.withColumn("_ahead", _path(series.window, cfg.horizon)).where(F.col("signal") == "buy")
-    )
+    found = first_breaches(labelled, [cfg.stop_loss_pct], [cfg.take_profit_pct], rows_per_slice=rows_per_slice)
+    kind = dict(labelled.dtypes)["ts"]
     low, high = F.col("close") * (1 - cfg.stop_loss_pct), F.col("close") * (1 + cfg.take_profit_pct)
-    leaves = lambda b: (b["close"] <= low) | (b["close"] >= high) | (b["signal"] == "sell")
-    found = entries.withColumn("_exit", F.get(F.filter("_ahead", leaves), F.lit(0)))
+    # Structs compare by time first.
+    found = found.withColumn("_exit", F.array_min(F.array_compact("marks")))
     price = F.col("_exit.close")
     reason = (
         F.when(price.isNull(), "open")
@@ -70,9 +66,9 @@ def barrier_outcomes(
     )
     return found.select(
         "symbol",
-        F.col("ts").alias("entry_time"),
+        _instant(F.col("ts"), kind).alias("entry_time"),
         F.col("close").alias("entry_price"),
-        F.col("_exit.ts").alias("exit_time"),
+        _instant(F.col("_exit.ts"), kind).alias("exit_time"),
         price.alias("exit_price"),
         reason.alias("exit_reason"),
     )
@@ -138,70 +134,67 @@ def grid_rank(
     grid: ParameterGrid | None = None,
     cfg: TradeConfig | None = None,
     *,
+    periods: float = 1440.0,
     rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Every stop x target x size combination, ranked by total return, in one job.
 
-    The first bar past each stop and each target is found once per entry; a
-    combination only compares those positions, and the size scales its sums. Rows
-    are never multiplied by the grid before they are aggregated.
+    The first bar past each stop and each target is found once per entry, at any
+    distance. A stop x target pair only compares those bars; its gains are summed per exit
+    time before anything is multiplied by the grid, and the sizes scale the sums.
+    The equity of a combination moves at its exit times: ``max_drawdown`` is its lowest
+    distance from the peak so far, ``sharpe_ratio`` the mean over the deviation of its
+    moves, scaled to ``periods`` (0 where undefined).
     """
     grid, cfg = grid or ParameterGrid(), cfg or TradeConfig()
-    series = slice_series(
-        labelled.select("symbol", "ts", "close", "signal"),
-        ["symbol"], ["ts"], lookahead=cfg.horizon, rows_per_slice=rows_per_slice,
-    )
-    entries = series.owned(
-        series.df.withColumn("_ahead", _path(series.window, cfg.horizon)).where(F.col("signal") == "buy")
-    )
-    beyond = cfg.horizon + 1
-    first = lambda test: F.coalesce(
-        F.nullif(F.array_position(F.transform("_ahead", test), F.lit(True)), F.lit(0)), F.lit(beyond)
-    )
-    at_or_below = lambda level: first(lambda b: b["close"] <= level)
-    at_or_above = lambda level: first(lambda b: b["close"] >= level)
-    marks = {"_sell": first(lambda b: b["signal"] == "sell")}
-    for i, s in enumerate(grid.stop_loss_pct):
-        marks[f"_stop{i}"] = at_or_below(F.col("close") * (1 - s))
-    for j, t in enumerate(grid.take_profit_pct):
-        marks[f"_target{j}"] = at_or_above(F.col("close") * (1 + t))
-    marked = entries.withColumns(marks)
+    stops, targets = list(grid.stop_loss_pct), list(grid.take_profit_pct)
+    entries = first_breaches(labelled, stops, targets, rows_per_slice=rows_per_slice)
     cost = cfg.commission_rate + cfg.slippage_bps / 10_000
-    sums = []
-    for i, _ in enumerate(grid.stop_loss_pct):
-        for j, _ in enumerate(grid.take_profit_pct):
-            at = F.least(f"_stop{i}", f"_target{j}", "_sell")
-            growth = F.get("_ahead", at.cast("int") - 1)["close"] / F.col("close")
+    sell = F.get("marks", F.lit(len(stops) + len(targets)))
+    cells = []
+    for i, stop in enumerate(stops):
+        for j, target in enumerate(targets):
+            at = F.array_min(F.array_compact(F.array(F.get("marks", F.lit(i)), F.get("marks", F.lit(len(stops) + j)), sell)))
+            growth = at["close"] / F.col("close")
             # Per unit of invested notional: price change less the exit cost.
-            gain = F.when(at < beyond, growth - 1 - growth * cost)
-            sums.append(
+            cells.append(
                 F.struct(
-                    F.lit(i).alias("i"), F.lit(j).alias("j"),
-                    F.count(gain).alias("closed"),
-                    count_if(gain > 0).alias("wins"),
-                    F.coalesce(F.sum(gain), F.lit(0.0)).alias("gain"),
+                    F.lit(stop).alias("stop_loss_pct"), F.lit(target).alias("take_profit_pct"),
+                    at["ts"].alias("at"), (growth - 1 - growth * cost).alias("gain"),
                 )
             )
-    stops = F.array(*(F.lit(s) for s in grid.stop_loss_pct))
-    targets = F.array(*(F.lit(t) for t in grid.take_profit_pct))
-    sizes = F.explode(F.array(*(F.lit(x) for x in grid.max_position_size)))
+    pair = ["stop_loss_pct", "take_profit_pct"]
+    moves = (
+        entries.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+        .groupBy(*pair, "at")
+        .agg(F.count("*").alias("entries"), F.count("gain").alias("closed"), count_if(F.col("gain") > 0).alias("wins"), F.sum("gain").alias("gain"))
+    )
+    moves = durable(moves)
+    totals = moves.groupBy(*pair).agg(
+        F.sum("entries").alias("entries"), F.sum("closed").alias("closed_trades"), F.sum("wins").alias("_wins"),
+        F.coalesce(F.sum("gain"), F.lit(0.0)).alias("_gain"),
+    )
+    summed = running(moves.where(F.col("gain").isNotNull()), pair, ["at"], {"_sum": ("sum", F.col("gain"))}, rows_per_slice=rows_per_slice)
+    peaked = running(durable(summed), pair, ["at"], {"_peak": ("max", F.col("_sum"))}, rows_per_slice=rows_per_slice)
+    sizes = F.explode(F.array(*(F.lit(x) for x in grid.max_position_size))).alias("max_position_size")
+    size, peak = F.col("max_position_size"), F.greatest(F.col("_peak"), F.lit(0.0))
+    path = peaked.select(*pair, "gain", "_sum", "_peak", sizes).groupBy(*pair, "max_position_size").agg(
+        F.min(size * (F.col("_sum") - peak) / (1 + size * peak)).alias("max_drawdown"),
+        F.avg(size * F.col("gain") / (1 + size * (F.col("_sum") - F.col("gain")))).alias("_mean"),
+        F.stddev(size * F.col("gain") / (1 + size * (F.col("_sum") - F.col("gain")))).alias("_std"),
+    )
     return (
-        marked.agg(F.count("*").alias("entries"), F.array(*sums).alias("cells"))
-        .select("entries", F.explode("cells").alias("c"))
-        .select(
-            F.get(stops, F.col("c.i")).alias("stop_loss_pct"),
-            F.get(targets, F.col("c.j")).alias("take_profit_pct"),
-            sizes.alias("max_position_size"),
-            "entries",
-            F.col("c.closed").alias("closed_trades"),
-            F.coalesce(ratio(F.col("c.wins"), F.col("c.closed")), F.lit(0.0)).alias("win_rate"),
-            F.col("c.gain").alias("_gain"),
-        )
-        .withColumn("total_return", F.col("_gain") * F.col("max_position_size"))
+        totals.select("*", sizes).join(path, [*pair, "max_position_size"], "left")
+        .withColumns({
+            "win_rate": F.coalesce(ratio(F.col("_wins"), F.col("closed_trades")), F.lit(0.0)),
+            "total_return": F.col("_gain") * size,
+            "max_drawdown": F.coalesce("max_drawdown", F.lit(0.0)),
+            "sharpe_ratio": F.coalesce(ratio(F.col("_mean"), F.col("_std")) * math.sqrt(periods), F.lit(0.0)),
+        })
         .withColumn("final_equity", cfg.initial_capital * (1 + F.col("total_return")))
-        .drop("_gain")
+        .drop("_gain", "_wins", "_mean", "_std")
         .orderBy(F.desc("total_return"), "stop_loss_pct", "take_profit_pct", "max_position_size")
-    )
+    )
 
 
 def signed_quantity(action: str = "action", quantity: str = "quantity") -> Column:
