@@ -302,13 +302,14 @@ def time_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "time_range",
-    """WITH r AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:45:00', INTERVAL 15 MINUTE)) AS ts),
+    """WITH r AS (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)) + INTERVAL '23 hours 45 minutes', INTERVAL 15 MINUTE)) AS ts FROM events),
     e AS (SELECT time_bucket(INTERVAL '15 minutes', ts) AS ts, count(*) AS n FROM events GROUP BY 1)
     SELECT r.ts, coalesce(n, 0) AS n FROM r LEFT JOIN e ON r.ts = e.ts""",
 )
 def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per calendar slot, empty slots included."""
-    slots = tf.time_range(spark, "2024-01-01", "2024-01-30 23:45:00", 15)
+    days = table(spark, sf_dir, "events").agg(F.to_date(F.min("ts")).cast("string").alias("a"), F.to_date(F.max("ts")).cast("string").alias("b")).first()
+    slots = tf.time_range(spark, days["a"], f"{days['b']} 23:45:00", 15)
     counts = table(spark, sf_dir, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "15 minutes")["start"].alias("ts")).agg(
         F.count("*").alias("n")
     )
@@ -325,44 +326,32 @@ def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"))
-    df = jobs.trading_sessions(ticks)
+    df = jobs.stored_sessions(ticks)
     return df.withColumns({"session_start": ntz("session_start"), "session_end": ntz("session_end")})
 
 
-_CLOSED = "(SELECT date_trunc('hour', max(ts)) FROM events) - INTERVAL 2 HOUR"
-
-
-def _only_closed(spark: SparkSession, sf_dir: str, out: DataFrame, column: str) -> DataFrame:
-    """Windows the watermark has certainly closed (one-row side, broadcast)."""
-    last = table(spark, sf_dir, "events").agg(
-        (F.date_trunc("hour", F.max("ts")) - F.expr("INTERVAL 2 HOURS")).cast("timestamp_ntz").alias("last")
-    )
-    return out.withColumn(column, ntz(column)).join(F.broadcast(last), F.col(column) < F.col("last")).drop("last")
-
-
-@query("stream_bars", f"WITH {HOURLY_BARS} SELECT symbol, ts, open, high, low, close, volume FROM bars WHERE ts < {_CLOSED}")
+@query("stream_bars", f"WITH {HOURLY_BARS} SELECT symbol, ts, open, high, low, close, volume FROM bars")
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks streamed into hourly bars; hours still open at the end are not emitted."""
+    """Ticks streamed into hourly bars."""
     out = batch_replay.run(
         spark, f"{sf_dir}/events.parquet", lambda events: jobs.bars_from_ticks(batch_replay.as_ticks(events), "1 hour", "1 hour")
     )
-    closed = _only_closed(spark, sf_dir, out, "ts")
-    return closed.select("symbol", "ts", "open", "high", "low", "close", F.col("ticks").cast("double").alias("volume"))
+    return out.select("symbol", ntz("ts").alias("ts"), "open", "high", "low", "close", F.col("ticks").cast("double").alias("volume"))
 
 
 @query(
     "stream_error_health",
-    f"WITH {ERRORS}, w AS ({_windowed('1 hour', 1.0)}) SELECT * FROM w WHERE window_start < {_CLOSED}",
+    f"WITH {ERRORS}, w AS ({_windowed('1 hour', 1.0)}) SELECT * FROM w",
 )
 def stream_error_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = batch_replay.run(spark, f"{sf_dir}/events.parquet", lambda events: jobs.error_health(batch_replay.as_errors(events)))
-    return _only_closed(spark, sf_dir, out, "window_start")
+    return out.withColumn("window_start", ntz("window_start"))
 
 
 @query(
     "stream_analysis_metrics",
     f"""WITH {ANALYSES} SELECT date_trunc('hour', "timestamp") AS window_start, count(*) AS analyses, {rnd('avg(latency_ms)')} AS latency_avg,
-    count(*) FILTER (action_type = 'hold') AS n_hold FROM analyses GROUP BY 1 HAVING window_start < {_CLOSED}""",
+    count(*) FILTER (action_type = 'hold') AS n_hold FROM analyses GROUP BY 1""",
 )
 def stream_analysis_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = batch_replay.run(
@@ -370,8 +359,7 @@ def stream_analysis_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{sf_dir}/events.parquet",
         lambda events: jobs.analysis_metrics_by_window(batch_replay.as_analyses(events), late="1 hour"),
     )
-    closed = _only_closed(spark, sf_dir, out, "window_start")
-    return closed.select("window_start", "analyses", rounded("latency_avg").alias("latency_avg"), "n_hold")
+    return out.select(ntz("window_start").alias("window_start"), "analyses", rounded("latency_avg").alias("latency_avg"), "n_hold")
 
 
 @query(

@@ -104,12 +104,10 @@ def signal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     "signal_risk_metrics",
     f"""WITH {TICKS}, {SIGNALS}, s AS (SELECT symbol, ts, nullif(entry_price, 0) AS e, nullif(stop_loss, 0) AS sl, nullif(take_profit, 0) AS tp FROM signals)
     SELECT symbol, ts, {rnd('abs(e - sl)', 7)} AS risk_per_share, {rnd('abs(e - sl) / e')} AS risk_pct, {rnd('abs(tp - e)', 7)} AS reward_per_share,
-    {rnd('abs(tp - e) / e')} AS reward_pct, {rnd('abs(tp - e) / nullif(abs(e - sl), 0)', 3)} AS risk_reward_ratio FROM s
-    WHERE abs(e - sl) > 1e-9 OR e IS NULL OR sl IS NULL""",
+    {rnd('abs(tp - e) / e')} AS reward_pct, {rnd('CASE WHEN abs(e - sl) > 1e-9 THEN abs(tp - e) / abs(e - sl) END', 3)} AS risk_reward_ratio FROM s""",
 )
 def signal_risk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = sg.with_risk_metrics(signals(labelled_ticks(spark, sf_dir)))
-    df = df.where((F.col("risk_per_share") > 1e-9) | F.col("risk_per_share").isNull())
     df = df.select("symbol", "ts", "risk_per_share", "risk_pct", "reward_per_share", "reward_pct", "risk_reward_ratio")
     return r6(r6(r6(df, "risk_pct", "reward_pct"), "risk_per_share", "reward_per_share", places=7), "risk_reward_ratio", places=3)
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import count_if, ratio
@@ -15,9 +15,15 @@ from tickloom.plans.quantiles import aggregate_with_quantiles, quantiles
 from tickloom.plans.small import join_small
 
 
-def long_form(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
-    """``ids, feature, value``: one row per feature cell."""
-    wide = df.select(*ids, *(F.col(c).cast("double").alias(c) for c in columns))
+def finite(name: str) -> Column:
+    """The column as a double; NaN and infinite values are missing."""
+    value = F.col(name).cast("double")
+    return F.when(F.abs(value) < math.inf, value)
+
+
+def long_form(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), raw: bool = False) -> DataFrame:
+    """``ids, feature, value``: one row per feature cell; NaN and infinite values are missing unless ``raw``."""
+    wide = df.select(*ids, *((F.col(c).cast("double") if raw else finite(c)).alias(c) for c in columns))
     return wide.unpivot(list(ids), list(columns), "feature", "value")
 
 
@@ -57,7 +63,7 @@ def missing_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     missing = F.col("value").isNull() | F.isnan("value")
     infinite = F.col("value").isin(math.inf, -math.inf)
     return (
-        long_form(df, columns)
+        long_form(df, columns, raw=True)
         .groupBy("feature")
         .agg(
             F.count("*").alias("rows"),
@@ -176,7 +182,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     tasks * p^2 / 2 rows are shuffled whatever the number of bars.
     """
     columns = list(columns)
-    values = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    values = df.select(*(finite(c).alias(c) for c in columns))
     means = values.agg(*(F.avg(c).alias(c) for c in columns)).first()
     centre = np.array([means[c] if means[c] is not None else 0.0 for c in columns])
     schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"

@@ -121,7 +121,10 @@ def confidence(weights: Mapping[str, float], base: float = 0.5, values: str | No
 
 
 def with_risk_metrics(signals: DataFrame) -> DataFrame:
-    """Risk and reward per share, as a fraction, and their ratio; a zero price is missing."""
+    """Risk and reward per share, as a fraction, and their ratio.
+
+    A zero price is missing; a risk below a billionth is rounding, so it has no ratio.
+    """
     entry, stop, target = (F.nullif(F.col(c), F.lit(0.0)) for c in ("entry_price", "stop_loss", "take_profit"))
     risk, reward = F.abs(entry - stop), F.abs(target - entry)
     return signals.withColumns(
@@ -130,7 +133,7 @@ def with_risk_metrics(signals: DataFrame) -> DataFrame:
             "risk_pct": ratio(risk, entry),
             "reward_per_share": reward,
             "reward_pct": ratio(reward, entry),
-            "risk_reward_ratio": ratio(reward, risk),
+            "risk_reward_ratio": F.when(risk > 1e-9, ratio(reward, risk)),
         }
     )
 

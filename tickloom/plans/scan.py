@@ -57,7 +57,9 @@ def running(
             for name, (kind, _) in measures.items()
         ),
     )
-    # One row per slice: bounded by rows / rows_per_slice, like the cut table.
+    # Slice 0 carries nothing, and short series have no other: one row per further slice of a long
+    # one, at most rows / rows_per_slice.
+    carry = carry.where(F.col(SLICE) > 0)
     joined = series.df.join(F.broadcast(carry), list(series.partition), "left").withColumns(local)
     combined = {
         name: _combine(kind, F.col(f"_carry_{name}"), F.col(name))

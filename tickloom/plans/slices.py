@@ -89,9 +89,9 @@ def count_not_above(cuts: Column, pos: Column) -> Column:
 def _slice_table(
     positions: DataFrame, keys: Sequence[str], step: int, rows: int, lookback: int, lookahead: int
 ) -> DataFrame:
-    """One row per key: cut positions and, per gap between cuts, its slices.
+    """One row per long key: cut positions and, per gap between cuts, its slices.
 
-    Holds at most about CUTS_PER_SLICE entries per slice over all keys.
+    Holds at most about CUTS_PER_SLICE entries per slice; short keys have no row and are slice 0.
     """
     chosen = F.pmod(F.xxhash64(*keys, "_pos"), F.lit(step)) == 0
     cuts = positions.where(chosen).groupBy(*keys).agg(F.sort_array(F.collect_set("_pos")).alias("cuts"))
@@ -145,14 +145,15 @@ def slice_series(
     """
     keys, order = tuple(keys), tuple(order)
     rows = rows_per_slice or ROWS_PER_SLICE
-    size = df.groupBy(*keys).count().agg(
-        F.max("count").alias("longest"), F.sum("count").alias("total")
-    ).first()
+    counts = df.groupBy(*keys).count()
+    size = counts.agg(F.max("count").alias("longest"), F.sum("count").alias("total")).first()
     if (size["longest"] or 0) <= 2 * rows:
         return Series(df, keys, order, False)
     rows = max(rows, CUTS_PER_SLICE * size["total"] // MAX_CUTS)
     step = max(rows // CUTS_PER_SLICE, 1)
-    positions = df.select(*keys, position(df, order[0]).alias("_pos"))
+    # Only series longer than two slices are cut: at most total / (2 * rows) of them.
+    long_keys = F.broadcast(durable(counts.where(F.col("count") > 2 * rows).select(*keys)))
+    positions = df.select(*keys, position(df, order[0]).alias("_pos")).join(long_keys, list(keys), "left_semi")
     # Small and used by every later evaluation of the result, so computed once.
     table = durable(_slice_table(positions, keys, step, rows, lookback, lookahead))
     sub = count_not_above(F.col("cuts"), F.col("_pos"))
@@ -160,8 +161,8 @@ def slice_series(
         df.withColumn("_pos", position(df, order[0]))
         .join(F.broadcast(table), list(keys), "left")
         .withColumn("_span", F.get("spans", sub - F.col("base")))
-        .withColumn(SLICE, F.explode(F.sequence("_span.first", "_span.last")))
-        .withColumn(BORROWED, F.col(SLICE) != F.col("_span.slice"))
+        .withColumn(SLICE, F.explode(F.sequence(F.coalesce("_span.first", F.lit(0)), F.coalesce("_span.last", F.lit(0)))))
+        .withColumn(BORROWED, F.col(SLICE) != F.coalesce("_span.slice", F.lit(0)))
         .drop("_pos", "cuts", "spans", "base", "_span")
     )
     return Series(sliced, keys, order, True)

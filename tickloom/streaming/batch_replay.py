@@ -80,26 +80,51 @@ def _fresh_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix="tickloom-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def _markers(spark: SparkSession, folder: str, events: DataFrame) -> DataFrame:
+    """A second source of the same shape, still empty: its one later row closes every window."""
+    schema = events.schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(folder)
+    return spark.readStream.schema(schema).parquet(folder)
+
+
+def _close(spark: SparkSession, path: str, folder: str) -> None:
+    """Ten years after the last event nothing is open any more; the marker's own windows stay in state."""
+    last = spark.read.parquet(path).agg(F.max("ts").alias("last")).where("last IS NOT NULL")
+    shape = spark.read.schema(spark.read.parquet(path).schema).parquet(folder)
+    blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in shape.schema}
+    kind = shape.schema["ts"].dataType
+    row = blank | {"ts": (F.col("last") + F.expr("INTERVAL 10 YEARS")).cast(kind).alias("ts"), "event_type": F.lit("error").alias("event_type")}
+    last.select(*row.values()).write.mode("append").parquet(folder)
+
+
 def run(
     spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], output: str | None = None
 ) -> DataFrame:
-    """Stream ``path`` through ``build`` into a Parquet sink and read it back."""
+    """Stream ``path`` through ``build`` into a Parquet sink and read it back, all windows closed."""
     configure(spark)
     folder = output or _fresh_folder(spark)
-    query = (
-        build(_source(spark, path))
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{folder}/data")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    markers = f"{folder}/markers"
+    source = _source(spark, path)
+    whole = source.unionByName(_markers(spark, markers, source))
+    for turn in range(2):
+        query = (
+            build(whole)
+            .writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", f"{folder}/data")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        if turn == 0:
+            _close(spark, path, markers)
     return spark.read.parquet(f"{folder}/data")
 
 

@@ -12,6 +12,8 @@ from tickloom.config import QualityConfig
 from tickloom.functions.numeric import count_if
 from tickloom.operators.normalize import reject_reason
 from tickloom.operators.operations import error_health_by_window
+from tickloom.plans.scan import running
+from tickloom.plans.slices import slice_series
 from tickloom.session import durable
 
 
@@ -85,6 +87,28 @@ def trading_sessions(ticks: DataFrame, gap: str = "60 minutes", late: str | None
     )
 
 
+def stored_sessions(ticks: DataFrame, minutes: int = 60, *, rows_per_slice: int | None = None) -> DataFrame:
+    """The sessions of stored ticks, for symbols of any length.
+
+    Ticks of one instant combine on the map side; a session begins where the one before is ``minutes``
+    or more away. Both steps walk sliced series, so a busy symbol spreads over tasks.
+    """
+    instants = durable(ticks.where(F.col("ts").isNotNull()).groupBy("symbol", "ts").agg(F.count("*").alias("ticks")))
+    series = slice_series(instants, ["symbol"], ["ts"], lookback=1, rows_per_slice=rows_per_slice)
+    gap = F.unix_micros(F.col("ts")) - F.unix_micros(F.lag("ts").over(series.window))
+    begun = series.owned(series.df.withColumn("_new", (F.coalesce(gap >= minutes * 60_000_000, F.lit(True))).cast("int")))
+    numbered = running(durable(begun), ["symbol"], ["ts"], {"_session": ("sum", F.col("_new"))}, rows_per_slice=rows_per_slice)
+    return (
+        numbered.groupBy("symbol", "_session")
+        .agg(
+            F.min("ts").alias("session_start"),
+            (F.max("ts") + F.make_dt_interval(mins=F.lit(minutes))).alias("session_end"),
+            F.sum("ticks").alias("ticks"),
+        )
+        .drop("_session")
+    )
+
+
 def features_per_batch(
     spark: SparkSession,
     bars_path: str,
