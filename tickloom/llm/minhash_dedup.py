@@ -38,7 +38,7 @@ from tickloom.llm.words import SOLID_WORD, column, hash_spans, pieces, shingles,
 
 COORDS = 128
 TREES = 8
-SMALL = 64
+SMALL = 256
 BLOCK = 256
 SIGMAS = 4.5  # a pair at the threshold agrees this far below its expectation once in 300,000 times
 
@@ -64,8 +64,9 @@ def set_key(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.astype("<u8").tobytes(), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, width: int, with_row: bool = False) -> DataFrame:
-    """``doc_id, n, cls, sig`` (and ``row``, all columns): set size, 128-bit name of the set, its minwise tokens (null without shingles)."""
+def signatures(docs: DataFrame, doc_id: str, text: str, width: int, trees: int, with_row: bool = False) -> DataFrame:
+    """``doc_id, n, cls, roots, sig`` (and ``row``, all columns): set size, 128-bit name of the set, its first
+    ``trees`` minwise tokens, and sixteen bits of each of ``COORDS`` of them (null without shingles)."""
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
@@ -75,7 +76,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, with_row: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, names, sigs = [], [], []
+            n, names, roots, sigs = [], [], [], []
             for _, values, at in shingle_sets(column(batch, "_text"), width):
                 sizes = np.diff(at)
                 n.extend(sizes.tolist())
@@ -84,22 +85,25 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, with_row: bo
                 if len(some):
                     for k in range(COORDS):
                         sig[k] = np.minimum.reduceat((((values ^ _XOR[k]) * _ODD[k]) >> np.uint64(32)).astype(np.uint32), at[:-1][some])
-                sig = np.ascontiguousarray(sig.T.astype("<u4"))
+                tops = np.ascontiguousarray(sig[:trees].T).astype(np.int64)
+                sig = np.ascontiguousarray((sig & np.uint32(0xFFFF)).T.astype("<u2"))
                 own = iter(range(len(some)))
                 for i in range(len(sizes)):
                     names.append(set_key(values[at[i] : at[i + 1]]) if sizes[i] else None)
-                    sigs.append(sig[next(own)].tobytes() if sizes[i] else None)
+                    k = next(own) if sizes[i] else None
+                    roots.append(None if k is None else tops[k])
+                    sigs.append(None if k is None else sig[k].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary()), *batch.columns[2:]],
-                names=["doc_id", "n", "cls", "sig", *batch.schema.names[2:]],
+                [column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(roots, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), *batch.columns[2:]],
+                names=["doc_id", "n", "cls", "roots", "sig", *batch.schema.names[2:]],
             )
 
-    return rows.mapInArrow(run, f"doc_id long, n long, cls binary, sig binary{kind}")
+    return rows.mapInArrow(run, f"doc_id long, n long, cls binary, roots array<long>, sig binary{kind}")
 
 
 def token(sig, coordinate):
-    """The minwise token at a coordinate: four bytes of the signature."""
-    return F.hex(F.substring(sig, coordinate * 4 + 1, F.lit(4)))
+    """The minwise token at a coordinate: two bytes of the signature."""
+    return F.hex(F.substring(sig, coordinate * 2 + 1, F.lit(2)))
 
 
 class Join:
@@ -109,11 +113,12 @@ class Join:
         self.docs, self.doc_id, self.text, self.width = docs, doc_id, text, width
         self.spark, self.threshold, self.trees = docs.sparkSession, threshold, trees
         self.floor = threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / COORDS)
-        self.rows = stored(signatures(docs, doc_id, text, width, with_row), "signatures")
+        self.rows = stored(signatures(docs, doc_id, text, width, trees, with_row), "signatures")
         known = self.rows.where(F.col("cls").isNotNull())
-        classes = known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        classes = known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("sig").alias("sig"))
         self.classes = stored(classes, "classes")
         self.links: DataFrame | None = None
+        self.known: DataFrame | None = None
 
     def fetch_sets(self, wanted: DataFrame) -> DataFrame:
         """``cls, hashes``: full shingle sets of the classes wanted, from the texts again."""
@@ -147,8 +152,9 @@ class Join:
             return False
         ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         sets = stored(self.fetch_sets(ends), "sets")
-        whole = lookup(pairs, sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a", F.col("b"))
-        whole = lookup(whole, sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b", F.col("a"))
+        # A class in very many pairs is split by adaptive execution: its set goes to each part.
+        whole = pairs.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")
+        whole = whole.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
         percent = round(self.threshold * 100)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +172,7 @@ class Join:
         new = stored(whole.select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary"), "links")
         if new.isEmpty():
             return False
-        self.links = new if self.links is None else self.links.unionByName(new)
+        self.links, self.known = new if self.links is None else self.links.unionByName(new), None
         return True
 
     def labelled(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -176,47 +182,49 @@ class Join:
         return rows.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
     def labels(self) -> DataFrame | None:
-        return None if self.links is None else stored(components(self.links), "labels")
+        """Components of the links so far; computed again only after new links."""
+        if self.known is None and self.links is not None:
+            self.known = stored(components(self.links), "labels")
+        return self.known
 
     def grow(self) -> DataFrame:
         """Branch all trees; ``node, cls`` of the nodes to compare exhaustively."""
-        sig = self.classes.select("cls", "sig")
-        roots = sig.select("cls", F.explode(F.array(*[
-            F.xxhash64(F.lit(t), F.substring("sig", 4 * t + 1, 4)) for t in range(self.trees)
-        ])).alias("node"))
+        tree = F.posexplode("roots").alias("tree", "token")
+        roots = self.classes.select("cls", tree).select("cls", F.xxhash64("tree", "token").alias("node"))
         rows = self.undecided(stored(roots, "level"), None)
-        done: list[DataFrame] = []
+        out = rows.where(F.col("size") <= SMALL).select("node", "cls")
+        large = rows.where(F.col("size") > SMALL)
+        if large.isEmpty():
+            return out
+        # From here on rows carry what comparing and branching need.
+        large = stored(large.join(self.classes.select("cls", "n", "sig"), "cls"), "large")
         while True:
-            small, large = rows.where(F.col("size") <= SMALL), rows.where(F.col("size") > SMALL)
-            done.append(small.select("node", "cls"))
+            before = self.labels()
+            self.link_to_one(large)
+            if self.labels() is not before:
+                large = self.undecided(large.drop("size"), self.labels())
+                out = out.unionByName(large.where(F.col("size") <= SMALL).select("node", "cls"))
+                large = large.where(F.col("size") > SMALL)
+            rows, dense = self.branch(large)
+            out = out.unionByName(dense).unionByName(rows.where(F.col("size") <= SMALL).select("node", "cls"))
+            large = rows.where(F.col("size") > SMALL)
             if large.isEmpty():
-                break
-            labels = self.link_to_one(large)
-            large = self.undecided(large.select("node", "cls"), labels)
-            done.append(large.where(F.col("size") <= SMALL).select("node", "cls"))
-            large = large.where(F.col("size") > SMALL)
-            rows, dense = self.branch(large, labels)
-            done.append(dense)
-        out = done[0]
-        for more in done[1:]:
-            out = out.unionByName(more)
-        return out
+                return out
 
     def undecided(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Rows of nodes with members of more than one component, with the node's size."""
+        names = rows.columns
         rows = self.labelled(rows, labels)
         stat = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         stat = stat.where(F.col("lo") != F.col("hi")).select("node", "size")
-        return stored(rows.select("node", "cls").join(stat, "node"), "level")
+        return stored(rows.select(*names).join(stat, "node"), "level")
 
-    def link_to_one(self, large: DataFrame) -> DataFrame | None:
+    def link_to_one(self, large: DataFrame) -> None:
         """Link the members of each large node to its smallest class where their signatures allow it."""
-        first = large.groupBy("node").agg(F.min("cls").alias("a"))
-        pairs = large.join(first, "node").where(F.col("a") != F.col("cls")).select("a", F.col("cls").alias("b")).distinct()
-        sig = self.classes.select("cls", "sig", "n")
-        near = lookup(pairs, sig.toDF("a", "sa", "na"), "a", F.col("b")).join(sig.toDF("b", "sb", "nb"), "b")
-        self.confirm(self.agreeing(near))
-        return self.labels()
+        first = large.groupBy("node").agg(F.min(F.struct("cls", "n", "sig")).alias("first"))
+        pairs = large.select("node", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")).join(first, "node")
+        pairs = pairs.select("b", "nb", "sb", F.col("first.cls").alias("a"), F.col("first.n").alias("na"), F.col("first.sig").alias("sa"))
+        self.confirm(self.agreeing(pairs.where(F.col("a") != F.col("b"))))
 
     def agreeing(self, pairs: DataFrame) -> DataFrame:
         floor, threshold = self.floor, self.threshold
@@ -230,21 +238,26 @@ class Join:
 
         return pairs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a binary, b binary")
 
-    def branch(self, large: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def branch(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(rows of the child nodes, rows of nodes that branching would not make cheaper)."""
-        rows = large.select("node", "cls", "size").join(self.classes.select("cls", "sig"), "cls")
+        labels = self.labels()
         children = [
             F.xxhash64("node", F.lit(k), token(F.col("sig"), F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDS)).cast("int"))) for k in (1, 2)
         ]
-        down = stored(rows.select(F.col("node").alias("parent"), "size", "cls", F.explode(F.array(*children)).alias("node")), "level")
-        cost = (
-            down.groupBy("parent", "node").agg(F.count("*").alias("m"), F.first("size").alias("size"))
-            .groupBy("parent").agg((F.sum(F.col("m") * F.col("m").cast("double")) >= F.first("size") * F.first("size").cast("double")).alias("dense"))
-        )
-        cost = stored(cost, "costs")
-        dense = large.join(cost.where("dense").select(F.col("parent").alias("node")), "node", "left_semi").select("node", "cls")
-        thin = down.join(cost.where("not dense").select("parent"), "parent", "left_semi").select("node", "cls")
-        return self.undecided(thin, labels), dense
+        down = large.select(F.col("node").alias("parent"), "size", "cls", "n", "sig", F.explode(F.array(*children)).alias("node"))
+        down = self.labelled(down, labels)
+        sizes = stored(
+            down.groupBy("parent", "node").agg(
+                F.count("*").alias("m"), F.first("size").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")
+            ),
+            "children",
+        )
+        square = lambda c: F.col(c).cast("double") * F.col(c)
+        dense = sizes.groupBy("parent").agg((F.sum(square("m")) >= F.first(square("size"))).alias("dense")).where("dense").select("parent")
+        dense = stored(dense, "dense")
+        mixed = sizes.where(F.col("lo") != F.col("hi")).join(dense, "parent", "left_anti").select("node", F.col("m").alias("size"))
+        rows = stored(down.select("node", "cls", "n", "sig").join(mixed, "node"), "level")
+        return rows, large.join(dense.select(F.col("parent").alias("node")), "node", "left_semi").select("node", "cls")
 
     def compare(self, nodes: DataFrame, best_only: bool) -> DataFrame:
         """Pairs of different components inside each node whose signatures allow a link, block by block."""
@@ -313,7 +326,7 @@ class Join:
 
 def _signature_matrix(column_: pa.Array) -> np.ndarray:
     data = b"".join(x.as_buffer() for x in column_)
-    return np.frombuffer(data, "<u4").reshape(-1, COORDS)
+    return np.frombuffer(data, "<u2").reshape(-1, COORDS)
 
 
 def near_duplicates(
