@@ -60,6 +60,13 @@ def text_features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield piece.n, both & ((1 << BITS) - 1), np.searchsorted(both >> BITS, np.arange(piece.n + 1))
 
 
+def weights_of(at: np.ndarray, z: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The weights that the sums stand for; the bias is not drawn to zero."""
+    rate = (BETA + np.sqrt(n)) / ALPHA + L2
+    l1 = np.where(at == 1 << BITS, 0.0, L1)
+    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / rate)
+
+
 class Ftrl:
     """State of the learner: per coordinate the sums z and n; the last coordinate is the bias."""
 
@@ -67,10 +74,7 @@ class Ftrl:
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
-        z = self.z[at]
-        rate = (BETA + np.sqrt(self.n[at])) / ALPHA + L2
-        l1 = np.where(at == 1 << BITS, 0.0, L1)
-        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / rate)
+        return weights_of(at, self.z[at], self.n[at])
 
     def learn(self, at: np.ndarray, label: int) -> None:
         w = self.weights(at)
@@ -98,33 +102,41 @@ def fit(rows: DataFrame, max_rows: int = MAX_ROWS, passes: int = PASSES) -> dict
     spark = rows.sparkSession
     labelled = rows.where(F.col("label").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
     sample = stored(sample_rows(labelled, max_rows).withColumn("part", F.pmod(F.col("key"), F.lit(PARTS)).cast("int")), "toxic-sample")
-    state = spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
-    weights: dict[int, float] = {}
+    # The state stays in Spark: every part gets a copy beside its rows.
+    state = spark.createDataFrame([], STATE)
     for turn in range(passes):
-        moved = sample.groupBy("part").applyInArrow(_trainer(state, turn), "slot long, z double, n double")
+        parts = sample.sparkSession.range(PARTS).select(F.col("id").cast("int").alias("part"))
+        copies = state.join(F.broadcast(parts))
+        moved = sample.groupBy("part").cogroup(copies.groupBy("part")).applyInArrow(_trainer(turn), STATE)
         # A coordinate that a part has not seen kept its earlier state there: zero.
-        mean = moved.groupBy("slot").agg((F.sum("z") / PARTS).alias("z"), (F.sum("n") / PARTS).alias("n")).toPandas().sort_values("slot")
-        at, z, n = (mean[c].to_numpy() for c in ("slot", "z", "n"))
-        state = spark.sparkContext.broadcast((at.astype(np.int64), z.astype(float), n.astype(float)))
-        model = Ftrl()
-        model.z[at.astype(np.int64)], model.n[at.astype(np.int64)] = z, n
-        w = model.weights(at.astype(np.int64))
-        weights = {int(a): float(x) for a, x in zip(at, w, strict=True) if x}
-    return weights
+        state = stored(moved.groupBy("slot").agg((F.sum("z") / PARTS).alias("z"), (F.sum("n") / PARTS).alias("n")), "toxic-state")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot, z, n = (column(batch, c).to_numpy() for c in ("slot", "z", "n"))
+            w = weights_of(slot, z, n)
+            yield pa.RecordBatch.from_arrays([pa.array(slot[w != 0]), pa.array(w[w != 0])], names=["slot", "w"])
+
+    return {r["slot"]: r["w"] for r in state.mapInArrow(weigh, "slot long, w double").collect()}
+
+
+STATE = "slot long, z double, n double"
 
 
-def _trainer(state, turn: int):
+def _trainer(turn: int):
     """One part's pass from the shared state, in an order that changes with the pass."""
 
-    def train(table: pa.Table) -> pa.Table:
-        order = np.argsort(mix(table["key"].to_numpy().view(np.uint64) + np.uint64(turn)), kind="stable")
-        table = table.take(pa.array(order))
+    def train(rows: pa.Table, state: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"slot": pa.array([], pa.int64()), "z": pa.array([], pa.float64()), "n": pa.array([], pa.float64())})
+        order = np.argsort(mix(rows["key"].to_numpy().view(np.uint64) + np.uint64(turn)), kind="stable")
+        rows = rows.take(pa.array(order))
         model = Ftrl()
-        at, z, n = state.value
-        model.z[at], model.n[at] = z, n
-        label = table["label"].to_numpy()
+        at = state["slot"].to_numpy()
+        model.z[at], model.n[at] = state["z"].to_numpy(), state["n"].to_numpy()
+        label = rows["label"].to_numpy()
         row = 0
-        for count, slots, begin in text_features(table["text"].combine_chunks()):
+        for count, slots, begin in text_features(rows["text"].combine_chunks()):
             for i in range(count):
                 own = np.append(slots[begin[i] : begin[i + 1]], 1 << BITS)
                 model.learn(own, int(label[row]))
