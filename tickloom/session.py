@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,17 +41,27 @@ def local_session(app: str = "tickloom", cpus: str | int = "*", memory: str = "8
     return configure(spark)
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``.
+
+    Without that setting a temporary folder serves a local master (tests, one
+    machine); any other master is refused.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tickloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint that survives lost executors.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary folder is used only where that is unset (tests, one machine).
+    The folder is :func:`work_folder`, chosen once per session.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
+        context.setCheckpointDir(work_folder(spark, "checkpoint"))
     return df.checkpoint(eager=True)

@@ -42,8 +42,11 @@ def write_partitioned(
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """A small result (statistics, rankings, summaries) as one file."""
-    save_table(df.coalesce(1), path, fmt)
+    """A small result (statistics, rankings, summaries) as one file.
+
+    The exchange keeps the stages that make the result as parallel as they are.
+    """
+    save_table(df.repartition(1), path, fmt)
 
 
 def partition_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.session import configure
+from tickloom.session import configure, work_folder
 from tickloom.streaming.jobs import features_per_batch
 
 
@@ -76,16 +74,6 @@ def _source(spark: SparkSession, path: str) -> DataFrame:
     return reader.parquet(path)
 
 
-def _fresh_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        return tempfile.mkdtemp(prefix="tickloom-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _markers(spark: SparkSession, folder: str, events: DataFrame) -> DataFrame:
     """A second source of the same shape, still empty: its one later row closes every window."""
     schema = events.schema
@@ -108,7 +96,7 @@ def run(
 ) -> DataFrame:
     """Stream ``path`` through ``build`` into a Parquet sink and read it back, all windows closed."""
     configure(spark)
-    folder = output or _fresh_folder(spark)
+    folder = output or work_folder(spark, "stream")
     markers = f"{folder}/markers"
     source = _source(spark, path)
     whole = source.unionByName(_markers(spark, markers, source))
@@ -137,7 +125,7 @@ def run_features(
 ) -> DataFrame:
     """Stream bars into a stored table and keep their features current; read the features."""
     configure(spark)
-    folder = _fresh_folder(spark)
+    folder = work_folder(spark, "stream")
     handle = features_per_batch(spark, f"{folder}/bars", f"{folder}/features", compute, lookback_days)
     query = (
         build(_source(spark, path))
