@@ -391,13 +391,13 @@ def beta_to_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PAIR = f"""{_ALIGNED}, p AS (SELECT *, close / nullif(close_driver, 0) AS ratio FROM j WHERE symbol = 'view')
 SELECT ts, {rnd('ratio')} AS ratio,
- {rnd(f"(ratio - ({full('avg', 'ratio', 60)})) / nullif({full('stddev_samp', 'ratio', 60)}, 0)")} AS ratio_zscore,
+ {rnd(f"(ratio - ({full('avg', 'ratio', 240)})) / nullif({full('stddev_samp', 'ratio', 240)}, 0)")} AS ratio_zscore,
  {rnd('ret - ret_driver')} AS return_diff FROM p"""
 
 
 @query("pair_ratio_zscore", _PAIR)
 def pair_ratio_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = pair_features(hourly_bars(spark, sf_dir), "view", "click", window=60)
+    df = pair_features(hourly_bars(spark, sf_dir), "view", "click", window=240)
     return df.select("ts", *(rounded(c).alias(c) for c in ("ratio", "ratio_zscore", "return_diff")))
 
 
