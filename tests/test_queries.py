@@ -12,7 +12,10 @@ duckdb = pytest.importorskip("duckdb")
 import __spark_entry__ as entry_points  # noqa: E402
 from check_queries import TABLES, rows_of  # noqa: E402
 
-SAMPLE = ("signal_mix", "trend_slope", "bars_normalized", "barrier_outcomes", "performance_summary", "run_insights", "error_health")
+SAMPLE = (
+    "signal_mix", "trend_slope", "bars_normalized", "barrier_outcomes", "performance_summary", "run_insights", "error_health",
+    "grid_rank", "session_gaps", "stream_bars", "raw_csv_roundtrip", "response_parse", "contract_validation", "timestamp_parse",
+)
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
 
 

@@ -139,12 +139,14 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses: fenced, bare, nested, defaulted and broken ones."""
     k = F.get_json_object("props", "$.k")
     body = F.concat(F.lit('{"action": "enter_long", "confidence": 0.'), k, F.lit(', "reason": "momentum"}'))
-    case = F.col("user_id") % 5
+    case = F.col("user_id") % 7
     text = (
         F.when(case == 0, F.concat(F.lit("Here is my view:\n```json\n"), body, F.lit("\n```\nDone.")))
         .when(case == 1, F.concat(F.lit("Result "), body, F.lit(" end")))
         .when(case == 2, F.concat(F.lit('{"result": '), body, F.lit("}")))
         .when(case == 3, F.concat(F.lit('```\n{"symbol": "ABC'), k, F.lit('"}\n```')))
+        .when(case == 5, F.concat(F.lit("Cut off: "), F.regexp_replace(body, "}$", ",")))
+        .when(case == 6, F.concat(F.lit("```json\n"), F.regexp_replace(body, "}$", ",}"), F.lit("\n```")))
         .otherwise(F.lit("no structured answer {broken"))
     )
     return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol"), text.alias("response"))
@@ -152,11 +154,12 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "response_parse",
-    f"""SELECT event_id, CASE WHEN user_id % 5 = 3 THEN concat('ABC', CAST({VOLUME} AS BIGINT)) ELSE event_type END AS symbol,
-    CASE WHEN user_id % 5 <= 2 THEN 'enter_long' ELSE 'hold' END AS action,
-    CASE WHEN user_id % 5 <= 2 THEN CAST(concat('0.', CAST({VOLUME} AS BIGINT)) AS DOUBLE) WHEN user_id % 5 = 3 THEN 0.5 ELSE 0.0 END AS confidence,
-    CASE WHEN user_id % 5 <= 2 THEN 'momentum' WHEN user_id % 5 = 3 THEN 'Analysis completed' ELSE 'JSON parsing failed' END AS reason,
-    user_id % 5 = 4 AS parse_error FROM events""",
+    f"""WITH r AS (SELECT *, user_id % 7 AS c FROM events)
+    SELECT event_id, CASE WHEN c = 3 THEN concat('ABC', CAST({VOLUME} AS BIGINT)) ELSE event_type END AS symbol,
+    CASE WHEN c NOT IN (3, 4) THEN 'enter_long' ELSE 'hold' END AS action,
+    CASE WHEN c NOT IN (3, 4) THEN CAST(concat('0.', CAST({VOLUME} AS BIGINT)) AS DOUBLE) WHEN c = 3 THEN 0.5 ELSE 0.0 END AS confidence,
+    CASE WHEN c NOT IN (3, 4) THEN 'momentum' WHEN c = 3 THEN 'Analysis completed' ELSE 'JSON parsing failed' END AS reason,
+    c = 4 AS parse_error FROM r""",
 )
 def response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = ops.parse_responses(_responses(spark, sf_dir))
@@ -175,8 +178,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(
                 F.when(k == 6, "jump").otherwise("hold").alias("type"),
                 F.when(k != 7, k / 50).alias("confidence"),
+                F.when(k == 9, 1).alias("mood"),
                 F.struct((k / 150).alias("stop_loss_pct"), F.lit("swing").alias("time_horizon")).alias("constraints"),
             ).alias("action"),
+            F.when(k == 8, 1).alias("extra"),
         )
     )
     return table(spark, sf_dir, "events").select("event_id", doc.alias("value"))
@@ -188,11 +193,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN k = 4 THEN 'timeframe: required' END, CASE WHEN k = 1 THEN 'version: bad pattern' END, CASE WHEN k = 3 THEN 'symbol: bad pattern' END,
       CASE WHEN k = 2 THEN 'intent: not allowed' END, CASE WHEN k = 5 THEN 'rationale: bad length' END, CASE WHEN k = 7 THEN 'action.confidence: required' END,
       CASE WHEN k = 6 THEN 'action.type: not allowed' END, CASE WHEN k <> 7 AND k / 50 > 1 THEN 'action.confidence: out of range' END,
-      CASE WHEN k / 150 > 0.5 THEN 'action.constraints.stop_loss_pct: out of range' END], lambda x: x IS NOT NULL), '; ') AS violations FROM d""",
+      CASE WHEN k / 150 > 0.5 THEN 'action.constraints.stop_loss_pct: out of range' END,
+      CASE WHEN k = 8 THEN 'extra: unknown' END, CASE WHEN k = 9 THEN 'action.mood: unknown' END], lambda x: x IS NOT NULL), '; ') AS violations FROM d""",
 )
 def contract_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ops.parse_documents(_documents(spark, sf_dir))
-    return docs.select("event_id", F.array_join(ops.contract_violations(), "; ").alias("violations"))
+    return docs.select("event_id", F.array_join(ops.contract_violations(value="value"), "; ").alias("violations"))
 
 
 # --- time functions ---------------------------------------------------------------------------------

@@ -31,10 +31,16 @@ def hash_embedding(text: Column | str, dims: int = 128) -> Column:
     return F.slice(F.flatten(F.array_repeat(bytes_, -(-dims // 16))), 1, dims)
 
 
+def mended_json(text: Column) -> Column:
+    """From the first brace on: commas before a closing bracket dropped, missing closing braces added."""
+    body = F.regexp_replace(F.regexp_extract(text, r"(?s)\{.*", 0), r",\s*([}\]])", "$1")
+    body = F.regexp_replace(body, r"(?s)[\s,`]+$", "")
+    missing = F.regexp_count(body, F.lit(r"\{")) - F.regexp_count(body, F.lit(r"\}"))
+    return F.nullif(F.concat(body, F.repeat(F.lit("}"), F.greatest(missing, F.lit(0)))), F.lit(""))
+
+
 def response_json(text: Column | str) -> Column:
-    """First candidate object in a model response that is valid JSON, else NULL."""
-    candidates = []
-    for pattern in RESPONSE_PATTERNS:
-        found = F.nullif(F.regexp_extract(col(text), pattern, 1), F.lit(""))
-        candidates.append(F.when(F.try_parse_json(found).isNotNull(), found))
-    return F.coalesce(*candidates)
+    """First candidate object in a model response that is valid JSON, the mended text last, else NULL."""
+    found = [F.nullif(F.regexp_extract(col(text), pattern, 1), F.lit("")) for pattern in RESPONSE_PATTERNS]
+    candidates = [*found, *(mended_json(x) for x in (found[-1], col(text)))]
+    return F.coalesce(*(F.when(F.try_parse_json(x).isNotNull(), x) for x in candidates))

@@ -153,8 +153,22 @@ def parse_documents(texts: DataFrame, value: str = "value") -> DataFrame:
     return texts.withColumn("doc", F.from_json(value, schema.ACTION_DOCUMENT))
 
 
-def contract_violations(doc: str = "doc") -> Column:
-    """Names of the contract rules an action document breaks (empty when valid)."""
+def unknown_fields(value: str = "value") -> Column:
+    """Fields of the document, or of its action, that the contract does not know."""
+    known = schema.parse(schema.ACTION_DOCUMENT)
+
+    def extra(json: Column, names: list[str], prefix: str) -> Column:
+        keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+        return F.transform(F.array_except(keys, F.array(*map(F.lit, names))), lambda k: F.concat(F.lit(prefix), k, F.lit(": unknown")))
+
+    return F.concat(
+        extra(F.col(value), known.names, ""),
+        extra(F.get_json_object(value, "$.action"), known["action"].dataType.names, "action."),
+    )
+
+
+def contract_violations(doc: str = "doc", value: str | None = None) -> Column:
+    """Names of the contract rules an action document breaks (empty when valid); ``value``, its text, shows unknown fields too."""
     c = lambda path: F.col(f"{doc}.{path}")
     absent = lambda path: F.when(c(path).isNull(), f"{path}: required")
     enum = lambda path, members: F.when(~c(path).isin(*members), f"{path}: not allowed")
@@ -177,4 +191,5 @@ def contract_violations(doc: str = "doc") -> Column:
         enum("action.regime_context.regime_type", REGIMES),
         within("action.regime_context.regime_confidence", 0.0, 1.0),
     ]
-    return F.array_compact(F.array(*rules))
+    broken = F.array_compact(F.array(*rules))
+    return broken if value is None else F.concat(broken, unknown_fields(value))
