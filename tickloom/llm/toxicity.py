@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from tickloom.llm.store import stored
 from tickloom.llm.words import column, hash_spans, lower_ascii, mix, pieces, spans
 
-BITS = 20
+BITS = 18
 MAX_ROWS = 20_000
 PARTS = 4
-PASSES = 4
+PASSES = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0, 0.1
 BEGINNINGS = (4, 5, 7)
 
