@@ -36,7 +36,7 @@ from tickloom.llm.skew import lookup
 from tickloom.llm.store import stored
 from tickloom.llm.words import SOLID_WORD, column, hash_spans, pieces, shingles, words_of
 
-COORDS = 128
+COORDS = 256
 TREES = 8
 SMALL = 256
 BLOCK = 256
@@ -66,7 +66,7 @@ def set_key(values: np.ndarray) -> bytes:
 
 def signatures(docs: DataFrame, doc_id: str, text: str, width: int, trees: int, with_row: bool = False) -> DataFrame:
     """``doc_id, n, cls, roots, sig`` (and ``row``, all columns): set size, 128-bit name of the set, its first
-    ``trees`` minwise tokens, and sixteen bits of each of ``COORDS`` of them (null without shingles)."""
+    ``trees`` minwise tokens, and eight bits of each of ``COORDS`` of them (null without shingles)."""
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, trees: int,
                     for k in range(COORDS):
                         sig[k] = np.minimum.reduceat((((values ^ _XOR[k]) * _ODD[k]) >> np.uint64(32)).astype(np.uint32), at[:-1][some])
                 tops = np.ascontiguousarray(sig[:trees].T).astype(np.int64)
-                sig = np.ascontiguousarray((sig & np.uint32(0xFFFF)).T.astype("<u2"))
+                sig = np.ascontiguousarray((sig & np.uint32(0xFF)).T.astype(np.uint8))
                 own = iter(range(len(some)))
                 for i in range(len(sizes)):
                     names.append(set_key(values[at[i] : at[i + 1]]) if sizes[i] else None)
@@ -102,8 +102,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, trees: int,
 
 
 def token(sig, coordinate):
-    """The minwise token at a coordinate: two bytes of the signature."""
-    return F.hex(F.substring(sig, coordinate * 2 + 1, F.lit(2)))
+    """The minwise token at a coordinate: a byte of the signature."""
+    return F.hex(F.substring(sig, coordinate + 1, F.lit(1)))
 
 
 class Join:
@@ -150,7 +150,7 @@ class Join:
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         if pairs.isEmpty():
             return False
-        ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
         sets = stored(self.fetch_sets(ends), "sets")
         # A class in very many pairs is split by adaptive execution: its set goes to each part.
         whole = pairs.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")
@@ -188,25 +188,26 @@ class Join:
         return self.known
 
     def grow(self) -> DataFrame:
-        """Branch all trees; ``node, cls`` of the nodes to compare exhaustively."""
+        """Branch all trees; ``node, cls, tree`` of the nodes to compare exhaustively (``tree``: of a root, else ``trees``)."""
         tree = F.posexplode("roots").alias("tree", "token")
-        roots = self.classes.select("cls", tree).select("cls", F.xxhash64("tree", "token").alias("node"))
+        roots = self.classes.select("cls", tree).select("cls", "tree", F.xxhash64("tree", "token").alias("node"))
         rows = self.undecided(stored(roots, "level"), None)
-        out = rows.where(F.col("size") <= SMALL).select("node", "cls")
+        out = rows.where(F.col("size") <= SMALL).select("node", "cls", "tree")
+        deep = lambda x: x.select("node", "cls", F.lit(self.trees).alias("tree"))
         large = rows.where(F.col("size") > SMALL)
         if large.isEmpty():
             return out
         # From here on rows carry what comparing and branching need.
-        large = stored(large.join(self.classes.select("cls", "n", "sig"), "cls"), "large")
+        large = stored(large.drop("tree").join(self.classes.select("cls", "n", "sig"), "cls"), "large")
         while True:
             before = self.labels()
             self.link_to_one(large)
             if self.labels() is not before:
                 large = self.undecided(large.drop("size"), self.labels())
-                out = out.unionByName(large.where(F.col("size") <= SMALL).select("node", "cls"))
+                out = out.unionByName(deep(large.where(F.col("size") <= SMALL)))
                 large = large.where(F.col("size") > SMALL)
             rows, dense = self.branch(large)
-            out = out.unionByName(dense).unionByName(rows.where(F.col("size") <= SMALL).select("node", "cls"))
+            out = out.unionByName(deep(dense)).unionByName(deep(rows.where(F.col("size") <= SMALL)))
             large = rows.where(F.col("size") > SMALL)
             if large.isEmpty():
                 return out
@@ -223,8 +224,12 @@ class Join:
         """Link the members of each large node to its smallest class where their signatures allow it."""
         first = large.groupBy("node").agg(F.min(F.struct("cls", "n", "sig")).alias("first"))
         pairs = large.select("node", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")).join(first, "node")
-        pairs = pairs.select("b", "nb", "sb", F.col("first.cls").alias("a"), F.col("first.n").alias("na"), F.col("first.sig").alias("sa"))
-        self.confirm(self.agreeing(pairs.where(F.col("a") != F.col("b"))))
+        pairs = pairs.select("node", "b", "nb", "sb", F.col("first.cls").alias("a"), F.col("first.n").alias("na"), F.col("first.sig").alias("sa"))
+        near = stored(self.agreeing(pairs.where(F.col("a") != F.col("b"))), "near")
+        # Worth the confirmation only where it may settle the better part of a node; others branch.
+        full = large.groupBy("node").agg(F.first("size").alias("size")).join(near.groupBy("node").agg(F.count("*").alias("m")), "node")
+        full = full.where(2 * F.col("m") >= F.col("size")).select("node")
+        self.confirm(near.join(full, "node", "left_semi"))
 
     def agreeing(self, pairs: DataFrame) -> DataFrame:
         floor, threshold = self.floor, self.threshold
@@ -234,9 +239,9 @@ class Join:
                 x, y = (_signature_matrix(column(batch, c)) for c in ("sa", "sb"))
                 na, nb = (column(batch, c).to_numpy() for c in ("na", "nb"))
                 keep = pa.array(((x == y).mean(1) >= floor) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) * 0.999999))
-                yield pa.RecordBatch.from_arrays([column(batch, c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([column(batch, c).filter(keep) for c in ("node", "a", "b")], names=["node", "a", "b"])
 
-        return pairs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a binary, b binary")
+        return pairs.select("node", "a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "node long, a binary, b binary")
 
     def branch(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(rows of the child nodes, rows of nodes that branching would not make cheaper)."""
@@ -260,17 +265,23 @@ class Join:
         return rows, large.join(dense.select(F.col("parent").alias("node")), "node", "left_semi").select("node", "cls")
 
     def compare(self, nodes: DataFrame, best_only: bool) -> DataFrame:
-        """Pairs of different components inside each node whose signatures allow a link, block by block."""
+        """Pairs of different components inside each node whose signatures allow a link, block by block.
+
+        A pair that shares several roots comes out of the first one that is compared as it stands.
+        """
         labels = self.labels()
-        rows = self.undecided(nodes.distinct(), labels)
-        rows = self.labelled(rows, labels).join(self.classes.select("cls", "n", "sig"), "cls")
+        rows = self.undecided(nodes, labels)
+        whole = nodes.where(F.col("tree") < self.trees).groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("whole"))
+        facts = self.classes.select("cls", "n", "sig", "roots").join(whole, "cls", "left").withColumn("whole", F.coalesce("whole", F.lit(0)))
+        rows = self.labelled(rows, labels).join(facts, "cls")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
         partner = F.sequence(F.lit(0), F.col("blocks") - 1)
         rows = rows.withColumns({"blocks": blocks, "block": block}).withColumn("other", F.explode(partner))
         rows = rows.select(
-            "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "label", "n", "sig"
-        )
+            "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+            "block", "cls", "label", "n", "sig", "tree", "roots", "whole",
+        )
         floor, threshold = self.floor, self.threshold
 
         def run(table: pa.Table) -> pa.Table:
@@ -278,6 +289,9 @@ class Join:
             names = np.array(table["cls"].to_pylist(), object)
             label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)[1]
             n, sig = table["n"].to_numpy(), _signature_matrix(table["sig"].combine_chunks())
+            tree = table["tree"][0].as_py()
+            roots = np.array(table["roots"].to_pylist(), np.int64)[:, :tree]
+            usable = (table["whole"].to_numpy()[:, None] >> np.arange(tree)) & 1 == 1
             i, j = table["i"][0].as_py(), table["j"][0].as_py()
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             a, b = [], []
@@ -285,6 +299,7 @@ class Join:
                 near = right[right > x] if i == j else right
                 ok = (label[near] != label[x]) & (np.minimum(n[near], n[x]) >= threshold * np.maximum(n[near], n[x]) * 0.999999)
                 near = near[ok]
+                near = near[~((roots[near] == roots[x]) & usable[x]).any(1)]
                 if not len(near):
                     continue
                 agree = (sig[near] == sig[x]).mean(1)
@@ -299,7 +314,7 @@ class Join:
 
     def link(self) -> DataFrame:
         """All rounds; ``cls, doc_id, label`` of every class: its smallest doc_id and its component."""
-        nodes = stored(self.grow().distinct(), "nodes")
+        nodes = stored(self.grow(), "nodes")
         # First the closest partner of each member, which links most; then all pairs still apart.
         self.confirm(self.compare(nodes, True))
         self.confirm(self.compare(nodes, False))
@@ -326,7 +341,7 @@ class Join:
 
 def _signature_matrix(column_: pa.Array) -> np.ndarray:
     data = b"".join(x.as_buffer() for x in column_)
-    return np.frombuffer(data, "<u2").reshape(-1, COORDS)
+    return np.frombuffer(data, np.uint8).reshape(-1, COORDS)
 
 
 def near_duplicates(
