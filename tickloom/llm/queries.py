@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm import sqltext
 from tickloom.llm.store import prepare, stored
 
 QUERIES: dict = {}
@@ -22,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_warc")
+@query("op1_warc", sqltext.WARC)
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.warc import parse_records, read_records, write_archive
 
@@ -32,7 +33,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_chat")
+@query("op3_chat", sqltext.CHAT)
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.chat import format_conversations, read_conversations
 
@@ -87,7 +88,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, _tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
-@query("op6_decontamination")
+@query("op6_decontamination", sqltext.DECONTAMINATION)
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.decontam import find_contamination
 
@@ -126,7 +127,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_embedding_dedup")
+@query("op8_embedding_dedup", sqltext.EMBEDDING)
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.embed_dedup import near_vectors
 
