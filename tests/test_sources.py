@@ -78,14 +78,16 @@ def test_run_metrics_and_audit(spark, tmp_path):
 
 
 def test_partitioned_write_and_incremental_update(spark, tmp_path):
-    pdf = pd.concat([walk("AAA", 4000, 1), walk("BBB", 4000, 2)], ignore_index=True)
+    # CCC has a bar in six hours only: its look-back spans days.
+    sparse = walk("CCC", 4000, 3).iloc[::360]
+    pdf = pd.concat([walk("AAA", 4000, 1), walk("BBB", 4000, 2), sparse], ignore_index=True)
     bars = spark.createDataFrame(pdf, BAR_SCHEMA)
     bars_path, feats_path = str(tmp_path / "bars"), str(tmp_path / "features")
     writers.write_partitioned(bars, bars_path)
-    assert writers.validate_partitions(spark, bars_path) == {"symbols": 2, "dates": 6}
+    assert writers.validate_partitions(spark, bars_path) == {"symbols": 3, "dates": 9}
     early = spark.read.parquet(bars_path).where("date < DATE'2024-01-03'")
     writers.write_partitioned(ma20(early), feats_path)
-    writers.update_features(spark, bars_path, feats_path, ma20, date(2024, 1, 3), warmup_days=1)
+    writers.update_features(spark, bars_path, feats_path, ma20, date(2024, 1, 3), lookback_bars=20)
     got = collect(spark.read.parquet(feats_path).select("symbol", "ts", "ma_20"), "symbol", "ts")
     got["symbol"] = got["symbol"].astype(str)
     assert_close(got, collect(ma20(bars), "symbol", "ts"))

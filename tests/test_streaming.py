@@ -43,7 +43,7 @@ def test_features_follow_bars_over_batches(spark, tmp_path):
     def compute(df):
         return compute_features(df, MA_ONLY, ["trend_momentum"]).select("symbol", "ts", "date", "ma_20")
 
-    handle = jobs.features_per_batch(spark, str(tmp_path / "bars"), str(tmp_path / "features"), compute, lookback_days=1)
+    handle = jobs.features_per_batch(spark, str(tmp_path / "bars"), str(tmp_path / "features"), compute, lookback_bars=20)
     cuts = ["2024-01-01", "2024-01-01 18:00", "2024-01-02 09:30", "2024-01-09"]
     for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
         batch = bars.where((F.col("ts") >= F.lit(a).cast("timestamp")) & (F.col("ts") < F.lit(b).cast("timestamp")))

@@ -396,6 +396,6 @@ def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         return compute_features(bars, cfg, ["trend_momentum"]).select("symbol", "ts", "date", "ma_20")
 
     out = batch_replay.run_features(
-        spark, f"{sf_dir}/events.parquet", batch_replay.as_bars, compute, lookback_days=2
+        spark, f"{sf_dir}/events.parquet", batch_replay.as_bars, compute, lookback_bars=20
     )
     return out.select("symbol", ntz("ts").alias("ts"), rounded("ma_20").alias("ma_20"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, timedelta
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.plans.small import join_small
+from tickloom.session import durable
 from tickloom.sources.readers import FORMATS
 
 
@@ -66,22 +68,36 @@ def validate_partitions(spark: SparkSession, path: str) -> dict[str, int]:
     return {"symbols": totals["symbols"], "dates": totals["dates"]}
 
 
+def with_history(bars: DataFrame, since: date, lookback_bars: int) -> DataFrame:
+    """The bars from ``since`` on and, per symbol, whole dates before it holding at least ``lookback_bars`` bars.
+
+    Counted per symbol, so a sparse symbol reaches back as far as it needs; a symbol with
+    fewer bars gives all it has. One row per (symbol, date) is ranked, and the earliest date needed prunes the scan.
+    """
+    day = Window.partitionBy("symbol").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = bars.where(F.col("date") < F.lit(since)).groupBy("symbol", "date").agg(F.count("*").alias("n"))
+    needed = counts.withColumn("later", F.coalesce(F.sum("n").over(day), F.lit(0))).where(F.col("later") < lookback_bars)
+    starts = durable(needed.groupBy("symbol").agg(F.min("date").alias("_first")))
+    earliest = starts.agg(F.min("_first")).first()[0] or since
+    recent = bars.where(F.col("date") >= F.lit(earliest))
+    return join_small(recent, starts, ["symbol"]).where(F.col("date") >= F.coalesce("_first", F.lit(since))).drop("_first")
+
+
 def update_features(
     spark: SparkSession,
     bars_path: str,
     features_path: str,
     compute: Callable[[DataFrame], DataFrame],
     since: date,
-    warmup_days: int,
+    lookback_bars: int,
 ) -> None:
     """Recompute and replace the date partitions from ``since`` on.
 
-    Reads the new dates plus ``warmup_days`` of history, computes, keeps the new
-    dates and overwrites only those partitions. The warm-up must span at least
-    the longest look-back in bars.
+    Reads the new dates plus, per symbol, the history that ``lookback_bars`` needs (the longest look-back
+    of ``compute`` in bars), and overwrites only the new partitions. Features over a whole
+    history (quantile flags, winsorising) have no such look-back and belong in a full run.
     """
-    bars = spark.read.parquet(bars_path).where(F.col("date") >= F.lit(since - timedelta(days=warmup_days)))
-    fresh = compute(bars)
+    fresh = compute(with_history(spark.read.parquet(bars_path), since, lookback_bars))
     fresh = fresh if "date" in fresh.columns else fresh.withColumn("date", F.to_date("ts"))
     (
         fresh.where(F.col("date") >= F.lit(since))

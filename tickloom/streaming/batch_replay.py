@@ -121,12 +121,12 @@ def run_features(
     path: str,
     build: Callable[[DataFrame], DataFrame],
     compute: Callable[[DataFrame], DataFrame],
-    lookback_days: int,
+    lookback_bars: int,
 ) -> DataFrame:
     """Stream bars into a stored table and keep their features current; read the features."""
     configure(spark)
     folder = work_folder(spark, "stream")
-    handle = features_per_batch(spark, f"{folder}/bars", f"{folder}/features", compute, lookback_days)
+    handle = features_per_batch(spark, f"{folder}/bars", f"{folder}/features", compute, lookback_bars)
     query = (
         build(_source(spark, path))
         .writeStream.foreachBatch(handle)

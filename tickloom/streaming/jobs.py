@@ -15,6 +15,7 @@ from tickloom.operators.operations import error_health_by_window
 from tickloom.plans.scan import running
 from tickloom.plans.slices import slice_series
 from tickloom.session import durable
+from tickloom.sources.writers import with_history
 
 
 def bars_from_ticks(ticks: DataFrame, width: str = "1 minute", late: str = "5 minutes") -> DataFrame:
@@ -114,15 +115,15 @@ def features_per_batch(
     bars_path: str,
     features_path: str,
     compute: Callable[[DataFrame], DataFrame],
-    lookback_days: int,
+    lookback_bars: int,
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink: store the new bars, refresh the features of their dates.
 
     Uses the batch feature code (sliced, so a hot symbol spreads over tasks) on
-    the dates from the first touched one on plus ``lookback_days`` of stored
-    history, and replaces only those date partitions, so a replayed batch gives
-    the same result and a late bar refreshes everything after it.
-    ``lookback_days`` must span the longest look-back in bars.
+    the dates from the first touched one on plus the stored history that holds
+    ``lookback_bars`` bars of each symbol, and replaces only those date partitions, so a
+    replayed batch gives the same result and a late bar refreshes everything after it.
+    ``lookback_bars`` is the longest look-back of ``compute``.
     """
     def handle(batch: DataFrame, _: int) -> None:
         dated = batch.withColumn("date", F.to_date("ts"))
@@ -139,9 +140,7 @@ def features_per_batch(
             .partitionBy("symbol", "date")
             .parquet(bars_path)
         )
-        history = spark.read.parquet(bars_path).where(
-            F.col("date") >= F.date_sub(F.lit(first), lookback_days)
-        )
+        history = with_history(spark.read.parquet(bars_path), first, lookback_bars)
         fresh = compute(history).where(F.col("date") >= F.lit(first))
         (
             fresh.repartitionByRange("symbol", "date", "ts")
