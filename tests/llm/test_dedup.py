@@ -171,3 +171,25 @@ def test_vectors_equal_brute_force(spark):
         assert got == want
     assert near_vectors(frame.limit(0)).count() == 0
     assert {(r["n_links"], r["kept"]) for r in near_vectors(frame.where("vec_id = 1002 OR vec_id = 1000")).collect()} == {(0, True)}
+
+
+def _links(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each vector and the lowest position in its component."""
+    link = unit @ unit.T >= 0.9
+    np.fill_diagonal(link, False)
+    low = np.arange(len(unit))
+    while True:
+        new = np.minimum(low, np.where(link, low[None, :], len(unit)).min(1))
+        if (new == low).all():
+            return link.sum(1), low
+        low = new
+
+
+def test_wide_vectors_of_few_directions_lose_no_link(spark):
+    for dim, rank in ((384, 2), (768, 3)):
+        rng = np.random.default_rng(dim)
+        vectors = rng.normal(size=dim) / dim**0.5 + 0.6 * rng.normal(size=(1500, rank)) @ rng.normal(size=(rank, dim)) / dim**0.5
+        degree, low = _links(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+        frame = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(frame, cell=125).collect()}
+        assert got == {i: (int(degree[i]), int(low[i]), low[i] == i) for i in range(len(vectors))}

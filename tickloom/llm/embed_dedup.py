@@ -2,13 +2,15 @@
 
 Equal vectors are one class with a weight. k-means (fitted on a bounded, documented
 sample, ``max_fit`` classes) gives every class a home cell; a class is also sent to the
-other cells where a vector within the angle could live. A neighbour y of x with
-cosine s is s x + sqrt(1 - s^2) u with u at right angles to x, so it prefers
-centre c to x's own centre a only if s (a - c).x <= -sqrt(1 - s^2) (a - c).u; the
-right side is at most |a - c| sqrt(1 - s^2), and for directions u that are not aimed at c
-it stays within ``sigmas`` times |a - c| sqrt((1 - s^2) / (d - 1)). ``sigmas=None``
-uses the certain bound: nothing can be missed, in many dimensions at the cost of most
-cells being searched.
+other cells where a vector within the angle could live. For x at home in cell a and y at
+home in cell c, the plane of equal products with both centres parts x from y, so the
+angles of x and y to that plane add up to no more than the angle between x and y: one of
+the two is within half of it. Each side therefore searches the cells whose plane is at
+most half the angle of the threshold away, (a - c).x <= |a - c| sqrt((1 - threshold) / 2),
+and every link is found from one side or both, in any number of dimensions. ``sigmas`` is
+a narrower search for those who accept lost links: directions not aimed at c stay within
+``sigmas`` times |a - c| sqrt((1 - s^2) / (d - 1)) / s, which vectors that vary along few
+directions do not keep to.
 
 Cells are cut into blocks, each pair of blocks is one product, links are counted inside
 it, and only counts and a spanning forest come out. A pair that two cells see counts in one of them.
@@ -38,7 +40,6 @@ BLOCK = 1_024
 MAX_FIT = 50_000
 MAX_CELLS = 4_096
 TURNS = 5
-SIGMAS = 5.0
 
 
 def unit_rows(vectors: pa.Array) -> np.ndarray:
@@ -101,8 +102,9 @@ def fit_centres(classes: DataFrame, k: int, max_fit: int = MAX_FIT, turns: int =
 def assign(classes: DataFrame, centres: np.ndarray, threshold: float, sigmas: float | None) -> DataFrame:
     """``cls, weight, vec, home, cells``: home cell and all cells to be searched (home included)."""
     sent = classes.sparkSession.sparkContext.broadcast(centres)
-    aside = math.sqrt(1 - threshold**2)
-    reach = aside if sigmas is None else min(aside, sigmas * aside / math.sqrt(max(1, centres.shape[1] - 1)))
+    reach = math.sqrt((1 - threshold) / 2)
+    if sigmas is not None:
+        reach = min(reach, sigmas * math.sqrt((1 - threshold**2) / max(1, centres.shape[1] - 1)) / threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value
@@ -111,7 +113,7 @@ def assign(classes: DataFrame, centres: np.ndarray, threshold: float, sigmas: fl
             near = unit_rows(column(batch, "vec")) @ c.T
             home = near.argmax(1)
             margin = near[np.arange(len(near)), home][:, None] - near
-            search = threshold * margin <= reach * apart[home] + 1e-9
+            search = margin <= reach * apart[home] + 1e-7
             search[np.arange(len(near)), home] = True
             cells = [np.flatnonzero(row).astype(np.int32) for row in search]
             yield pa.RecordBatch.from_arrays(
@@ -185,7 +187,7 @@ def near_vectors(
     threshold: float = 0.9,
     vec_id: str = "vec_id",
     embedding: str = "embedding",
-    sigmas: float | None = SIGMAS,
+    sigmas: float | None = None,
     cell: int = CELL,
 ) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``."""
