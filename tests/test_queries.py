@@ -36,3 +36,15 @@ def test_query_matches_sql(spark, name):
     want = duck.execute(entry_points.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows_of(got) == rows_of(want)
+
+
+def test_statistics_cover_every_feature(spark):
+    from tickloom.catalog import statistics
+    from tickloom.operators.features import feature_names
+    from tickloom.operators.features.families import FAMILIES
+
+    assert statistics.FAMILY_OF == {c: family for family in FAMILIES for c in feature_names(families=[family])}
+    assert set(statistics.COLUMNS) == set(feature_names())
+    for name in ("nan_inf_counts_all", "variance_topk_all", "corr_pairs_all", "zscore_outliers_all"):
+        test_query_matches_sql(spark, name)
+    assert entry_points.queries()["variance_topk_all"](spark, SF).count() == 10

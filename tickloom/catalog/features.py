@@ -36,6 +36,8 @@ def shaped(df: DataFrame, columns: list[str], places: int = 6) -> DataFrame:
 
 # (columns, base SQL) of the default families, for the digest of the whole frame.
 FRAME_PARTS: list[tuple[dict[str, str], str]] = []
+# Family of each of their columns (feature_names() needs a running session).
+FAMILY_OF = {f"high_volatility_{n}": "regime" for n in CFG.volatility}
 
 
 def feature_query(
@@ -53,6 +55,7 @@ def feature_query(
     sql = f"WITH {TICK_BARS}, x AS ({base}) SELECT symbol, ts, {picked} FROM x"
     if "extras" not in families:
         FRAME_PARTS.append((columns, base))
+        FAMILY_OF.update(dict.fromkeys(columns, families[-1]))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = compute_features(tick_bars(spark, sf_dir), cfg, families)

@@ -15,6 +15,10 @@ from tickloom.plans.quantiles import aggregate_with_quantiles, quantiles
 from tickloom.plans.small import join_small
 
 
+# A deviation below this share of the mean is rounding of a constant, and counts as none.
+ROUNDING = 1e-9
+
+
 def finite(name: str) -> Column:
     """The column as a double; NaN and infinite values are missing."""
     value = F.col(name).cast("double")
@@ -89,7 +93,7 @@ def zscore_outliers(df: DataFrame, columns: Sequence[str], threshold: float = 6.
     """Cells further than ``threshold`` sample deviations from the mean."""
     cells = long_form(df, columns)
     moments = cells.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    far = (F.col("s") > 0) & (F.abs(ratio(F.col("value") - F.col("m"), "s")) > threshold)
+    far = (F.col("s") > ROUNDING * F.abs("m")) & (F.abs(ratio(F.col("value") - F.col("m"), "s")) > threshold)
     return join_small(cells, moments, ["feature"]).groupBy("feature").agg(count_if(far).alias("outliers"))
 
 
@@ -194,7 +198,10 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     vx = F.col("sxx") - ratio(F.col("sx") * F.col("sx"), n)
     vy = F.col("syy") - ratio(F.col("sy") * F.col("sy"), n)
     names = F.array(*(F.lit(c) for c in columns))
-    r = F.when((n > 1) & (vx > 0) & (vy > 0), cov / (F.sqrt(vx) * F.sqrt(vy)))
+    centres = F.array(*(F.lit(float(x)) for x in centre))
+    mx, my = F.get(centres, F.col("i")) + ratio(F.col("sx"), n), F.get(centres, F.col("j")) + ratio(F.col("sy"), n)
+    varies = (vx > n * (ROUNDING * mx) ** 2) & (vy > n * (ROUNDING * my) ** 2)
+    r = F.when((n > 1) & varies, cov / (F.sqrt(vx) * F.sqrt(vy)))
     return sums.select(
         F.get(names, F.col("i")).alias("feature_a"),
         F.get(names, F.col("j")).alias("feature_b"),
