@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +22,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 RARE = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
 LONG = 800
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The pre-tokens of both vocabularies in texts without RARE characters.
+BYTE_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\\s+(?!\\S)|\\s+")
+LOWER_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 MARKS = re.compile(r"'(?:[stmd]|re|ve|ll)|\d|(?:[^\s\w]|_)+")
 
 
@@ -31,11 +35,28 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Remembered(dict):
+    """Pre-token -> its ids as bytes. The first ones met are remembered, all others are merged each time."""
+
+    MOST = 1 << 19
+    LONGEST = 32
+
+    def __init__(self, merge):
+        self.merge = merge
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("H", self.merge(word)).tobytes()
+        if len(self) < self.MOST and len(word) <= self.LONGEST:
+            self[word] = ids
+        return ids
+
+
 class _Library:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.two_bytes = self.library.get_vocab_size() <= 1 << 16
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -63,6 +84,7 @@ class WordBpe(_Library):
                 ranks[bytes(to_byte[c] for c in body) + b" " * ends] = rank
         # A space after each word stands for the word end; white space never is part of a token.
         self.fast = tiktoken.Encoding("word", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        self.memory = Remembered(lambda word: self.plain(word) if len(word) > LONG else self.fast.encode_ordinary(word + " "))
 
     @staticmethod
     def words(text: str) -> list[str] | None:
@@ -79,6 +101,12 @@ class WordBpe(_Library):
         words = self.words(text)
         return self.plain(text) if words is None else self.merge(words)
 
+    def packed(self, text: str) -> np.ndarray:
+        """``encode`` out of remembered pre-tokens, two bytes an id where the vocabulary allows."""
+        if not self.two_bytes or RARE.search(text) or "<|" in text:
+            return self.encode(text)
+        return np.frombuffer(b"".join(map(self.memory.__getitem__, LOWER_WORDS.findall(text.lower()))), "<u2")
+
     def whole_tokens(self) -> list[str]:
         """Vocabulary strings that the library encodes, alone, as exactly their one token."""
         to_byte, strings, ids = byte_of(), [], []
@@ -107,12 +135,19 @@ class ByteBpe(_Library):
             if not token.startswith("<|")
         }
         self.fast = tiktoken.Encoding("byte", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.memory = Remembered(lambda word: self.plain(word) if len(word) > LONG else self.fast.encode_ordinary(word))
 
     def encode(self, text: str) -> np.ndarray:
         if RARE.search(text) or "<|" in text or self.runs_are_long(text, text.split()):
             return self.plain(text)
         return self.fast.encode_to_numpy(text, disallowed_special=())
 
+    def packed(self, text: str) -> np.ndarray:
+        """``encode`` out of remembered pre-tokens, two bytes an id where the vocabulary allows."""
+        if not self.two_bytes or RARE.search(text) or "<|" in text:
+            return self.encode(text)
+        return np.frombuffer(b"".join(map(self.memory.__getitem__, BYTE_WORDS.findall(text))), "<u2")
+
 
 @lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordBpe:

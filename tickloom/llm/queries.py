@@ -132,3 +132,35 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.embed_dedup import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.9)
+
+
+@query("op11_lexical_packing")
+def op11_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.lexical_packing import pack_related
+
+    return pack_related(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=1)
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.repair import Repair, damaged
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repair = Repair(damaged(turns))
+    counts, digests = repair.counts(), repair.digests()
+    same = lambda right: F.col("conv_id").eqNullSafe(F.col(right))
+    out = turns.select("conv_id").distinct().join(counts.withColumnRenamed("conv_id", "counted"), same("counted"), "left")
+    out = out.join(digests.withColumnRenamed("conv_id", "digested"), same("digested"), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    empty = F.sha2(F.lit(""), 256)
+    return out.select(
+        "conv_id", *(zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"),
+    )
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.spelling import count_words, variant_groups
+
+    return variant_groups(count_words(table(spark, sf_dir, "documents")))
