@@ -12,7 +12,7 @@ from tickloom.catalog.sqltext import HOURLY_BARS, TICK_BARS, frame, full, lag, r
 from tickloom.config import FeatureConfig
 from tickloom.functions.numeric import rounded
 from tickloom.operators.feature_qc import long_form
-from tickloom.operators.cross_asset import driver_features, pair_features
+from tickloom.operators.cross_asset import align_to_driver, driver_features, pair_features
 from tickloom.operators.features import (
     compute_features,
     feature_names,
@@ -330,6 +330,24 @@ def vol_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The longest window half of the longest series fills.
+_VOL_PCT_LONG = f"""WITH {TICK_BARS}, r AS ({RETS}),
+v AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, {full('stddev_samp', 'ret', 20)} AS vol FROM r),
+w AS (SELECT max(rn) // 2 AS w FROM v),
+c AS (SELECT a.symbol, a.ts, count(b.vol) AS n, count(b.vol) FILTER (b.vol <= a.vol) AS k FROM v a, w, v b
+  WHERE b.symbol = a.symbol AND b.rn BETWEEN a.rn - w + 1 AND a.rn GROUP BY 1, 2)
+SELECT symbol, ts, {rnd('vol')} AS vol, {rnd('CASE WHEN n = w AND rn >= w THEN k / w END')} AS vol_percentile FROM v JOIN c USING (symbol, ts), w"""
+
+
+@query("vol_percentile_long", _VOL_PCT_LONG)
+def vol_percentile_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks within the longest window that half of the longest series fills."""
+    bars = tick_bars(spark, sf_dir)
+    longest = bars.groupBy("symbol").count().agg(F.max("count")).first()[0] or 2
+    df = volatility_percentile(bars, window=longest // 2)
+    return df.select("symbol", "ts", rounded("vol").alias("vol"), rounded("vol_percentile").alias("vol_percentile"))
+
+
 @query("feature_frame")
 def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All families at once (the bench's main query)."""
@@ -392,6 +410,30 @@ def beta_to_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("symbol", "ts", rounded("beta_to_driver_100").alias("beta"))
 
 
+_AS_OF = f"""WITH {TICK_BARS}, r AS (SELECT *, close / nullif({lag('close')}, 0) - 1 AS ret FROM raw),
+d AS (SELECT ts, close AS close_driver, ret AS ret_driver FROM r WHERE symbol = 'click'),
+j AS (SELECT r.symbol, r.ts, r.close, r.ret, d.ts AS driver_ts, close_driver, ret_driver,
+  CASE WHEN r.ret IS NOT NULL THEN ret_driver END AS rd, CASE WHEN ret_driver IS NOT NULL THEN r.ret END AS rs
+  FROM r ASOF JOIN d ON r.ts >= d.ts WHERE r.symbol <> 'click' AND d.ts >= r.ts - INTERVAL 6 HOURS)"""
+
+
+@query("driver_as_of", f"""{_AS_OF} SELECT symbol, ts, driver_ts, close_driver, {rnd('ret_driver')} AS ret_driver FROM j""")
+def driver_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tick bars next to the driver's last bar, for symbols that never trade in the same instant."""
+    df = align_to_driver(tick_bars(spark, sf_dir), "click", tolerance="6 hours")
+    return df.select("symbol", "ts", "driver_ts", "close_driver", rounded("ret_driver").alias("ret_driver"))
+
+
+@query(
+    "beta_to_driver_720",
+    f"""{_AS_OF} SELECT symbol, ts,
+ {rnd(f"CASE WHEN count(rs) OVER {frame(720)} = 720 THEN covar_samp(rs, rd) OVER {frame(720)} / nullif(var_samp(rd) OVER {frame(720)}, 0) END")} AS beta FROM j""",
+)
+def beta_to_driver_720(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = driver_features(tick_bars(spark, sf_dir), "click", tolerance="6 hours")
+    return df.select("symbol", "ts", rounded("beta_to_driver_720").alias("beta"))
+
+
 _PAIR = f"""{_ALIGNED}, p AS (SELECT *, close / nullif(close_driver, 0) AS ratio FROM j WHERE symbol = 'view')
 SELECT ts, {rnd('ratio')} AS ratio,
  {rnd(f"(ratio - ({full('avg', 'ratio', 240)})) / nullif({full('stddev_samp', 'ratio', 240)}, 0)")} AS ratio_zscore,

@@ -132,12 +132,28 @@ def _join_blocks(blocks: list[Block]) -> tuple[Column, Column | None, Column | N
     return newest + drift, squares, cross
 
 
+def _join_pairs(left: list[Block], right: list[Block], moments: list[Column]) -> Column:
+    """Co-moment of two columns over adjacent blocks, newest first, from those of the blocks."""
+    n = sum(block[0] for block in left)
+    centred = []
+    for blocks in (left, right):
+        newest = blocks[0][2]
+        shifts = [block[2] - newest for block in blocks]
+        drift = sum((s * (b[0] / n) for s, b in zip(shifts, blocks)), F.lit(0.0))
+        centred.append([s - drift for s in shifts])
+    total = F.lit(0.0)
+    for block, moment, a, b in zip(left, moments, *centred):
+        total = total + moment + a * b * block[0]
+    return total
+
+
 def add_long_windows(
     df: DataFrame,
     window: WindowSpec,
     ewm: dict[str, tuple[str, float, int]],
     slopes: dict[str, tuple[str, int]],
     rolls: Iterable[Roll] = (),
+    pairs: dict[str, tuple[str, str, int]] | None = None,
 ) -> DataFrame:
     """Exponentially weighted means, slopes, means and deviations over long frames.
 
@@ -151,18 +167,28 @@ def add_long_windows(
     ``ewm`` maps an output to (column, alpha, min_periods) with normalised
     weights; its column must be non-null. ``slopes`` maps an output to
     (column, length): least squares against 0..length-1. ``rolls`` are avg, std
-    or sum requests read back with :func:`rolled`. Expects ``_row``.
+    or sum requests read back with :func:`rolled`. ``pairs`` maps an output to
+    (column, column, length): their sample covariance; both must be null in the same
+    rows. Expects ``_row`` for ``ewm``.
     """
-    rolls = list(rolls)
-    if not ewm and not slopes and not rolls:
+    rolls, pairs = list(rolls), pairs or {}
+    if not ewm and not slopes and not rolls and not pairs:
         return df
     depth = {name: ewm_levels(alpha) for name, (_, alpha, _) in ewm.items()}
     sloped = {c for c, _ in slopes.values()}
     spread = {c for kind, c, _ in rolls if kind == "std"}
     lengths: dict[str, int] = {}
-    for c, n in [*slopes.values(), *((c, n) for _, c, n in rolls)]:
+    both = [(c, n) for x, y, n in pairs.values() for c in (x, y)]
+    for c, n in [*slopes.values(), *((c, n) for _, c, n in rolls), *both]:
         lengths[c] = max(lengths.get(c, 1), n)
     top = {c: _pieces(n)[0][0] for c, n in lengths.items()}
+    # A pair rises as far as its longest request, at most as far as its columns do.
+    paired: dict[tuple[str, str], int] = {}
+    for x, y, n in pairs.values():
+        paired[x, y] = max(paired.get((x, y), 0), _pieces(n)[0][0])
+
+    def moment(x: str, y: str, level: int, at: str = "") -> str:
+        return f"_pair{level}_{x}_{y}{at}"
 
     def parts(c: str, level: int, at: str = "") -> tuple[str, str | None, str | None]:
         tag = f"{level}_{c}{at}"
@@ -178,6 +204,7 @@ def add_long_windows(
         # NULL in, NULL out for every moment.
         state[mean] = F.col(c).cast("double")
         state |= {extra: F.col(c) * 0.0 for extra in (square, cross) if extra}
+    state |= {moment(x, y, 0): F.col(x) * F.col(y) * 0.0 for x, y in paired}
     df = df.withColumns(state)
     for level in range(max([0, *top.values(), *depth.values()])):
         size = RADIX**level
@@ -194,21 +221,31 @@ def add_long_windows(
             for part in filter(None, parts(c, level)):
                 for k in range(1, RADIX):
                     grown[f"{part}_{k}"] = F.lag(part, k * size).over(window)
+        growing = [(x, y) for (x, y), highest in paired.items() if level < highest]
+        for x, y in growing:
+            part = moment(x, y, level)
+            grown |= {f"{part}_{k}": F.lag(part, k * size).over(window) for k in range(1, RADIX)}
         df = df.withColumns(grown)
         raised: dict[str, Column] = {}
-        for c in rising:
-            names = parts(c, level)
-            blocks = [
-                (size, k * size, *(F.col(p + (f"_{k}" if k else "")) if p else None for p in names))
+
+        def four(c: str) -> list[Block]:
+            return [
+                (size, k * size, *(F.col(p + (f"_{k}" if k else "")) if p else None for p in parts(c, level)))
                 for k in range(RADIX)
             ]
-            for target, value in zip(parts(c, level + 1), _join_blocks(blocks)):
+
+        for c in rising:
+            for target, value in zip(parts(c, level + 1), _join_blocks(four(c))):
                 if target:
                     raised[target] = value
+        for x, y in growing:
+            part = moment(x, y, level)
+            moments = [F.col(part + (f"_{k}" if k else "")) for k in range(RADIX)]
+            raised[moment(x, y, level + 1)] = _join_pairs(four(x), four(y), moments)
         df = df.withColumns(raised) if raised else df
     fetched: dict[str, Column] = {}
 
-    def whole(c: str, n: int) -> tuple[Column, Column | None, Column | None]:
+    def blocks_of(c: str, n: int) -> list[Block]:
         blocks: list[Block] = []
         for level, length, after in _pieces(n):
             names = parts(c, level)
@@ -219,9 +256,22 @@ def add_long_windows(
                         fetched[target] = F.lag(source, after).over(window)
                 names = moved
             blocks.append((length, after, *(F.col(p) if p else None for p in names)))
-        return _join_blocks(blocks)
+        return blocks
+
+    def whole(c: str, n: int) -> tuple[Column, Column | None, Column | None]:
+        return _join_blocks(blocks_of(c, n))
+
+    def whole_pair(x: str, y: str, n: int) -> Column:
+        moments = []
+        for level, _, after in _pieces(n):
+            source = moment(x, y, level)
+            if after:
+                fetched[moment(x, y, level, f"_at{after}")] = F.lag(source, after).over(window)
+                source = moment(x, y, level, f"_at{after}")
+            moments.append(F.col(source))
+        return _join_pairs(blocks_of(x, n), blocks_of(y, n), moments)
 
-    results: dict[str, Column] = {}
+    results: dict[str, Column] = {name: whole_pair(x, y, n) / (n - 1) for name, (x, y, n) in pairs.items()}
     for name, (c, n) in slopes.items():
         results[name] = whole(c, n)[2] / (n * (n * n - 1) / 12)
     for kind, c, n in rolls:
@@ -234,5 +284,5 @@ def add_long_windows(
         covered = F.least(F.col("_row"), F.lit(ewm_lookback(alpha)))
         weights = (1 - F.pow(F.lit(decay), covered)) / alpha
         results[name] = F.when(F.col("_row") >= periods, F.col(f"_s_{name}") / weights)
-    scratch = [c for c in df.columns if c.startswith(("_s_", "_mean", "_square", "_cross"))]
+    scratch = [c for c in df.columns if c.startswith(("_s_", "_mean", "_square", "_cross", "_pair"))]
     return df.withColumns(fetched).withColumns(results).drop(*scratch, *fetched)

@@ -3,6 +3,7 @@
 from tickloom.operators.features.engine import (
     compute_features,
     feature_names,
+    lookback_bars,
     volatility_percentile,
     winsorize,
     with_metadata,
@@ -11,6 +12,7 @@ from tickloom.operators.features.engine import (
 __all__ = [
     "compute_features",
     "feature_names",
+    "lookback_bars",
     "volatility_percentile",
     "winsorize",
     "with_metadata",

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from dataclasses import replace
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +20,7 @@ from tickloom.functions.numeric import clip, flag
 from tickloom.functions.rolling import add_long_windows, add_rolls, ewm_lookback, is_long
 from tickloom.operators.features.families import FAMILIES, documented_extras
 from tickloom.operators.features.family import Family
+from tickloom.plans.order_index import sliding_count
 from tickloom.plans.quantiles import quantiles
 from tickloom.plans.ranks import prefix_rank
 from tickloom.plans.slices import BORROWED, SLICE, slice_series
@@ -47,6 +47,11 @@ def _lookback(spec: Family) -> int:
     return max(max(rolls), max(ewm), max(slopes), max(lags)) + max(late) + 2
 
 
+def lookback_bars(cfg: FeatureConfig | None = None, families: Sequence[str] = tuple(FAMILIES)) -> int:
+    """How many bars before its own a feature of these families depends on (whole-history limits aside)."""
+    return _lookback(_declaration(cfg or FeatureConfig(), families))
+
+
 def compute_features(
     bars: DataFrame,
     cfg: FeatureConfig | None = None,
@@ -167,27 +172,17 @@ def volatility_percentile(
     volatility_window: int = 20,
     *,
     rows_per_slice: int | None = None,
+    rows_per_block: int | None = None,
 ) -> DataFrame:
     """``vol_percentile``: share of the last ``window`` volatilities <= the current one.
 
-    An order-statistic over a quarter of one-minute bars has no built-in window
-    form, so each (symbol, slice) ranks its own rows with a rolling rank; slices
-    borrow the window's worth of earlier rows.
+    An order statistic over a quarter of one-minute bars, from the index of :mod:`tickloom.plans.order_index`.
+    NULL until the window is full, and where it holds a bar without a volatility.
     """
     cfg = replace(FeatureConfig(), volatility=(volatility_window,))
     vol = compute_features(bars, cfg, ["volatility_risk"], rows_per_slice=rows_per_slice).select(
         KEY, TIME, F.col(f"volatility_{volatility_window}").alias("vol")
     )
-    series = slice_series(
-        vol, [KEY], [TIME], lookback=window + volatility_window, rows_per_slice=rows_per_slice
-    )
-    schema = "symbol string, ts timestamp, vol double, vol_percentile double"
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TIME)
-        pdf["vol_percentile"] = pdf["vol"].rolling(window).rank(method="max", pct=True)
-        if BORROWED in pdf:
-            pdf = pdf[~pdf[BORROWED]]
-        return pdf[[KEY, TIME, "vol", "vol_percentile"]]
-
-    df = series.df.withColumn(TIME, F.col(TIME).cast("timestamp"))
-    return df.groupBy(*series.partition).applyInPandas(rank, schema)
+    counted = sliding_count(vol, [KEY], TIME, "vol", window, rows_per_block=rows_per_block, rows_per_slice=rows_per_slice)
+    share = F.when(F.col("known") == window, F.col("not_above") / window)
+    return counted.select(KEY, TIME, "vol", share.alias("vol_percentile"))

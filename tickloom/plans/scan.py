@@ -12,11 +12,23 @@ from tickloom.plans.slices import BORROWED, SLICE, slice_series
 _AGGREGATE = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 
 
+def _latest(column: str) -> Column:
+    return F.last(column, ignorenulls=True)
+
+
+def _slice_total(kind: str, column: str, order: Sequence[str]) -> Column:
+    if kind == "last":
+        return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order)))
+    return _AGGREGATE[kind](column)
+
+
 def _combine(kind: str, carry: Column, local: Column) -> Column:
     if kind == "max":
         return F.greatest(carry, local)
     if kind == "min":
         return F.least(carry, local)
+    if kind == "last":
+        return F.coalesce(local, carry)
     return F.coalesce(carry + local, carry, local)
 
 
@@ -31,7 +43,7 @@ def running(
     """Add running aggregates from the start of each series to the current row.
 
     ``measures`` maps an output name to ``(kind, column)`` with kind one of
-    sum, count, max, min. A short series is one plain window. A long one is
+    sum, count, max, min, last (the last known value: that of the latest row that has one). A short series is one plain window. A long one is
     scanned in two levels: aggregate per slice, prefix over the slice totals
     (one row per slice), then a window inside each slice plus its carry.
     """
@@ -39,21 +51,21 @@ def running(
     series = slice_series(df.withColumns(inputs), keys, order, rows_per_slice=rows_per_slice)
     upto_here = series.window.rowsBetween(Window.unboundedPreceding, 0)
     local = {
-        name: _AGGREGATE[kind](f"_in_{name}").over(upto_here) for name, (kind, _) in measures.items()
+        name: _AGGREGATE.get(kind, _latest)(f"_in_{name}").over(upto_here) for name, (kind, _) in measures.items()
     }
     if not series.sliced:
         return series.df.withColumns(local).drop(*inputs)
     totals = series.df.groupBy(*series.partition).agg(
-        *(_AGGREGATE[kind](f"_in_{name}").alias(name) for name, (kind, _) in measures.items())
+        *(_slice_total(kind, f"_in_{name}", order).alias(name) for name, (kind, _) in measures.items())
     )
     earlier = Window.partitionBy(*series.keys).orderBy(SLICE).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    fold = {"count": F.sum}
+    fold = {"count": F.sum, "last": _latest}
     carry = totals.select(
         *series.partition,
         *(
-            fold.get(kind, _AGGREGATE[kind])(name).over(earlier).alias(f"_carry_{name}")
+            (fold.get(kind) or _AGGREGATE[kind])(name).over(earlier).alias(f"_carry_{name}")
             for name, (kind, _) in measures.items()
         ),
     )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.session import configure, work_folder
+from tickloom.config import FeatureConfig
+from tickloom.operators.features import compute_features
+from tickloom.session import configure, durable, work_folder
 from tickloom.streaming.jobs import features_per_batch
+from tickloom.streaming.lookback import stream_features
 
 
 def as_ticks(events: DataFrame) -> DataFrame:
@@ -136,3 +139,44 @@ def run_features(
     )
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/features")
+
+
+def run_lookback(
+    spark: SparkSession,
+    bars: DataFrame,
+    turns: int,
+    late_hours: int,
+    families: Sequence[str],
+    cfg: FeatureConfig | None = None,
+    columns: Sequence[str] = (),
+) -> DataFrame:
+    """Bars arriving in ``turns`` deliveries through :func:`stream_features`; the features of all of them.
+
+    Deliveries are equal spans of time; one bar in ten of the last ``late_hours`` of a span comes with the next
+    one. A bar ten years later lets the watermark pass all others.
+    """
+    configure(spark)
+    folder = work_folder(spark, "stream")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    edge = bars.agg(F.min(micros).alias("first"), F.max(micros).alias("last"), F.max("ts").alias("end")).first()
+    if edge["first"] is None:
+        empty = compute_features(bars, cfg, families)
+        return empty.select("symbol", "ts", *columns) if columns else empty
+    span = (edge["last"] - edge["first"]) // turns + 1
+    turn = F.floor((micros - edge["first"]) / span)
+    to_end = (turn + 1) * span - (micros - edge["first"])
+    is_late = (to_end <= late_hours * 3_600_000_000) & (F.pmod(F.xxhash64("symbol", "ts"), F.lit(10)) == 0)
+    dealt = bars.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("turn", turn + is_late.cast("int"))
+    dealt = durable(dealt)
+    dealt.drop("turn").limit(0).write.parquet(f"{folder}/bars")
+    source = spark.readStream.schema(dealt.drop("turn").schema).parquet(f"{folder}/bars")
+    for k in range(turns + 2):
+        if k <= turns:
+            arrived = dealt.where(F.col("turn") == k)
+        else:
+            arrived = dealt.where(F.unix_micros("ts") == edge["last"]).limit(1)
+            arrived = arrived.withColumns({"ts": F.col("ts") + F.expr("INTERVAL 10 YEARS"), "symbol": F.lit("~").cast(dealt.schema["symbol"].dataType)})
+        arrived.drop("turn").write.mode("append").parquet(f"{folder}/bars")
+        started = stream_features(spark, source, f"{folder}/features", f"{folder}/checkpoint", f"{late_hours} hours", cfg, families, columns=columns)
+        started.awaitTermination()
+    return spark.read.parquet(f"{folder}/features").drop("batch")
