@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import count_if, ratio
-from tickloom.plans.quantiles import aggregate_with_quantiles, quantiles
+from tickloom.functions.numeric import count_if
+from tickloom.operators.feature_state import column_summary, correlations, feature_states, merged, order_statistics
 from tickloom.plans.small import join_small
+from tickloom.session import durable
 
 
 # A deviation below this share of the mean is rounding of a constant, and counts as none.
@@ -31,83 +30,66 @@ def long_form(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), ra
     return wide.unpivot(list(ids), list(columns), "feature", "value")
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, exact quartiles, max per feature."""
-    cells = long_form(df, columns)
-    basic = [
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    ]
-    stats = aggregate_with_quantiles(cells, ["feature"], "value", basic, [0.25, 0.5, 0.75])
-    return stats.select(
-        "feature", "count", "mean", "std", "min",
-        F.get("quantiles", F.lit(0)).alias("p25"),
-        F.get("quantiles", F.lit(1)).alias("p50"),
-        F.get("quantiles", F.lit(2)).alias("p75"),
-        "max",
+def measured(df: DataFrame, columns: Sequence[str], pairs: bool = False, bins: bool = True) -> DataFrame:
+    """The merged states of a frame: one pass, a bounded number of rows for each column, whatever its length."""
+    return durable(merged(feature_states(df, columns, pairs=pairs, bins=bins)))
+
+
+def describe(df: DataFrame, columns: Sequence[str], states: DataFrame | None = None) -> DataFrame:
+    """count, mean, std, min, exact quartiles, max per feature; ``states`` that are at hand spare a pass."""
+    states = states or measured(df, columns)
+    ranks = order_statistics(states, df, columns, [0.25, 0.5, 0.75]).select(
+        "feature", *(F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75")))
     )
+    stats = column_summary(states, columns).join(ranks, "feature", "left")
+    return stats.select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
-def feature_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def feature_ranges(df: DataFrame, columns: Sequence[str], states: DataFrame | None = None) -> DataFrame:
     """min, max, mean, std and missing count per feature."""
-    return long_form(df, columns).groupBy("feature").agg(
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        count_if(F.col("value").isNull()).alias("nan_count"),
-    )
+    stats = column_summary(states or measured(df, columns, bins=False), columns)
+    return stats.select("feature", "min", "max", "mean", "std", (F.col("nan_count") + F.col("inf_count")).alias("nan_count"))
 
 
-def missing_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def missing_counts(df: DataFrame, columns: Sequence[str], states: DataFrame | None = None) -> DataFrame:
     """Missing and infinite cells per feature, with a valid/warnings status."""
-    missing = F.col("value").isNull() | F.isnan("value")
-    infinite = F.col("value").isin(math.inf, -math.inf)
-    return (
-        long_form(df, columns, raw=True)
-        .groupBy("feature")
-        .agg(
-            F.count("*").alias("rows"),
-            count_if(missing).alias("nan_count"),
-            count_if(infinite).alias("inf_count"),
-        )
-        .withColumn("nan_pct", F.round(100 * F.col("nan_count") / F.col("rows"), 4))
-        .withColumn(
-            "status", F.when((F.col("nan_count") > 0) | (F.col("inf_count") > 0), "warnings").otherwise("valid")
-        )
+    warned = F.when((F.col("nan_count") > 0) | (F.col("inf_count") > 0), "warnings").otherwise("valid")
+    return column_summary(states or measured(df, columns, bins=False), columns).select(
+        "feature", "rows", "nan_count", "inf_count", F.round(100 * F.col("nan_count") / F.col("rows"), 4).alias("nan_pct"), warned.alias("status")
     )
 
 
-def extreme_counts(df: DataFrame, columns: Sequence[str], fraction: float = 0.01) -> DataFrame:
-    """Cells outside the [p, 1-p] quantiles per feature."""
-    cells = long_form(df, columns)
-    limits = quantiles(cells, ["feature"], "value", [fraction, 1 - fraction])
-    outside = (F.col("value") < F.get("quantiles", F.lit(0))) | (F.col("value") > F.get("quantiles", F.lit(1)))
-    return join_small(cells, limits, ["feature"]).groupBy("feature").agg(count_if(outside).alias("extreme_count"))
+def extreme_counts(df: DataFrame, columns: Sequence[str], fraction: float = 0.01, states: DataFrame | None = None) -> DataFrame:
+    """Cells outside the [p, 1-p] quantiles per feature, counted where those are found."""
+    states = states or measured(df, columns)
+    ranks = order_statistics(states, df, columns, [fraction, 1 - fraction])
+    outside = (F.get("below", F.lit(0)) + F.get("above", F.lit(1))).alias("extreme_count")
+    known = column_summary(states, columns).select("feature").join(ranks.select("feature", outside), "feature", "left")
+    return known.select("feature", F.coalesce("extreme_count", F.lit(0)).alias("extreme_count"))
 
 
 def zscore_outliers(df: DataFrame, columns: Sequence[str], threshold: float = 6.0) -> DataFrame:
     """Cells further than ``threshold`` sample deviations from the mean."""
-    cells = long_form(df, columns)
-    moments = cells.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    far = (F.col("s") > ROUNDING * F.abs("m")) & (F.abs(ratio(F.col("value") - F.col("m"), "s")) > threshold)
-    return join_small(cells, moments, ["feature"]).groupBy("feature").agg(count_if(far).alias("outliers"))
+    # One row for each column.
+    moments = {r["feature"]: (r["mean"], r["std"]) for r in column_summary(measured(df, columns, bins=False), columns).collect()}
+
+    def far(c: str) -> Column:
+        mean, spread = moments[c]
+        if mean is None or spread is None or not spread > ROUNDING * abs(mean):
+            return F.lit(False)
+        return F.abs((finite(c) - F.lit(mean)) / F.lit(spread)) > threshold
+
+    if not moments:
+        return df.select(F.lit("").alias("feature"), F.lit(0).cast("long").alias("outliers")).limit(0)
+    wide = df.agg(*(count_if(far(c)).alias(c) for c in columns))
+    return wide.unpivot([], list(columns), "feature", "outliers")
 
 
-def quality_metrics(df: DataFrame, columns: Sequence[str], min_non_na: float = 0.95) -> DataFrame:
+def quality_metrics(df: DataFrame, columns: Sequence[str], min_non_na: float = 0.95, states: DataFrame | None = None) -> DataFrame:
     """Completeness, moments, tails, PASS/FAIL and score per feature."""
-    cells = long_form(df, columns)
-    basic = [
-        (F.count("value") / F.count("*")).alias("non_na_pct"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    ]
-    stats = aggregate_with_quantiles(cells, ["feature"], "value", basic, [0.01, 0.5, 0.99])
+    states = states or measured(df, columns)
+    ranks = order_statistics(states, df, columns, [0.01, 0.5, 0.99]).select("feature", "quantiles")
+    stats = column_summary(states, columns).join(ranks, "feature", "left").withColumn("non_na_pct", F.col("count") / F.col("rows"))
     return stats.select(
         "feature", "non_na_pct", "mean", "std", "min", "max",
         *(F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(("p1", "p50", "p99"))),
@@ -153,61 +135,13 @@ def feature_set_gate(
     )
 
 
-def _pair_sums(columns: Sequence[str], centre: np.ndarray):
-    """Per task: sums over rows where both members of a pair are present."""
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = len(columns)
-        n = np.zeros((p, p))
-        sx, sxx, sxy = np.zeros((p, p)), np.zeros((p, p)), np.zeros((p, p))
-        for pdf in batches:
-            x = pdf[list(columns)].to_numpy(dtype=float) - centre
-            mask = np.isfinite(x)
-            x = np.where(mask, x, 0.0)
-            m = mask.astype(float)
-            n += m.T @ m
-            sx += x.T @ m
-            sxx += (x * x).T @ m
-            sxy += x.T @ x
-        i, j = np.triu_indices(p, k=1)
-        yield pd.DataFrame(
-            {
-                "i": i, "j": j, "n": n[i, j], "sx": sx[i, j], "sy": sx[j, i],
-                "sxx": sxx[i, j], "syy": sxx[j, i], "sxy": sxy[i, j],
-            }
-        )
-
-    return work
-
-
-def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def correlation_pairs(df: DataFrame, columns: Sequence[str], states: DataFrame | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlation for every column pair (i < j).
 
-    Each task reduces its rows to one p x p block of centred sums, so only
-    tasks * p^2 / 2 rows are shuffled whatever the number of bars.
+    Each task reduces its rows to one p x p block of moments about its own means, so the frame is computed
+    once and only tasks * p^2 / 2 rows are shuffled whatever the number of bars.
     """
-    columns = list(columns)
-    values = df.select(*(finite(c).alias(c) for c in columns))
-    means = values.agg(*(F.avg(c).alias(c) for c in columns)).first()
-    centre = np.array([means[c] if means[c] is not None else 0.0 for c in columns])
-    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    sums = values.mapInPandas(_pair_sums(columns, centre), schema).groupBy("i", "j").agg(
-        *(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
-    )
-    n = F.col("n")
-    cov = F.col("sxy") - ratio(F.col("sx") * F.col("sy"), n)
-    vx = F.col("sxx") - ratio(F.col("sx") * F.col("sx"), n)
-    vy = F.col("syy") - ratio(F.col("sy") * F.col("sy"), n)
-    names = F.array(*(F.lit(c) for c in columns))
-    centres = F.array(*(F.lit(float(x)) for x in centre))
-    mx, my = F.get(centres, F.col("i")) + ratio(F.col("sx"), n), F.get(centres, F.col("j")) + ratio(F.col("sy"), n)
-    varies = (vx > n * (ROUNDING * mx) ** 2) & (vy > n * (ROUNDING * my) ** 2)
-    r = F.when((n > 1) & varies, cov / (F.sqrt(vx) * F.sqrt(vy)))
-    return sums.select(
-        F.get(names, F.col("i")).alias("feature_a"),
-        F.get(names, F.col("j")).alias("feature_b"),
-        n.cast("long").alias("n"),
-        r.alias("correlation"),
-    )
+    return correlations(states or measured(df, columns, pairs=True, bins=False), columns, ROUNDING)
 
 
 def high_correlations(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -216,13 +150,8 @@ def high_correlations(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def variance_ranking(df: DataFrame, columns: Sequence[str], top: int = 10) -> DataFrame:
     """The ``top`` features by sample variance."""
-    return (
-        long_form(df, columns)
-        .groupBy("feature")
-        .agg(F.var_samp("value").alias("variance"))
-        .orderBy(F.desc_nulls_last("variance"), "feature")
-        .limit(top)
-    )
+    stats = column_summary(measured(df, columns, bins=False), columns)
+    return stats.select("feature", (F.col("std") * F.col("std")).alias("variance")).orderBy(F.desc_nulls_last("variance"), "feature").limit(top)
 
 
 def analysis_summary(df: DataFrame, columns: Sequence[str], pairs: DataFrame | None = None) -> DataFrame:
