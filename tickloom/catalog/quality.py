@@ -324,6 +324,63 @@ def partition_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Bars of two deliveries: one in nine comes twice, one in thirteen without a symbol, a few out of order or after the end.
+_DELIVERED = """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS part, CASE WHEN event_id % 13 <> 0 THEN event_type END AS symbol,
+  CASE WHEN event_id % 997 = 0 THEN ts + INTERVAL 400 DAYS WHEN event_id % 1009 = 0 THEN ts - INTERVAL 2 HOURS ELSE ts END AS ts,
+  value AS open, value AS high, value AS low, value AS close, CASE WHEN event_id % 1511 = 0 THEN -1.0 ELSE 1.0 END AS volume, event_id * 2 + copy AS arrival,
+  concat('load-', event_id % 3) AS load_id, CASE WHEN event_id % 5 <> 0 THEN concat('s', event_id % 2) END AS source
+  FROM events, (VALUES (0), (1)) c(copy) WHERE copy = 0 OR event_id % 9 = 0"""
+
+
+def delivered_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("copy", F.explode(F.when(F.col("event_id") % 9 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    n, ts, price = F.col("event_id"), F.col("ts"), F.col("value")
+    moved = F.when(n % 997 == 0, ts + F.expr("INTERVAL 400 DAYS")).when(n % 1009 == 0, ts - F.expr("INTERVAL 2 HOURS")).otherwise(ts)
+    return events.select(
+        F.to_date("ts").cast("string").alias("part"), F.when(n % 13 != 0, F.col("event_type")).alias("symbol"), moved.alias("ts"),
+        *(price.alias(c) for c in ("open", "high", "low", "close")), F.when(n % 1511 == 0, -1.0).otherwise(1.0).alias("volume"),
+        (n * 2 + F.col("copy")).alias("arrival"), F.concat(F.lit("load-"), n % 3).alias("load_id"), F.when(n % 5 != 0, F.concat(F.lit("s"), n % 2)).alias("source"),
+    )
+
+
+@query(
+    "partition_validity_full",
+    f"""WITH r AS ({_DELIVERED}),
+    d AS (SELECT part, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT part, symbol, ts, count(*) AS n FROM r GROUP BY 1, 2, 3) GROUP BY 1),
+    o AS (SELECT part, count(*) FILTER (ts < before) AS disorder FROM (SELECT part, ts, lag(ts) OVER (PARTITION BY part, symbol ORDER BY arrival) AS before FROM r) GROUP BY 1),
+    s AS (SELECT part, count(*) AS rows, count(*) FILTER (volume < 0) AS bad_ohlcv, count(*) FILTER (ts > (SELECT max(ts) FROM events)) AS future FROM r GROUP BY 1)
+    SELECT part, rows, bad_ohlcv, duplicates, future, disorder, duplicates = 0 AND future = 0 AND disorder = 0 AS timestamps_ok,
+      CASE WHEN bad_ohlcv = 0 AND duplicates = 0 AND future = 0 AND disorder = 0 THEN 'valid' ELSE 'invalid' END AS status
+    FROM s JOIN d USING (part) JOIN o USING (part)""",
+)
+def partition_validity_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of each date from repetitions, future and order as well, rows without a symbol included."""
+    last = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    out = qc.partition_validity(delivered_bars(spark, sf_dir), "part", now=F.lit(last), arrival="arrival", unique=True)
+    return out.select("part", "rows", "bad_ohlcv", "duplicates", "future", "disorder", "timestamps_ok", "status")
+
+
+@query(
+    "quality_report_nulls",
+    f"""WITH r AS ({_DELIVERED}), d AS (SELECT symbol, CAST(sum(n - 1) AS BIGINT) AS duplicate_ts FROM (SELECT symbol, ts, count(*) AS n FROM r GROUP BY 1, 2) GROUP BY 1)
+    SELECT r.symbol, count(*) AS rows, min(ts) AS ts_min, max(ts) AS ts_max, count(*) FILTER (volume < 0) AS n_negative_volume,
+      count(DISTINCT load_id) AS load_ids, any_value(duplicate_ts) AS duplicate_ts FROM r JOIN d ON r.symbol IS NOT DISTINCT FROM d.symbol GROUP BY 1""",
+)
+def quality_report_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a symbol are part of the report."""
+    out = qc.quality_report(delivered_bars(spark, sf_dir).drop("source"))
+    return out.select("symbol", "rows", "ts_min", "ts_max", "n_negative_volume", "load_ids", "duplicate_ts")
+
+
+@query(
+    "duplicate_rows",
+    f"""SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM (
+      SELECT part, symbol, ts, open, volume, load_id, source, count(*) AS n FROM ({_DELIVERED}) GROUP BY ALL)""",
+)
+def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qc.duplicate_count(delivered_bars(spark, sf_dir).drop("arrival"))
+
+
 _KLINE = """SELECT event_type AS symbol, epoch_us(ts) // 1000 AS open_time, value AS open, CASE WHEN user_id % 10 = 0 THEN NULL ELSE round(value * 2, 2) END AS high,
   date_trunc('millisecond', ts) AS ts FROM events"""
 

@@ -59,9 +59,12 @@ def compute_features(
     *,
     order: Sequence[str] = (TIME,),
     rows_per_slice: int | None = None,
+    whole_history: bool = True,
 ) -> DataFrame:
     """Bars plus the feature columns of the chosen families.
 
+    Without ``whole_history`` the flags that need a symbol's whole history (``high_volatility_n``) are left out.
+
     ``bars`` must carry ``symbol, ts, open, high, low, close, volume`` with
     unique ``(symbol, ts)`` and no nulls (what :mod:`normalize` produces). Add
     ``"extras"`` to ``families`` for the documented-only features.
@@ -91,7 +94,7 @@ def compute_features(
     if "regime" in families:
         if "volatility_risk" not in families:
             raise ValueError("the regime family needs the volatility_risk family")
-        df = _flag_high_volatility(df, cfg, rows_per_slice)
+        df = _flag_high_volatility(df, cfg, rows_per_slice) if whole_history else df
     return df
 
 

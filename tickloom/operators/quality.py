@@ -12,10 +12,17 @@ from tickloom.config import QualityConfig
 from tickloom.functions.numeric import count_if, ratio
 from tickloom.operators.normalize import OHLCV, ohlc_rules
 from tickloom.plans.slices import slice_series
+from tickloom.plans.small import join_small
+
+
+def _beside(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The columns of ``right`` beside those of ``left`` with the same ``key``, null included."""
+    other = right.withColumnRenamed(key, "_key")
+    return left.join(other, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def quality_report(bars: DataFrame) -> DataFrame:
-    """One row per symbol: size, time range, nulls, duplicates, rule violations, sources."""
+    """One row per symbol (rows without one are reported, too): size, time range, nulls, duplicates, rule violations, sources."""
     rules = {f"n_{name}": count_if(broken) for name, broken in ohlc_rules().items()}
     nulls = {f"null_{c}": count_if(F.col(c).isNull()) for c in OHLCV}
     base = bars.groupBy("symbol").agg(
@@ -31,7 +38,7 @@ def quality_report(bars: DataFrame) -> DataFrame:
         .groupBy("symbol")
         .agg(F.sum("extra").alias("duplicate_ts"))
     )
-    report = base.join(duplicates, "symbol")
+    report = _beside(base, duplicates, "symbol")
     if "source" in bars.columns:
         # Two-level: counts per (symbol, source) first, so the map stays small.
         sources = (
@@ -40,10 +47,10 @@ def quality_report(bars: DataFrame) -> DataFrame:
             .groupBy("symbol")
             .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n")))).alias("sources"))
         )
-        report = report.join(sources, "symbol")
+        report = _beside(report, sources, "symbol")
     if "load_id" in bars.columns:
         loads = bars.select("symbol", "load_id").distinct().groupBy("symbol").agg(F.count("*").alias("load_ids"))
-        report = report.join(loads, "symbol")
+        report = _beside(report, loads, "symbol")
     return report
 
 
@@ -212,12 +219,9 @@ def validate_frame(
     present = dict(df.dtypes)
     missing = [c for c in required if c not in present]
     wrong = [c for c, t in (dtypes or {}).items() if c in present and present[c] != t]
-    copies = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
-    stats = copies.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"),
-        *(F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col("_n"))), F.lit(0)).alias(f"null_{c}") for c in df.columns),
-    )
+    stats = df.agg(F.count("*").alias("rows"), *(count_if(F.col(f"`{c}`").isNull()).alias(f"null_{c}") for c in df.columns))
+    one = F.lit(1).alias("_one")
+    stats = stats.select("*", one).join(duplicate_count(df).select("duplicates", one), "_one").drop("_one")
     rows = F.col("rows")
     results = [
         _result("not_empty", "error", F.when(rows == 0, 1).otherwise(0), "empty input"),
@@ -232,6 +236,22 @@ def validate_frame(
     return _as_rows(stats, results)
 
 
+def duplicate_count(df: DataFrame) -> DataFrame:
+    """``duplicates``: rows beyond the first of each set of equal rows, without moving rows that have no equal.
+
+    First only a hash of each row is counted, on the map side already. Rows whose hash occurs again are then compared
+    whole, so a clash of hashes counts for nothing.
+    """
+    kinds = dict(df.dtypes)
+    # Zero and minus zero are one value, as in grouping.
+    plain = lambda c: F.col(f"`{c}`") + F.lit(0.0).cast(kinds[c]) if kinds[c] in ("double", "float") else F.col(f"`{c}`")
+    hashed = df.select(F.xxhash64(*(plain(c) for c in df.columns)).alias("_hash"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)))
+    again = hashed.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")
+    suspects = join_small(hashed, again, ["_hash"], "inner")
+    copies = suspects.groupBy(*(f"_c{i}" for i in range(len(df.columns)))).agg((F.count("*") - 1).alias("e"))
+    return copies.agg(F.coalesce(F.sum("e"), F.lit(0)).alias("duplicates"))
+
+
 def validate_timestamps(
     df: DataFrame,
     now: datetime | Column,
@@ -323,8 +343,21 @@ def require_valid(results: DataFrame) -> None:
         raise ValidationError("; ".join(row["message"] for row in failed))
 
 
-def partition_validity(df: DataFrame, by: str, min_rows: int = 1) -> DataFrame:
-    """Per file or partition: structure, timestamps, prices, status."""
+def partition_validity(
+    df: DataFrame,
+    by: str,
+    min_rows: int = 1,
+    now: datetime | Column | None = None,
+    arrival: str | None = None,
+    unique: bool = False,
+    *,
+    rows_per_slice: int | None = None,
+) -> DataFrame:
+    """Per file or partition: structure, timestamps, prices, status. A null partition or symbol is one like any other.
+
+    Timestamps are good if none is null and, as far as asked for, none lies after ``now``, none repeats
+    within its symbol (``unique``), and none is earlier than the row before it in the order of ``arrival``.
+    """
     broken = F.lit(False)
     for rule in ohlc_rules().values():
         broken = broken | F.coalesce(rule, F.lit(False))
@@ -335,16 +368,28 @@ def partition_validity(df: DataFrame, by: str, min_rows: int = 1) -> DataFrame:
     extra = (
         df.groupBy(by, "symbol", "ts").agg((F.count("*") - 1).alias("e")).groupBy(by).agg(F.sum("e").alias("duplicates"))
     )
-    table = df.groupBy(by).agg(
+    counts = [
         F.count("*").alias("rows"),
         count_if(missing).alias("null_rows"),
         bad_price.alias("bad_ohlcv"),
         count_if(F.col("ts").isNull()).alias("null_ts"),
-    ).join(extra, by)
+    ]
+    timely = F.col("null_ts") == 0
+    if now is not None:
+        counts.append(count_if(F.col("ts") > (now if isinstance(now, Column) else F.lit(now))).alias("future"))
+        timely = timely & (F.col("future") == 0)
+    table = _beside(df.groupBy(by).agg(*counts), extra, by)
+    if unique:
+        timely = timely & (F.col("duplicates") == 0)
+    if arrival is not None:
+        series = slice_series(df.select(by, "symbol", "ts", arrival), [by, "symbol"], [arrival], lookback=1, rows_per_slice=rows_per_slice)
+        stepped = series.owned(series.df.withColumn("_before", F.lag("ts").over(series.window)))
+        table = _beside(table, stepped.groupBy(by).agg(count_if(F.col("ts") < F.col("_before")).alias("disorder")), by)
+        timely = timely & (F.col("disorder") == 0)
     table = table.withColumns(
         {
             "structure_ok": (F.col("rows") >= min_rows) & (F.col("null_rows") == 0),
-            "timestamps_ok": F.col("null_ts") == 0,
+            "timestamps_ok": timely,
             "ohlcv_ok": F.col("bad_ohlcv") == 0,
         }
     )
