@@ -128,3 +128,25 @@ def test_winner_of_enum_counts_keeps_zeros(spark):
     df = spark.createDataFrame([("BUY",)], "signal_type string")
     got = {r["member"]: r["n"] for r in sg.enum_counts(df, "signal_type", sg.SIGNAL_TYPES).collect()}
     assert got["BUY"] == 1 and sum(got.values()) == 1 and len(got) == 9 and not math.isnan(got["SELL"])
+
+
+def test_null_symbols_stay_in_reports(spark):
+    from tickloom.operators import quality as qc
+
+    rows = [("A", "2024-01-01", 1.0, "s", "l", 1), (None, "2024-01-01", 1.0, None, "l", 2), (None, "2024-01-01", 1.0, None, "m", 3), (None, "2024-01-02", 1.0, None, None, 4)]
+    bars = spark.createDataFrame(rows, "symbol string, day string, close double, source string, load_id string, n int").select(
+        "symbol", F.to_timestamp("day").alias("ts"), *(F.col("close").alias(c) for c in ("open", "high", "low", "close", "volume")), "source", "load_id", "n"
+    )
+    got = {r["symbol"]: r for r in qc.quality_report(bars.drop("source")).collect()}
+    assert {s: (r["rows"], r["duplicate_ts"], r["load_ids"]) for s, r in got.items()} == {"A": (1, 0, 1), None: (3, 1, 3)}
+    table = qc.partition_validity(bars, "symbol", now=F.lit("2024-01-01").cast("timestamp"), arrival="n", unique=True)
+    assert {r["symbol"]: (r["future"], r["duplicates"], r["disorder"], r["status"]) for r in table.collect()} == {"A": (0, 0, 0, "valid"), None: (1, 1, 0, "invalid")}
+
+
+def test_equal_rows_are_counted_exactly(spark):
+    from tickloom.operators import quality as qc
+
+    rows = [(1, 0.0, "a"), (1, -0.0, "a"), (1, None, "a"), (1, None, "a"), (1, None, "a"), (2, 0.0, None), (3, float("nan"), "b"), (3, float("nan"), "b")]
+    frame = spark.createDataFrame(rows, "k int, `x.y` double, s string")
+    assert qc.duplicate_count(frame).first()["duplicates"] == 4
+    assert qc.duplicate_count(frame.limit(0)).first()["duplicates"] == 0

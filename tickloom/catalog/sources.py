@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from datetime import datetime
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from tickloom.config import FeatureConfig, config_hash
 from tickloom.functions.numeric import rounded
 from tickloom.operators.features import compute_features
 from tickloom.operators.features.engine import with_metadata
-from tickloom.session import work_folder
+from tickloom.session import durable, work_folder
 from tickloom.sources import readers, writers
 from tickloom.sources.tables import hourly_bars, table, tick_legs
 
@@ -55,6 +59,39 @@ def raw_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("symbol", "open_time", "open", "high", "low", "close", "volume", "source")
 
 
+def _pack(folder: str):
+    """One archive per symbol and day, written by the task that holds its lines."""
+
+    def write(table: pa.Table) -> pa.Table:
+        symbol, day = table["symbol"][0].as_py(), table["day"][0].as_py()
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        system.create_dir(f"{root}/{symbol}/1m")
+        body = io.BytesIO()
+        with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(f"{symbol}-1m-{day}.csv", "open_time,rest\n" + "\n".join(table.sort_by("value")["value"].to_pylist()) + "\n")
+        with system.open_output_stream(f"{root}/{symbol}/1m/{symbol}-1m-{day}.zip") as out:
+            out.write(body.getvalue())
+        return table.select(["symbol", "day"]).slice(0, 1)
+
+    return write
+
+
+@query(
+    "zipped_dumps",
+    f"""WITH {HOURLY_BARS} SELECT symbol, epoch_ms(ts) AS open_time, open, high, low, close, volume, 'binance:dump' AS source,
+    concat(symbol, '-1m-', CAST(CAST(ts AS DATE) AS VARCHAR)) AS load_id FROM bars
+    WHERE symbol IN ('view', 'click') AND CAST(ts AS DATE) >= DATE '2024-01-10'""",
+)
+def zipped_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars packed into one archive per symbol and day, then some symbols and days of them read."""
+    path = work_folder(spark, "zips")
+    fields = [F.unix_millis(F.col("ts").cast("timestamp")), *(F.col(c) for c in ("open", "high", "low", "close", "volume")), *[F.lit(0)] * 6]
+    lines = hourly_bars(spark, sf_dir).select("symbol", F.to_date("ts").cast("string").alias("day"), F.concat_ws(",", *fields).alias("value"))
+    durable(lines.groupBy("symbol", "day").applyInArrow(_pack(path), "symbol string, day string"))
+    good, _ = readers.read_zipped_bars(spark, path, ["view", "click"], first_day="2024-01-10")
+    return good.select("symbol", "open_time", "open", "high", "low", "close", "volume", "source", "load_id")
+
+
 @query(
     "audit_jsonl_roundtrip",
     """SELECT ts AS "timestamp", event_type, value * 10 AS latency_ms, CASE WHEN event_type = 'error' THEN 'failed' END AS error, concat('u', user_id) AS symbol FROM events""",

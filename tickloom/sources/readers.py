@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom import schema
+from tickloom.sources.zipped import zipped_lines
 
 FORMATS = {"csv": "csv", "txt": "text", "parquet": "parquet", "json": "json", "jsonl": "json", "orc": "orc"}
 
@@ -56,17 +57,51 @@ def _read_layout(
         # Header lines repeat the first column's name.
         .where(~F.col("value").startswith(f"{columns[0]},") & (F.trim("value") != ""))
     )
+    return _parsed(lines, layout, own, F.element_at(folders, -3), source)
+
+
+def _parsed(lines: DataFrame, layout: str, own: Sequence[str], symbol: Column, source: str) -> DataFrame:
+    """CSV lines (``value, file``) as typed columns; what does not parse is in ``_corrupt_record``."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     parsed = F.from_csv("value", f"{layout}, _corrupt_record string", options)
     return lines.withColumn("_row", parsed).select(
         *(F.col(f"_row.{c}").alias(c) for c in own),
         F.col("_row._corrupt_record").alias("_corrupt_record"),
-        F.element_at(folders, -3).alias("symbol"),
+        symbol.alias("symbol"),
         F.lit(source).alias("source"),
         file_stem(F.col("file")).alias("load_id"),
     )
 
 
+def read_zipped_bars(
+    spark: SparkSession,
+    raw_dir: str,
+    symbols: Sequence[str] | None = None,
+    first_day: str | None = None,
+    last_day: str | None = None,
+    timeframe: str = "1m",
+    dump_layout: str = "kline",
+) -> tuple[DataFrame, DataFrame]:
+    """Bulk dumps as they are stored, zipped: the rows of :func:`read_raw_bars` over the same files unpacked.
+
+    ``symbols`` and the days (``yyyy-mm-dd``, of files named after one) decide which members are opened at all.
+    """
+    lines = zipped_lines(spark, raw_dir, timeframe)
+    if symbols is not None:
+        lines = lines.where(F.col("symbol").isin(list(symbols)))
+    if first_day is not None:
+        lines = lines.where(F.col("day") >= first_day)
+    if last_day is not None:
+        lines = lines.where(F.col("day") <= last_day)
+    layout = schema.RAW_LAYOUTS[dump_layout]
+    columns = schema.parse(layout).names
+    own = [c for c in columns if c not in ("symbol", "source", "load_id", "ts")]
+    lines = lines.where(~F.col("value").startswith(f"{columns[0]},") & (F.trim("value") != ""))
+    rows = _parsed(lines, layout, own, F.col("symbol"), "binance:dump")
+    bad = F.col("_corrupt_record").isNotNull()
+    return rows.where(~bad).drop("_corrupt_record"), rows.where(bad).select("symbol", "source", "load_id", "_corrupt_record")
+
+
 def klines_from_text(texts: DataFrame, value: str = "value") -> DataFrame:
     """JSON kline payloads (array of 12-element arrays) to one row per bar.
 
