@@ -71,12 +71,15 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, doc_id: str = "do
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
+    # Two bytes an id until ranks are known, where the vocabulary allows.
+    kind = "<u2" if word_bpe(path).two_bytes and end_id < 1 << 16 else "<u4"
+
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
             column = batch.column(1)
-            ids = [bpe.encode(column[i].as_py()).astype("<u4").tobytes() + end for i in range(len(column))]
+            ids = [bpe.packed(column[i].as_py()).astype(kind).tobytes() + end for i in range(len(column))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     encoded = stored(rows.mapInArrow(tokenize, "doc_id long, ids binary"), "token-ids")
@@ -84,13 +87,10 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, doc_id: str = "do
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                one = np.bincount(np.frombuffer(value.as_buffer(), "<u4"))
-                if len(one) > len(counts):
-                    one[: len(counts)] += counts
-                    counts = one
-                else:
-                    counts[: len(one)] += one
+            for part in id_parts(batch.column(0), kind):
+                one = np.bincount(part, minlength=len(counts))
+                one[: len(counts)] += counts
+                counts = one
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
 
@@ -123,7 +123,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, doc_id: str = "do
         for batch in batches:
             for i in range(batch.num_rows):
                 ids.append(batch.column(0)[i].as_py())
-                parts.append(np.frombuffer(batch.column(1)[i].as_buffer(), "<u4"))
+                parts.append(np.frombuffer(batch.column(1)[i].as_buffer(), kind))
                 held += len(parts[-1])
                 if held >= BLOCK_IDS:
                     yield flush()
@@ -142,6 +142,16 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, doc_id: str = "do
     return files
 
 
+def id_parts(column: pa.Array, kind: str, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """All ids of a batch in pieces of bounded size, whichever documents they belong to."""
+    _, offsets, data = column.buffers()
+    if len(column) and data is not None:
+        ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+        ids = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind)
+        for at in range(0, len(ids), most):
+            yield ids[at : at + most]
+
+
 _ARROW_BLOCK = pa.schema(
     [
         ("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n", pa.int64()),
