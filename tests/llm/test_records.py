@@ -66,8 +66,13 @@ def test_turns_survive(spark):
     for c, t, r, x in sorted(data, key=lambda d: (d[0] is not None, d[0], d[1] is not None, d[1], d[2] or "", d[3] or "")):
         want.setdefault(c, []).append((r or "", x or ""))
     assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in read_conversations(out).collect()} == want
+    loss = {r["conv_id"]: r["loss_texts"] for r in read_conversations(out).collect()}
+    # A mask that is off by one character shows.
+    moved = out.withColumn("loss", F.transform("loss", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"].alias("length"))))
+    assert all(r["loss_texts"] != loss[r["conv_id"]] for r in read_conversations(moved).collect())
     for r in out.collect():
         spans = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss"]]
+        assert loss[r["conv_id"]] == [t for role, t in want[r["conv_id"]] if role == "assistant"]
         assert len(spans) == sum(role == "assistant" for role, _ in want[r["conv_id"]])
         for span, (_, text) in zip(spans, [t for t in want[r["conv_id"]] if t[0] == "assistant"]):
             assert span == text or "\\" in span

@@ -112,7 +112,10 @@ def format_conversations(turns: DataFrame, **columns: str) -> DataFrame:
 
 
 def read_conversations(formatted: DataFrame) -> DataFrame:
-    """Parse formatted conversations: ``conv_id, formatted, turns`` with ``turns`` an array of (role, text)."""
+    """Parse formatted conversations: ``conv_id, formatted, turns, loss_texts``; ``turns`` is an array of (role, text).
+
+    ``loss_texts`` are cut out of ``formatted`` by the stored spans of ``loss``, then unescaped.
+    """
     # Every end mark is real: inside texts it is always escaped.
     pieces = F.split("formatted", r"\Q" + END + r"\E\n")
     # The last piece is what follows the last end mark: nothing.
@@ -125,4 +128,5 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
         text = unescape(F.substring(piece, colon + len(COLON), F.char_length(piece)))
         return F.struct(role.alias("role"), text.alias("text"))
 
-    return formatted.select("conv_id", "formatted", F.transform(pieces, turn).alias("turns"))
+    cut = lambda span: unescape(F.substring(F.col("formatted"), span["start"].cast("int") + 1, span["length"].cast("int")))
+    return formatted.select("conv_id", "formatted", F.transform(pieces, turn).alias("turns"), F.transform("loss", cut).alias("loss_texts"))

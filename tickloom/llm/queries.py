@@ -48,7 +48,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     output = stored(format_conversations(turns.unionByName(extra)), "chat")
     read = read_conversations(output)
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join("loss_texts", "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
