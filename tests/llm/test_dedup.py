@@ -193,3 +193,19 @@ def test_wide_vectors_of_few_directions_lose_no_link(spark):
         frame = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
         got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(frame, cell=125).collect()}
         assert got == {i: (int(degree[i]), int(low[i]), low[i] == i) for i in range(len(vectors))}
+
+
+def test_vectors_of_several_lengths(spark):
+    """Each length is compared with its own kind, however rare it is."""
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for dim, n in ((2, 3), (3, 2), (5, 160), (7, 40)):
+        vectors = rng.normal(size=(n, dim))
+        vectors[n // 2 :] = vectors[: n - n // 2] * 3
+        degree, low = _links(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+        base = len(rows)
+        rows += [(base + i, v) for i, v in enumerate(vectors.tolist())]
+        want |= {base + i: (int(degree[i]), base + int(low[i]), low[i] == i) for i in range(n)}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(frame, cell=50).collect()}
+    assert got == want

@@ -15,8 +15,10 @@ directions do not keep to.
 Cells are cut into blocks, each pair of blocks is one product, links are counted inside
 it, and only counts and a spanning forest come out. A pair that two cells see counts in one of them.
 
-Defined results: a vector that is null, zero, of another length than most, or holds null or
-non-finite components links with nothing and is its own component; vec_id may repeat
+Vectors of one length have cells of their own; those of different lengths are never compared.
+
+Defined results: a vector that is null, zero, or holds null or non-finite components
+links with nothing and is its own component; vec_id may repeat
 (rows of their own) and be null. An empty table gives no rows. Labels and extra columns are ignored.
 """
 
@@ -124,6 +126,27 @@ def assign(classes: DataFrame, centres: np.ndarray, threshold: float, sigmas: fl
     return classes.select("cls", "weight", "vec").mapInArrow(run, "cls long, weight long, vec binary, home int, cells array<int>")
 
 
+def all_placed(classes: DataFrame, threshold: float, sigmas: float | None, cell: int) -> DataFrame:
+    """``assign`` for each length of vectors; lengths of few classes are one cell each, without centres."""
+    sized = classes.withColumn("size", F.octet_length("vec"))
+    # One row for each length of vector.
+    lengths = sorted((r["size"], r["n"]) for r in sized.groupBy("size").agg(F.count("*").alias("n")).collect())
+    few = [size for size, n in lengths if n <= cell]
+    home = F.array_position(F.array(*(F.lit(size) for size in few)), F.col("size")).cast("int") - 1
+    out = sized.where(F.col("size").isin(few)).select("cls", "weight", "vec", home.alias("home"), F.array(home).alias("cells")) if few else None
+    base = len(few)
+    for size, n in lengths:
+        if n > cell:
+            own = sized.where(F.col("size") == size)
+            centres = fit_centres(own, min(MAX_CELLS, -(-n // cell)))
+            part = assign(own, centres, threshold, sigmas)
+            first = F.lit(base)
+            shifted = part.select("cls", "weight", "vec", (F.col("home") + first).alias("home"), F.transform("cells", lambda c: c + first).alias("cells"))
+            out = shifted if out is None else out.unionByName(shifted)
+            base += len(centres)
+    return out
+
+
 def linked(placed: DataFrame, threshold: float) -> DataFrame:
     """``cls, degree, edge``: the weight of linked classes found in one product, and the class's root there."""
     sizes = placed.groupBy("home").agg(F.count("*").alias("size")).select(F.col("home").alias("cell"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
@@ -193,17 +216,14 @@ def near_vectors(
     """One row per vector: ``vec_id, n_links, component_id, kept``."""
     packed = stored(packed_vectors(rows, vec_id, embedding), "vectors")
     lengths = packed.where(F.col("vec").isNotNull()).groupBy(F.octet_length("vec").alias("size")).agg(F.count("*").alias("n"))
-    usual = lengths.orderBy(F.col("n").desc(), "size").first()
-    if usual is None:
+    if lengths.isEmpty():
         return packed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    packed = packed.withColumn("key", F.when(F.octet_length("vec") == usual["size"], F.sha2("vec", 256)))
+    packed = packed.withColumn("key", F.sha2("vec", 256))
     classes = packed.where(F.col("key").isNotNull()).groupBy("key").agg(
         F.count("*").alias("weight"), F.min("vec_id").alias("lowest"), F.first("vec").alias("vec")
     )
     classes = stored(classes.select("key", F.monotonically_increasing_id().alias("cls"), "weight", "lowest", "vec"), "vector-classes")
-    k = max(1, min(MAX_CELLS, -(-classes.count() // cell)))
-    centres = fit_centres(classes, k)
-    placed = stored(assign(classes, centres, threshold, sigmas), "placed")
+    placed = stored(all_placed(classes, threshold, sigmas, cell), "placed")
     found = stored(linked(placed, threshold), "found")
     degree = found.groupBy("cls").agg(F.sum("degree").alias("degree"))
     label = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
