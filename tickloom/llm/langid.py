@@ -11,8 +11,8 @@ by hash over all of them, each text once). Its table has 2 ** ``BITS`` rows of o
 
 Defined results: a null text or one without letters is ``und`` with score 0 and no spans;
 ties go to the alphabetically first language; a text whose scripts no language
-uses gets the alphabetically first one with the score of an equal share. Without
-training rows every text is ``und``.
+uses, or whose only letters are among signs, gets the alphabetically first one with the score of an equal
+share. Without training rows every text is ``und``. Input columns named like an output column give way to it.
 """
 
 from __future__ import annotations
@@ -35,16 +35,41 @@ STRANGE = 6.0  # what a word in a script that the language does not use costs
 CANDIDATE_SHARE = 0.005
 UNKNOWN = "und"
 
-# First byte of a UTF-8 character -> script; the letters of ASCII and of U+00C0 to U+024F are Latin.
+# First byte of a UTF-8 character -> script; the letters of ASCII and of U+00C0 to U+02AF are Latin.
 SCRIPTS = {
-    "latin": (0xC3, 0xCA), "greek": (0xCE, 0xD0), "cyrillic": (0xD0, 0xD4), "armenian": (0xD4, 0xD6),
+    "latin": (0xC3, 0xCB), "greek": (0xCE, 0xD0), "cyrillic": (0xD0, 0xD4), "armenian": (0xD4, 0xD6),
     "hebrew": (0xD6, 0xD8), "arabic": (0xD8, 0xDC), "indic": (0xE0, 0xE1), "asian": (0xE1, 0xE2),
     "kana": (0xE3, 0xE4), "han": (0xE4, 0xEA), "hangul": (0xEA, 0xEE), "beyond": (0xF0, 0xF5),
+    "syriac": (0xDC, 0xDE), "thaana": (0xDE, 0xDF), "nko": (0xDF, 0xE0), "forms": (0xEF, 0xF0),
 }
 _LEAD = np.zeros(256, np.uint8)
 for _k, (_low, _high) in enumerate(SCRIPTS.values()):
     _LEAD[_low:_high] = _k + 1
 _LEAD[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+# Lead bytes of which few characters, or not all, are letters: lead -> (script, lowest and highest second byte).
+_FEW = {
+    0xC2: (1, ((0xAA, 0xAA), (0xB5, 0xB5), (0xBA, 0xBA))),  # feminine, micro, masculine
+    0xCD: (2, ((0xB0, 0xBF),)),  # Greek behind the combining marks
+    0xE2: (8, ((0xB0, 0xB7),)),  # Glagolitic to Ethiopic; before them marks and signs
+    0xEF: (len(SCRIPTS), ((0xA4, 0xB7), (0xB9, 0xBF))),  # compatibility forms, full and half width
+}
+
+
+def _not_letters(buf: np.ndarray) -> np.ndarray:
+    """Marks among the compatibility forms: positions of their lead bytes."""
+    at = np.flatnonzero(buf == 0xEF)
+    if not len(at):
+        return at
+    padded = np.concatenate([buf, np.zeros(2, np.uint8)])
+    code = (padded[at + 1].astype(int) & 0x3F) << 6 | padded[at + 2] & 0x3F
+    letters = code < 0xE00
+    for low, high in _FORMS:
+        letters |= (code >= low) & (code <= high)
+    return at[~letters]
+
+
+# Arabic forms; full-width capitals and small letters; half-width kana and hangul (last three digits).
+_FORMS = ((0xE70, 0xEFC), (0xF21, 0xF3A), (0xF41, 0xF5A), (0xF66, 0xFBE), (0xFC2, 0xFC7), (0xFCA, 0xFCF), (0xFD2, 0xFD7), (0xFDA, 0xFDC))
 
 
 def letters_of(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +80,11 @@ def letters_of(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     after = piece.buf[1 : piece.size + 1]
     script[(buf == 0xC3) & ((after == 0x97) | (after == 0xB7))] = 0
     script[(buf == 0xE3) & (after == 0x80)] = 0
+    for lead, (kind, seconds) in _FEW.items():
+        at = np.flatnonzero(buf == lead)
+        if len(at):
+            script[at] = np.where(np.logical_or.reduce([(after[at] >= a) & (after[at] <= b) for a, b in seconds]), kind, 0)
+    script[_not_letters(buf)] = 0
     inner = (buf & 0xC0) == 0x80
     for _ in range(3):  # continuation bytes follow their first byte
         at = np.flatnonzero(inner & (script == 0))
@@ -189,7 +219,16 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = SWITCH) -> DataFrame:
     """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_spans``: (start byte, end byte, language) of each span."""
+    return _found(docs, model, text, penalty).select("row.*", "lang_pred", "lang_score", "lang_spans")
+
+
+ADDED = ("lang_pred", "lang_score", "lang_spans", "score")
+
+
+def _found(docs: DataFrame, model: Model, text: str, penalty: float) -> DataFrame:
+    """``row`` (the input's columns), ``text`` and what is found in it."""
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.uses))
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ADDED)).alias("row"), F.col(f"`{text}`").alias("text"))
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
@@ -198,7 +237,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
         model = Model(*sent.value)
         for batch in batches:
             pred, score, spans = [], [], []
-            for piece in pieces(column(batch, text)):
+            for piece in pieces(column(batch, "text")):
                 starts, ends, scores = word_scores(model, piece) if model.languages else (np.zeros(0, np.int64),) * 3
                 first = np.searchsorted(starts, piece.offsets)
                 for i in range(piece.n):
@@ -229,13 +268,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
 
 def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float = SWITCH) -> DataFrame:
     """``docs`` with ``lang_pred, score, lang_spans``; texts without a letter are ``und``."""
-    found = identify(docs, model, text, penalty)
+    found = _found(docs, model, text, penalty)
     # Some runs of bytes are marks or signs: whether there is a letter at all is Unicode's to say.
-    letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    first, share = (model.languages[0], 1.0 / len(model.languages)) if model.languages else (UNKNOWN, 0.0)
+    unseen = F.col("lang_pred") == UNKNOWN
     return found.select(
-        *docs.columns,
-        F.when(letter, F.col("lang_pred")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
-        F.when(letter, F.col("lang_score")).otherwise(F.lit(0.0)).alias("score"),
+        "row.*",
+        F.when(letter, F.when(unseen, first).otherwise(F.col("lang_pred"))).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
+        F.when(letter, F.when(unseen, share).otherwise(F.col("lang_score"))).otherwise(F.lit(0.0)).alias("score"),
         F.when(letter, F.col("lang_spans")).otherwise(F.array().cast(found.schema["lang_spans"].dataType)).alias("lang_spans"),
     )
 
