@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import langid, toxicity
+from tickloom.llm.words import Piece, mix
 
 STEMS = {"aa": ["the", "and", "ing", "tion", "wh"], "bb": ["el", "que", "ñor", "ción", "lla"], "cc": ["ich", "sch", "ung", "über", "keit"]}
 
@@ -86,3 +91,81 @@ def test_toxic_words_are_learned(spark):
     assert right >= 285  # 95 %
     assert got[1000] == got[1001] and got[1000] < 0.5 and got[1002] < 0.5
     assert toxicity.score(docs.limit(0), weights).count() == 0
+
+
+def test_every_letter_belongs_to_a_script(spark):
+    """Rare scripts are learned like any other; clashing columns give way."""
+    words = {"syr": "ܫܠܡܐ ܥܠܡܐ ܟܬܒܐ", "div": "ދިވެހި ރާއްޖެ", "nqo": "ߒߞߏ ߞߊ߲ߜߍ", "wide": "ＨＥＬＬＯ ｗｏｒｌｄ", "cop": "ⲁⲃⲅ ⲇⲉⲍ", "kana": "ｱｲｳ ｴｵｶ"}
+    model = langid.fit(spark.createDataFrame([(w * k, lang) for lang, w in words.items() for k in (1, 2, 3)], "text string, lang string"))
+    texts = [*words.values(), "ª", "º µ", "ℂℝ", "€ ™ “”", "\ufeff", "！？", "\ufe0f", "͵ͷ"]
+    docs = spark.createDataFrame([(i, t, "x", 7.0, "y") for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string, score double, lang_score string")
+    rows = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    assert langid.predict(docs, model).columns == ["doc_id", "text", "lang_pred", "score", "lang_spans"]
+    assert [rows[i]["lang_pred"] for i in range(len(words))] == list(words)
+    for i in range(len(words), len(texts)):
+        has_letter = any(unicodedata.category(c).startswith("L") for c in texts[i])
+        assert (rows[i]["lang_pred"] != "und") == has_letter and (rows[i]["score"] > 0) == has_letter, texts[i]
+    assert langid.identify(docs, model).count() == len(texts)
+
+
+def test_letters_follow_unicode():
+    """Common ranges: what the byte tables call a letter is one for Unicode, too."""
+    for low, high in ((0x41, 0x250), (0xFF00, 0xFFE0)):
+        for code in range(low, high):
+            raw = np.frombuffer(chr(code).encode(), np.uint8)
+            piece = Piece(raw, np.array([0, len(raw)]), 0)
+            letter = unicodedata.category(chr(code)) in ("Lu", "Ll", "Lt", "Lo", "Lm")
+            assert bool(langid.letters_of(piece)[0].any()) == letter, hex(code)
+
+
+def test_learner_equals_the_plain_algorithm(spark, monkeypatch):
+    """FTRL-proximal with dictionaries, part by part, averaged after each pass."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    data = [(" ".join(rng.choices(words, k=rng.randint(1, 12))) + f" id{i}", int(rng.random() < 0.3)) for i in range(300)]
+    frame = spark.createDataFrame(data, "text string, label int")
+    keyed = [(r["k"], r["text"], r["label"]) for r in frame.select(F.xxhash64("text").alias("k"), "text", "label").collect()]
+    bias = 1 << toxicity.BITS
+    z, n = {}, {}
+    for turn in range(2):
+        changes = []
+        for part in range(toxicity.PARTS):
+            rows = [x for x in keyed if x[0] % toxicity.PARTS == part]
+            order = np.argsort(mix(np.array([x[0] for x in rows], np.int64).view(np.uint64) + np.uint64(turn)), kind="stable")
+            pz, pn = dict(z), dict(n)
+            for k in order:
+                (_, slots, _), = toxicity.text_features(pa.array([rows[k][1]]))
+                at = [*slots.tolist(), bias]
+                w = {}
+                for i in at:
+                    zi, l1 = pz.get(i, 0.0), 0.0 if i == bias else toxicity.L1
+                    w[i] = 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((toxicity.BETA + math.sqrt(pn.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+                g = 1 / (1 + math.exp(-sum(w.values()))) - rows[k][2]
+                for i in at:
+                    old = pn.get(i, 0.0)
+                    pz[i] = pz.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / toxicity.ALPHA * w[i]
+                    pn[i] = old + g * g
+            changes.append((pz, pn))
+        for state, which in ((z, 0), (n, 1)):
+            keys = {i for c in changes for i in c[which]}
+            fresh = {i: state.get(i, 0.0) + sum(c[which].get(i, state.get(i, 0.0)) - state.get(i, 0.0) for c in changes) / len(changes) for i in keys}
+            state.update(fresh)
+    want = {}
+    for i, zi in z.items():
+        l1 = 0.0 if i == bias else toxicity.L1
+        if abs(zi) > l1:
+            want[i] = -(zi - math.copysign(l1, zi)) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+    got = toxicity.fit(frame, passes=2)
+    assert set(got) == set(want)
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-9
+
+
+def test_equal_texts_score_the_same(spark):
+    weights = {k: math.sin(k) for k in range(0, 1 << toxicity.BITS, 3)}
+    rng = random.Random(2)
+    same = " ".join(f"w{rng.randint(0, 999)}" for _ in range(400))
+    texts = [same if k % 3 == 0 else " ".join(f"w{rng.randint(0, 9999)}" for _ in range(k)) for k in range(90)]
+    docs = spark.createDataFrame([(k, t, "old") for k, t in enumerate(texts)], "doc_id long, text string, score string")
+    out = toxicity.score(docs, weights)
+    assert out.columns == ["doc_id", "text", "score"]
+    assert len({r["score"] for r in out.collect() if r["doc_id"] % 3 == 0}) == 1

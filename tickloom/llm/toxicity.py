@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.store import stored
 from tickloom.llm.words import column, hash_spans, lower_ascii, mix, pieces, spans
 
-BITS = 18
+BITS = 20
 MAX_ROWS = 20_000
 PARTS = 4
 PASSES = 3
@@ -102,38 +102,31 @@ def fit(rows: DataFrame, max_rows: int = MAX_ROWS, passes: int = PASSES) -> dict
     spark = rows.sparkSession
     labelled = rows.where(F.col("label").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
     sample = stored(sample_rows(labelled, max_rows).withColumn("part", F.pmod(F.col("key"), F.lit(PARTS)).cast("int")), "toxic-sample")
-    # The state stays in Spark: every part gets a copy beside its rows.
-    state = spark.createDataFrame([], STATE)
+    parts = max(1, sample.select("part").distinct().count())
+    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for turn in range(passes):
-        parts = sample.sparkSession.range(PARTS).select(F.col("id").cast("int").alias("part"))
-        copies = state.join(F.broadcast(parts))
-        moved = sample.groupBy("part").cogroup(copies.groupBy("part")).applyInArrow(_trainer(turn), STATE)
-        # A coordinate that a part has not seen kept its earlier state there: zero.
-        state = stored(moved.groupBy("slot").agg((F.sum("z") / PARTS).alias("z"), (F.sum("n") / PARTS).alias("n")), "toxic-state")
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot, z, n = (column(batch, c).to_numpy() for c in ("slot", "z", "n"))
-            w = weights_of(slot, z, n)
-            yield pa.RecordBatch.from_arrays([pa.array(slot[w != 0]), pa.array(w[w != 0])], names=["slot", "w"])
-
-    return {r["slot"]: r["w"] for r in state.mapInArrow(weigh, "slot long, w double").collect()}
-
-
-STATE = "slot long, z double, n double"
-
-
-def _trainer(turn: int):
-    """One part's pass from the shared state, in an order that changes with the pass."""
-
-    def train(rows: pa.Table, state: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.table({"slot": pa.array([], pa.int64()), "z": pa.array([], pa.float64()), "n": pa.array([], pa.float64())})
+        # The state is bounded by the number of coordinates; only what the parts changed comes back, averaged in Spark.
+        state = spark.sparkContext.broadcast((z, n))
+        moved = sample.groupBy("part").applyInArrow(_trainer(turn, state), "slot long, z double, n double")
+        mean = moved.groupBy("slot").agg((F.sum("z") / parts).alias("z"), (F.sum("n") / parts).alias("n")).toArrow()
+        z, n = z.copy(), n.copy()
+        at = mean["slot"].to_numpy()
+        z[at] += mean["z"].to_numpy()
+        n[at] += mean["n"].to_numpy()
+    at = np.flatnonzero(n)
+    w = weights_of(at, z[at], n[at])
+    return {int(k): float(x) for k, x in zip(at[w != 0], w[w != 0])}
+
+
+def _trainer(turn: int, state):
+    """One part's pass from the shared state, in an order that changes with the pass; the changes it makes."""
+
+    def train(rows: pa.Table) -> pa.Table:
         order = np.argsort(mix(rows["key"].to_numpy().view(np.uint64) + np.uint64(turn)), kind="stable")
         rows = rows.take(pa.array(order))
         model = Ftrl()
-        at = state["slot"].to_numpy()
-        model.z[at], model.n[at] = state["z"].to_numpy(), state["n"].to_numpy()
+        z, n = state.value
+        model.z[:], model.n[:] = z, n
         label = rows["label"].to_numpy()
         row = 0
         for count, slots, begin in text_features(rows["text"].combine_chunks()):
@@ -141,14 +134,14 @@ def _trainer(turn: int):
                 own = np.append(slots[begin[i] : begin[i + 1]], 1 << BITS)
                 model.learn(own, int(label[row]))
                 row += 1
-        used = np.flatnonzero(model.n)
-        return pa.table({"slot": used, "z": model.z[used], "n": model.n[used]})
+        moved = np.flatnonzero((model.z != z) | (model.n != n))
+        return pa.table({"slot": moved, "z": (model.z - z)[moved], "n": (model.n - n)[moved]})
 
     return train
 
 
 def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> DataFrame:
-    """All columns of ``docs`` that are named in its schema, with ``score``."""
+    """``docs`` with ``score``, in place of a column of that name if there is one."""
     dense = np.zeros((1 << BITS) + 1)
     for at, w in weights.items():
         dense[at] = w
@@ -156,8 +149,8 @@ def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> Dat
         dense[1 << BITS] = -1e3
     used = np.flatnonzero(dense)
     sent = docs.sparkSession.sparkContext.broadcast((used, dense[used]))
-    names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "score")).alias("row"), F.col(f"`{text}`").alias("text"))
+    fields = f"row {docs.schema['row'].dataType.simpleString()}, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = sent.value
@@ -165,13 +158,16 @@ def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> Dat
         table[at] = w
         for batch in batches:
             out = []
-            for n, slots, begin in text_features(column(batch, text)):
-                sums = np.concatenate([[0.0], np.cumsum(table[slots])])
-                out.append(sums[begin[1:]] - sums[begin[:-1]] + table[1 << BITS])
+            for n, slots, begin in text_features(column(batch, "text")):
+                # Each text's weights are summed by themselves: equal texts score the same wherever they stand.
+                sums, some = np.zeros(n), begin[1:] > begin[:-1]
+                if some.any():
+                    sums[some] = np.add.reduceat(table[slots], begin[:-1][some])
+                out.append(sums + table[1 << BITS])
             scores = sigmoid(np.concatenate(out)) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["row", "score"])
 
-    return docs.mapInArrow(run, f"{fields}, _score double").withColumnRenamed("_score", "score")
+    return docs.mapInArrow(run, fields).select("row.*", "score")
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
