@@ -19,7 +19,7 @@ from tickloom.operators.features import compute_features
 from tickloom.session import durable, work_folder
 from tickloom.sources.feature_table import FeatureTable
 from tickloom.sources.tables import tick_bars
-from tickloom.streaming import batch_replay
+from tickloom.streaming import batch_replay, jobs
 from tickloom.streaming.lookback import STORE
 from tickloom.streaming.sessions import stream_sessions
 
@@ -121,3 +121,19 @@ def stream_sessions_(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     out = batch_replay.run(spark, f"{sf_dir}/events.parquet", lambda events: stream_sessions(batch_replay.as_ticks(events)))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query(
+    "stream_error_types",
+    """WITH e AS (SELECT time_bucket(INTERVAL '20 minutes', ts) - INTERVAL '20 minutes' * k AS window_start, concat('E', user_id % 7) AS error_type
+      FROM events, (VALUES (0), (1), (2)) v(k) WHERE event_type = 'error'),
+    c AS (SELECT window_start, error_type, count(*) AS n FROM e GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY n DESC, error_type) AS place FROM c)
+    SELECT window_start, CAST(sum(n) AS BIGINT) AS errors, count(*) AS types, min(error_type) FILTER (place = 1) AS most_common,
+      max(n) AS most_common_count, string_agg(concat(error_type, ':', n), ',' ORDER BY place) FILTER (place <= 3) AS top FROM r GROUP BY 1""",
+)
+def stream_error_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commonest error types per sliding window, out of the stream."""
+    out = batch_replay.run(spark, f"{sf_dir}/events.parquet", lambda events: jobs.error_types(batch_replay.as_typed_errors(events)))
+    shown = F.array_join(F.transform("top", lambda t: F.concat(t["error_type"], F.lit(":"), t["n"])), ",")
+    return out.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "top": shown})

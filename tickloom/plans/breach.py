@@ -84,18 +84,18 @@ def first_breaches(
     kind = f"symbol {labelled.schema['symbol'].dataType.simpleString()}, {SLICE} int, ts long, close double, marks array<{MARK}>"
     mark_type = pa.list_(pa.struct([("ts", pa.int64()), ("close", pa.float64())]))
 
-    def answers(symbol, slices, ts, close, found: list[np.ndarray], bar_ts: np.ndarray, bar_close: np.ndarray, earlier=None) -> pa.Table:
+    def answers(symbol, slices, ts, close, found: list[np.ndarray], bar_ts: np.ndarray, bar_close: np.ndarray) -> pa.Table:
+        # Two flat columns of (entry, mark) in order, cut into lists by offsets.
         n = len(bar_ts)
-        rows = [
-            [
-                {"ts": int(bar_ts[i]), "close": float(bar_close[i])} if i < n else (earlier[q][m] if earlier else None)
-                for m, i in enumerate(per)
-            ]
-            for q, per in enumerate(zip(*found, strict=True))
-        ]
+        at = np.stack(found, axis=1).ravel() if found else np.zeros(0, np.int64)
+        none = at >= n
+        at = np.where(none, 0, at)
+        taken = lambda values: values[at] if n else np.zeros(len(at), values.dtype)
+        marks = pa.StructArray.from_arrays([pa.array(taken(bar_ts)), pa.array(taken(bar_close))], fields=list(mark_type.value_type), mask=pa.array(none))
+        offsets = np.arange(len(ts) + 1, dtype=np.int32) * len(found)
         return pa.table({
             "symbol": symbol, SLICE: pa.array(slices, pa.int32()), "ts": pa.array(ts, pa.int64()),
-            "close": pa.array(close, pa.float64()), "marks": pa.array(rows, mark_type),
+            "close": pa.array(close, pa.float64()), "marks": pa.ListArray.from_arrays(pa.array(offsets), marks),
         })
 
     def own(table: pa.Table) -> pa.Table:

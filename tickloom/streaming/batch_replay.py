@@ -31,6 +31,12 @@ def as_errors(events: DataFrame) -> DataFrame:
     )
 
 
+def as_typed_errors(events: DataFrame) -> DataFrame:
+    return events.where(F.col("event_type") == "error").select(
+        F.col("ts").cast("timestamp").alias("timestamp"), F.concat(F.lit("E"), F.col("user_id") % 7).alias("error_type")
+    )
+
+
 def as_analyses(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     action = F.when(kind == "click", "hold").when(kind == "view", "enter_long").when(kind == "signup", "enter_short").when(kind == "purchase", "exit")

@@ -58,6 +58,26 @@ def error_health(errors: DataFrame, late: str = "10 minutes", width: str = "1 ho
     return error_health_by_window(errors.withWatermark("timestamp", late), width, slide)
 
 
+def error_types(errors: DataFrame, width: str = "1 hour", slide: str = "20 minutes", late: str = "10 minutes", top: int = 3) -> DataFrame:
+    """Errors by type per sliding window of a stream (timestamp, error_type): total, types, the commonest ones.
+
+    Counts per (window, type) first, which spread and combine on the map side; when a window is over its counts meet in
+    one row. State holds one number for each type of an open window, and ties go to the smaller type.
+    """
+    counts = (
+        errors.withWatermark("timestamp", late)
+        .groupBy(F.window("timestamp", width, slide).alias("w"), "error_type")
+        .agg(F.count("*").alias("n"))
+    )
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "error_type")))
+    whole = counts.groupBy("w").agg(F.sum("n").alias("errors"), F.count("*").alias("types"), ranked.alias("ranked"))
+    return whole.select(
+        F.col("w.start").alias("window_start"), "errors", "types",
+        F.col("ranked")[0]["error_type"].alias("most_common"), (-F.col("ranked")[0]["rank"]).alias("most_common_count"),
+        F.transform(F.slice("ranked", 1, top), lambda r: F.struct(r["error_type"].alias("error_type"), (-r["rank"]).alias("n"))).alias("top"),
+    )
+
+
 def analysis_metrics_by_window(analyses: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
     """Latency, confidence and action mix per window."""
     source = analyses.withWatermark("timestamp", late) if late else analyses
