@@ -53,7 +53,7 @@ def feature_query(
         f"{sql if c.startswith(FLAGS) else rnd(sql, places)} AS {c}" for c, sql in columns.items()
     )
     sql = f"WITH {TICK_BARS}, x AS ({base}) SELECT symbol, ts, {picked} FROM x"
-    if "extras" not in families:
+    if "extras" not in families and cfg is CFG:
         FRAME_PARTS.append((columns, base))
         FAMILY_OF.update(dict.fromkeys(columns, families[-1]))
 
@@ -272,6 +272,20 @@ feature_query(
     places=4,
 )
 
+feature_query(
+    "second_engine_windows",
+    ["trend_momentum", "volatility_risk", "volume_liquidity", "mean_reversion"],
+    {
+        **{f"ma_{n}": full("avg", "close", n) for n in (20, 60)},
+        **{f"volatility_{n}": full("stddev_samp", "ret", n) for n in (20, 60)},
+        **{f"volume_ma_{n}": full("avg", "volume", n) for n in (20, 60)},
+        **{f"bb_upper_{n}": f"({full('avg', 'close', n)}) + 2 * ({full('stddev_samp', 'close', n)})" for n in (20, 60)},
+        "momentum_60": f"close - {lag('close', 60)}",
+    },
+    base=RETS,
+    cfg=FeatureConfig(ma=(20, 60), volatility=(20, 60), volume=(20, 60), bollinger=(20, 60), momentum=(60,)),
+)
+
 _HIGH_VOL = f"""WITH {TICK_BARS}, r AS ({RETS}),
 v AS (SELECT symbol, ts, {full('stddev_samp', 'ret', 20)} AS v20, {full('stddev_samp', 'ret', 50)} AS v50 FROM r),
 q AS (SELECT symbol, quantile_cont(v20, 0.8) AS q20, quantile_cont(v50, 0.8) AS q50 FROM v GROUP BY symbol)

@@ -173,3 +173,19 @@ def metadata_quality_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = spark.createDataFrame(list(FAMILY_OF.items()), "name string, family string")
     metrics = fq.quality_metrics(all_features(spark, sf_dir), COLUMNS)
     return r6(fq.with_quality(meta, metrics), "non_na_pct").select("name", "family", "status", "non_na_pct")
+
+
+_CHOSEN = "volume_liquidity"
+
+
+@query(
+    "family_selection",
+    f"""{_ALL} SELECT feature, count(value) AS n, {rnd('avg(value)')} AS mean FROM cells
+    WHERE feature IN ({', '.join(repr(c) for c in COLUMNS if FAMILY_OF[c] == _CHOSEN)}) GROUP BY 1""",
+)
+def family_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of one family, as the metadata table names them."""
+    metadata = spark.createDataFrame(sorted(FAMILY_OF.items()), "name string, family string")
+    chosen = fq.family_columns(metadata, _CHOSEN)
+    cells = fq.long_form(all_features(spark, sf_dir).select(*chosen), chosen)
+    return r6(cells.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean")), "mean")
