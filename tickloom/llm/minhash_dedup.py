@@ -9,9 +9,13 @@ two sets of similarity 0.85 stay together in a tree with probability 0.82, so ei
 trees miss one pair in a million.
 
 Only components are asked for, so a large node first links its members to one of
-them; a node whose members are all in one component is done. A node that branching
-would not make cheaper is compared in blocks instead. Signature agreement far below
-the threshold rules a pair out; every link is confirmed on the full shingle sets.
+them; a node whose members are all in one component is done. Whether branching makes a node cheaper is
+read off the sizes its children would have; only then do members move, and only into children that hold undecided
+ones. A node that branching would not make cheaper is compared in blocks instead. Signature agreement far below
+the threshold rules a pair out (one pair in 300,000 at the threshold, beside the one in a million above). The members
+of a block that are left with partners get their full shingle sets, pairs not yet connected are confirmed on them
+(as sets of 64-bit hashes of the shingles), and the block gives out a spanning forest: fewer links than members, whatever
+the number of pairs.
 
 Defined results: a null, empty or wordless text has no shingles and is alone; a
 text of fewer words than a shingle is one shingle; rows that repeat a doc_id count as
@@ -23,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,9 @@ COORDS = 256
 TREES = 8
 SMALL = 256
 BLOCK = 256
+MANY_PAIRS = 64  # candidates of a block from which all its sets are intersected at once
+MATRIX_CELLS = 1 << 25
+BLOCK_SHINGLES = 1 << 21  # of the members of a block together, about
 SIGMAS = 4.5  # a pair at the threshold agrees this far below its expectation once in 300,000 times
 
 _rng = np.random.default_rng(20240229)
@@ -163,13 +170,15 @@ class Join:
                 ha, hb = column(batch, "ha"), column(batch, "hb")
                 for i in range(batch.num_rows):
                     x, y = (np.frombuffer(h[i].as_buffer(), "<u8") for h in (ha, hb))
-                    at = np.searchsorted(x, y)
-                    shared = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                    shared = _shared(x, y)
                     good[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
                 keep = pa.array(good)
                 yield pa.RecordBatch.from_arrays([column(batch, c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
-        new = stored(whole.select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary"), "links")
+        return self.add(stored(whole.select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary"), "links"))
+
+    def add(self, new: DataFrame) -> bool:
+        """Take links up; True if there were any."""
         if new.isEmpty():
             return False
         self.links, self.known = new if self.links is None else self.links.unionByName(new), None
@@ -187,40 +196,41 @@ class Join:
             self.known = stored(components(self.links), "labels")
         return self.known
 
+    def root_rows(self) -> DataFrame:
+        """``cls, n, label, tree, node``: every class in its root of every tree; labels are joined while there is one row a class."""
+        known = self.labelled(self.classes.select("cls", "n", "roots"), self.labels())
+        rows = known.select("cls", "n", "label", F.posexplode("roots").alias("tree", "token"))
+        return rows.select("cls", "n", "label", "tree", F.xxhash64("tree", "token").alias("node"))
+
     def grow(self) -> DataFrame:
-        """Branch all trees; ``node, cls, tree`` of the nodes to compare exhaustively (``tree``: of a root, else ``trees``)."""
-        tree = F.posexplode("roots").alias("tree", "token")
-        roots = self.classes.select("cls", tree).select("cls", "tree", F.xxhash64("tree", "token").alias("node"))
-        rows = self.undecided(stored(roots, "level"), None)
-        out = rows.where(F.col("size") <= SMALL).select("node", "cls", "tree")
-        deep = lambda x: x.select("node", "cls", F.lit(self.trees).alias("tree"))
+        """Branch all trees; ``node, cls, n, label, tree`` of the nodes to compare exhaustively (``tree``: of a root, else ``trees``)."""
+        rows = self.undecided(stored(self.root_rows(), "level"))
+        signed = lambda x: stored(x.drop("tree").join(self.classes.select("cls", "sig"), "cls"), "large")
         large = rows.where(F.col("size") > SMALL)
+        if not large.isEmpty() and self.link_to_one(signed(large)):
+            # What the largest nodes have linked may settle nodes of all trees.
+            rows = self.undecided(stored(self.root_rows(), "level"))
+            large = rows.where(F.col("size") > SMALL)
+        deep = lambda x: x.select("node", "cls", "n", "label", F.lit(self.trees).alias("tree"))
+        out = rows.where(F.col("size") <= SMALL).select("node", "cls", "n", "label", "tree")
         if large.isEmpty():
             return out
         # From here on rows carry what comparing and branching need.
-        large = stored(large.drop("tree").join(self.classes.select("cls", "n", "sig"), "cls"), "large")
+        large = signed(large)
         while True:
-            before = self.labels()
-            self.link_to_one(large)
-            if self.labels() is not before:
-                large = self.undecided(large.drop("size"), self.labels())
-                out = out.unionByName(deep(large.where(F.col("size") <= SMALL)))
-                large = large.where(F.col("size") > SMALL)
             rows, dense = self.branch(large)
             out = out.unionByName(deep(dense)).unionByName(deep(rows.where(F.col("size") <= SMALL)))
             large = rows.where(F.col("size") > SMALL)
             if large.isEmpty():
                 return out
 
-    def undecided(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """Rows of nodes with members of more than one component, with the node's size."""
-        names = rows.columns
-        rows = self.labelled(rows, labels)
-        stat = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        stat = stat.where(F.col("lo") != F.col("hi")).select("node", "size")
-        return stored(rows.select(*names).join(stat, "node"), "level")
+    def undecided(self, rows: DataFrame) -> DataFrame:
+        """Rows of nodes with members of more than one component, with the node's size in members and in shingles."""
+        stat = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        stat = stat.where(F.col("lo") != F.col("hi")).select("node", "size", "shingles")
+        return stored(rows.join(stat, "node"), "level")
 
-    def link_to_one(self, large: DataFrame) -> None:
+    def link_to_one(self, large: DataFrame) -> bool:
         """Link the members of each large node to its smallest class where their signatures allow it."""
         first = large.groupBy("node").agg(F.min(F.struct("cls", "n", "sig")).alias("first"))
         pairs = large.select("node", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")).join(first, "node")
@@ -229,7 +239,7 @@ class Join:
         # Worth the confirmation only where it may settle the better part of a node; others branch.
         full = large.groupBy("node").agg(F.first("size").alias("size")).join(near.groupBy("node").agg(F.count("*").alias("m")), "node")
         full = full.where(2 * F.col("m") >= F.col("size")).select("node")
-        self.confirm(near.join(full, "node", "left_semi"))
+        return self.confirm(near.join(full, "node", "left_semi"))
 
     def agreeing(self, pairs: DataFrame) -> DataFrame:
         floor, threshold = self.floor, self.threshold
@@ -245,36 +255,30 @@ class Join:
 
     def branch(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(rows of the child nodes, rows of nodes that branching would not make cheaper)."""
-        labels = self.labels()
-        children = [
-            F.xxhash64("node", F.lit(k), token(F.col("sig"), F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDS)).cast("int"))) for k in (1, 2)
-        ]
-        down = large.select(F.col("node").alias("parent"), "size", "cls", "n", "sig", F.explode(F.array(*children)).alias("node"))
-        down = self.labelled(down, labels)
-        sizes = stored(
-            down.groupBy("parent", "node").agg(
-                F.count("*").alias("m"), F.first("size").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")
-            ),
-            "children",
-        )
+        child = lambda k: F.xxhash64("node", F.lit(k), token(F.col("sig"), F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDS)).cast("int")))
+        members = large.select("node", "size", "cls", "n", "label", "sig")
+        # What the children would be: counted where the members are, before any of them moves.
+        of = [F.count("*").alias("m"), F.first("size").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")]
+        kinds = [members.groupBy(F.col("node").alias("parent"), child(k).alias("child")).agg(*of) for k in (1, 2)]
+        sizes = stored(kinds[0].unionByName(kinds[1]), "children")
         square = lambda c: F.col(c).cast("double") * F.col(c)
         dense = sizes.groupBy("parent").agg((F.sum(square("m")) >= F.first(square("size"))).alias("dense")).where("dense").select("parent")
         dense = stored(dense, "dense")
-        mixed = sizes.where(F.col("lo") != F.col("hi")).join(dense, "parent", "left_anti").select("node", F.col("m").alias("size"))
-        rows = stored(down.select("node", "cls", "n", "sig").join(mixed, "node"), "level")
-        return rows, large.join(dense.select(F.col("parent").alias("node")), "node", "left_semi").select("node", "cls")
+        mixed = sizes.where(F.col("lo") != F.col("hi")).join(dense, "parent", "left_anti").select("child", F.col("m").alias("size"))
+        moved = [members.select("cls", "n", "label", "sig", child(k).alias("child")).join(mixed, "child") for k in (1, 2)]
+        rows = stored(moved[0].unionByName(moved[1]).withColumnRenamed("child", "node").select("node", "cls", "n", "label", "sig", "size"), "level")
+        return rows, large.join(dense.select(F.col("parent").alias("node")), "node", "left_semi").select("node", "cls", "n", "label")
 
-    def compare(self, nodes: DataFrame, best_only: bool) -> DataFrame:
-        """Pairs of different components inside each node whose signatures allow a link, block by block.
+    def compare(self, nodes: DataFrame) -> bool:
+        """Link the members of each node that belong together, block by block; True if any new link came of it.
 
         A pair that shares several roots comes out of the first one that is compared as it stands.
         """
-        labels = self.labels()
-        rows = self.undecided(nodes, labels)
+        rows = self.undecided(nodes)
         whole = nodes.where(F.col("tree") < self.trees).groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("whole"))
-        facts = self.classes.select("cls", "n", "sig", "roots").join(whole, "cls", "left").withColumn("whole", F.coalesce("whole", F.lit(0)))
-        rows = self.labelled(rows, labels).join(facts, "cls")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        facts = self.classes.select("cls", "sig", "roots").join(whole, "cls", "left").withColumn("whole", F.coalesce("whole", F.lit(0)))
+        rows = rows.join(facts, "cls")
+        blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
         block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
         partner = F.sequence(F.lit(0), F.col("blocks") - 1)
         rows = rows.withColumns({"blocks": blocks, "block": block}).withColumn("other", F.explode(partner))
@@ -282,42 +286,70 @@ class Join:
             "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
             "block", "cls", "label", "n", "sig", "tree", "roots", "whole",
         )
-        floor, threshold = self.floor, self.threshold
+        floor, threshold, percent = self.floor, self.threshold, round(self.threshold * 100)
 
-        def run(table: pa.Table) -> pa.Table:
-            block = table["block"].to_numpy()
-            names = np.array(table["cls"].to_pylist(), object)
-            label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)[1]
-            n, sig = table["n"].to_numpy(), _signature_matrix(table["sig"].combine_chunks())
-            tree = table["tree"][0].as_py()
-            roots = np.array(table["roots"].to_pylist(), np.int64)[:, :tree]
-            usable = (table["whole"].to_numpy()[:, None] >> np.arange(tree)) & 1 == 1
-            i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        def candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """(members of block i, members of block j, which pairs may be linked, how far their signatures agree)."""
+            block, i, j = table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            n, label, sig = table["n"].to_numpy(), _codes(table["label"]), _signature_matrix(table["sig"])
+            may = label[left][:, None] != label[right][None, :]
+            low, high = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+            may &= low >= threshold * high * 0.999999
+            if i == j:
+                may &= left[:, None] < right[None, :]
+            agree = np.zeros(may.shape)
+            for at in range(0, len(left), 32):
+                rows_ = slice(at, at + 32)
+                agree[rows_] = (sig[left[rows_]][:, None, :] == sig[right][None, :, :]).mean(2)
+            return left, right, may & (agree >= floor), agree
+
+        def involved(table: pa.Table) -> pa.Table:
+            left, right, may, _ = candidates(table)
+            tree = table["tree"][0].as_py()
+            if tree and may.any():
+                # Pairs that share a root of an earlier tree come out there.
+                roots = table["roots"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+                whole = table["whole"].to_numpy()
+                for t in range(tree):
+                    usable = (whole[left] >> t & 1) == 1
+                    may &= ~((roots[left, t][:, None] == roots[right, t][None, :]) & usable[:, None])
+            wanted = np.zeros(table.num_rows, bool)
+            wanted[left[may.any(1)]] = True
+            wanted[right[may.any(0)]] = True
+            return table.select(kept).filter(pa.array(wanted))
+
+        kept = ["node", "i", "j", "block", "cls", "label", "n", "sig"]
+        found = stored(by_group(rows, ["node", "i", "j"], involved, rows.select(*kept).schema), "involved")
+        if found.isEmpty():
+            return False
+        sets = stored(self.fetch_sets(found.select("cls").distinct()), "sets")
+
+        def forest(table: pa.Table) -> pa.Table:
+            left, right, may, agree = candidates(table)
+            names, label = table["cls"].to_pylist(), _codes(table["label"]).tolist()
+            hashes = [np.frombuffer(x.as_buffer(), "<u8") for x in table["hashes"]]
+            enough = lambda x, y, shared: 100 * shared >= percent * (len(hashes[x]) + len(hashes[y]) - shared)
+            x, y = np.nonzero(may)
+            inside = _intersections(hashes, left, right) if len(x) > MANY_PAIRS else None
+            order = np.argsort(-agree[x, y], kind="stable")
             a, b = [], []
-            for x in left:
-                near = right[right > x] if i == j else right
-                ok = (label[near] != label[x]) & (np.minimum(n[near], n[x]) >= threshold * np.maximum(n[near], n[x]) * 0.999999)
-                near = near[ok]
-                near = near[~((roots[near] == roots[x]) & usable[x]).any(1)]
-                if not len(near):
-                    continue
-                agree = (sig[near] == sig[x]).mean(1)
-                good = agree >= floor
-                near, agree = near[good], agree[good]
-                if best_only and len(near) > 1:
-                    near = near[[int(agree.argmax())]]
-                a.extend([names[x]] * len(near)), b.extend(names[near].tolist())
+            for p, q in zip(x[order].tolist(), y[order].tolist()):
+                one, other = left[p], right[q]
+                # What is connected already needs no confirmation.
+                if label[one] != label[other]:
+                    if enough(one, other, _shared(hashes[one], hashes[other]) if inside is None else int(inside[p, q])):
+                        a.append(names[one]), b.append(names[other])
+                        old, new = label[other], label[one]
+                        label = [new if k == old else k for k in label]
             return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-        return rows.groupBy("node", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+        new = by_group(found.join(sets, "cls"), ["node", "i", "j"], forest, "a binary, b binary")
+        return self.add(stored(new.distinct(), "links"))
 
     def link(self) -> DataFrame:
         """All rounds; ``cls, doc_id, label`` of every class: its smallest doc_id and its component."""
-        nodes = stored(self.grow(), "nodes")
-        # First the closest partner of each member, which links most; then all pairs still apart.
-        self.confirm(self.compare(nodes, True))
-        self.confirm(self.compare(nodes, False))
+        self.compare(stored(self.grow(), "nodes"))
         return stored(self.labelled(self.classes.select("cls", "doc_id"), self.labels()), "class-labels")
 
     def result(self) -> DataFrame:
@@ -339,9 +371,59 @@ class Join:
         return one.select("row").unionByName(none).select("row.*")
 
 
-def _signature_matrix(column_: pa.Array) -> np.ndarray:
-    data = b"".join(x.as_buffer() for x in column_)
-    return np.frombuffer(data, np.uint8).reshape(-1, COORDS)
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two ascending sets have in common."""
+    x, y = (x, y) if len(x) > len(y) else (y, x)
+    return int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+
+
+def _intersections(hashes: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+    """Sizes of the intersections of all pairs of sets as one product of 0/1 matrices, unless those would be large."""
+    place = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+    width = int(place.max(initial=-1)) + 1
+    if len(hashes) * width > MATRIX_CELLS:
+        return None
+    m = np.zeros((len(hashes), width), np.float32)
+    m[np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]), place] = 1
+    return m[left] @ m[right].T
+
+
+def _codes(column_: pa.ChunkedArray) -> np.ndarray:
+    """Equal values as equal numbers."""
+    return column_.combine_chunks().dictionary_encode().indices.to_numpy()
+
+
+def by_group(rows: DataFrame, keys: list[str], each: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
+    """``each`` over the rows of every combination of ``keys``, which must be few: groups stream through sorted partitions,
+    so that very many small ones cost little."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            change = np.zeros(max(table.num_rows - 1, 0), bool)
+            for key in keys:
+                values = table[key].to_numpy()
+                change |= values[1:] != values[:-1]
+            edges = [0, *(np.flatnonzero(change) + 1).tolist()]
+            held = table.slice(edges[-1])
+            out = [each(table.slice(a, b - a)) for a, b in zip(edges, edges[1:])]
+            if out:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+        if held is not None and held.num_rows:
+            yield from each(held).combine_chunks().to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _signature_matrix(column_: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column_ = column_.combine_chunks() if isinstance(column_, pa.ChunkedArray) else column_
+    _, offsets, data = column_.buffers()
+    if not len(column_):
+        return np.zeros((0, COORDS), np.uint8)
+    first = np.frombuffer(offsets, np.int32)[column_.offset]
+    return np.frombuffer(data, np.uint8)[first : first + len(column_) * COORDS].reshape(-1, COORDS)
 
 
 def near_duplicates(
