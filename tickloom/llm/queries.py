@@ -141,7 +141,7 @@ def op11_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_related(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=1)
 
 
-@query("op12_conversation_repair")
+@query("op12_conversation_repair", sqltext.REPAIR)
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.repair import Repair, damaged
 
@@ -159,7 +159,7 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op13_spelling_variants")
+@query("op13_spelling_variants", sqltext.SPELLING)
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.spelling import count_words, variant_groups
 
