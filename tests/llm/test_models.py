@@ -169,3 +169,15 @@ def test_equal_texts_score_the_same(spark):
     out = toxicity.score(docs, weights)
     assert out.columns == ["doc_id", "text", "score"]
     assert len({r["score"] for r in out.collect() if r["doc_id"] % 3 == 0}) == 1
+
+
+def test_the_passes_leave_nothing_behind(spark, monkeypatch):
+    """States broadcast for a pass are given up after it, and the sample is dealt once and dropped at the end."""
+    from pyspark import Broadcast
+
+    given_up, destroy = [], Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a, **k: (given_up.append(self), destroy(self, *a, **k))[1])
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    frame = spark.createDataFrame([(f"some words {i} awful", i % 2) for i in range(60)], "text string, label int")
+    assert toxicity.fit(frame, passes=3)
+    assert len(given_up) == 3 and spark.sparkContext._jsc.getPersistentRDDs().size() == kept

@@ -8,7 +8,8 @@ zero; the weights that are not zero are few and are broadcast.
 
 The fit uses a bounded, documented sample of labelled rows (``max_rows``, drawn by
 hash over all labelled rows, each text once). Several tasks run FTRL on their part of
-it, and their states are averaged after every pass (parameter mixing).
+it, and their states are averaged after every pass (parameter mixing). The sample is dealt to
+them once and kept there; a pass's state is given up as soon as the next one is known.
 
 Defined results: a null, empty or wordless text has the score of the bias alone; a
 score of 0.5 or more predicts 1. Rows without a label are not learned from; rows that
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.store import stored
 from tickloom.llm.words import column, hash_spans, lower_ascii, mix, pieces, spans
 
 BITS = 20
@@ -99,34 +100,39 @@ def sample_rows(rows: DataFrame, max_rows: int) -> DataFrame:
 
 def fit(rows: DataFrame, max_rows: int = MAX_ROWS, passes: int = PASSES) -> dict[int, float]:
     """Weights by coordinate (``1 << BITS``: bias) from rows of (text, label 0/1); only those that are not zero."""
-    spark = rows.sparkSession
+    context = rows.sparkSession.sparkContext
     labelled = rows.where(F.col("label").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    sample = stored(sample_rows(labelled, max_rows).withColumn("part", F.pmod(F.col("key"), F.lit(PARTS)).cast("int")), "toxic-sample")
+    sample = sample_rows(labelled, max_rows).withColumn("part", F.pmod(F.col("key"), F.lit(PARTS)).cast("int"))
+    # Dealt once: every pass finds the rows of a part together in one partition, and few parts share one.
+    sample = sample.repartition(4 * PARTS, "part").persist(StorageLevel.MEMORY_AND_DISK)
     parts = max(1, sample.select("part").distinct().count())
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for turn in range(passes):
         # The state is bounded by the number of coordinates; only what the parts changed comes back, averaged in Spark.
-        state = spark.sparkContext.broadcast((z, n))
-        moved = sample.groupBy("part").applyInArrow(_trainer(turn, state), "slot long, z double, n double")
+        state = context.broadcast((z, n) if turn else None)
+        moved = sample.mapInArrow(_trainer(turn, state), "slot long, z double, n double")
         mean = moved.groupBy("slot").agg((F.sum("z") / parts).alias("z"), (F.sum("n") / parts).alias("n")).toArrow()
         z, n = z.copy(), n.copy()
         at = mean["slot"].to_numpy()
         z[at] += mean["z"].to_numpy()
         n[at] += mean["n"].to_numpy()
+        state.destroy()
+    sample.unpersist()
     at = np.flatnonzero(n)
     w = weights_of(at, z[at], n[at])
     return {int(k): float(x) for k, x in zip(at[w != 0], w[w != 0])}
 
 
 def _trainer(turn: int, state):
-    """One part's pass from the shared state, in an order that changes with the pass; the changes it makes."""
+    """One pass over the parts of a partition, each from the shared state and in an order that changes with the pass; the changes they make."""
 
-    def train(rows: pa.Table) -> pa.Table:
+    def train(rows: pa.Table) -> pa.RecordBatch:
         order = np.argsort(mix(rows["key"].to_numpy().view(np.uint64) + np.uint64(turn)), kind="stable")
         rows = rows.take(pa.array(order))
         model = Ftrl()
-        z, n = state.value
-        model.z[:], model.n[:] = z, n
+        if state.value is not None:
+            model.z[:], model.n[:] = state.value
+        z, n = model.z.copy(), model.n.copy()
         label = rows["label"].to_numpy()
         row = 0
         for count, slots, begin in text_features(rows["text"].combine_chunks()):
@@ -135,9 +141,17 @@ def _trainer(turn: int, state):
                 model.learn(own, int(label[row]))
                 row += 1
         moved = np.flatnonzero((model.z != z) | (model.n != n))
-        return pa.table({"slot": moved, "z": (model.z - z)[moved], "n": (model.n - n)[moved]})
+        return pa.RecordBatch.from_arrays([pa.array(moved), pa.array((model.z - z)[moved]), pa.array((model.n - n)[moved])], names=["slot", "z", "n"])
 
-    return train
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            part = table["part"].to_numpy()
+            for own in np.unique(part):
+                yield train(table.filter(pa.array(part == own)))
+
+    return run
 
 
 def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> DataFrame:
