@@ -14,6 +14,7 @@ from tickloom.llm import words
 from tickloom.llm.decontam import find_contamination
 from tickloom.llm.embed_dedup import near_vectors
 from tickloom.llm.graph import components
+from tickloom.llm import minhash_dedup
 from tickloom.llm.minhash_dedup import near_duplicates, without_near_duplicates
 from tickloom.llm.skew import lookup
 
@@ -209,3 +210,19 @@ def test_vectors_of_several_lengths(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(frame, cell=50).collect()}
     assert got == want
+
+
+def test_a_large_group_of_near_copies_is_joined_block_by_block(spark, monkeypatch):
+    """Its members meet in a number of blocks that does not grow with their square, and make one component."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    monkeypatch.setattr(minhash_dedup, "SMALL", 16)
+    sizes, link_blocks = [], minhash_dedup.Join.link_blocks
+    monkeypatch.setattr(minhash_dedup.Join, "link_blocks", lambda self, rows, nodes: (sizes.append((rows.count(), nodes)), link_blocks(self, rows, nodes))[1])
+    monkeypatch.setattr(minhash_dedup.Join, "link_to_one", lambda self, large: False)
+    base = [f"w{k}" for k in range(160)]
+    docs = [(i, " ".join([*base[:i % 160], f"x{i}", *base[i % 160 + 1 :]])) for i in range(256)]
+    docs += [(1000 + i, " ".join(f"y{i}z{k}" for k in range(40))) for i in range(20)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), threshold=0.85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 if i < 1000 else i for i, _ in docs}
+    # All pairs of the 16 blocks of a tree would be 16 rows a member; a deal has one, and then little is left.
+    assert sizes[-1][1] is not None and sum(n for n, _ in sizes) < 256 * minhash_dedup.TREES * 8

@@ -11,7 +11,9 @@ trees miss one pair in a million.
 Only components are asked for, so a large node first links its members to one of
 them; a node whose members are all in one component is done. Whether branching makes a node cheaper is
 read off the sizes its children would have; only then do members move, and only into children that hold undecided
-ones. A node that branching would not make cheaper is compared in blocks instead. Signature agreement far below
+ones. A node that branching would not make cheaper is compared in blocks instead: first each block within itself, the
+members dealt to blocks at random a few times, which joins a large group of near copies at a cost in proportion to its
+members; then every two blocks, but no two of the same component. Signature agreement far below
 the threshold rules a pair out (one pair in 300,000 at the threshold, beside the one in a million above). The members
 of a block that are left with partners get their full shingle sets, pairs not yet connected are confirmed on them
 (as sets of 64-bit hashes of the shingles), and the block gives out a spanning forest: fewer links than members, whatever
@@ -31,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.decontam import Bitmap
@@ -47,6 +49,7 @@ BLOCK = 256
 MANY_PAIRS = 64  # candidates of a block from which all its sets are intersected at once
 MATRIX_CELLS = 1 << 25
 BLOCK_SHINGLES = 1 << 21  # of the members of a block together, about
+DEALS = 4  # times at most that members are dealt to blocks at random
 SIGMAS = 4.5  # a pair at the threshold agrees this far below its expectation once in 300,000 times
 
 _rng = np.random.default_rng(20240229)
@@ -205,7 +208,7 @@ class Join:
     def grow(self) -> DataFrame:
         """Branch all trees; ``node, cls, n, label, tree`` of the nodes to compare exhaustively (``tree``: of a root, else ``trees``)."""
         rows = self.undecided(stored(self.root_rows(), "level"))
-        signed = lambda x: stored(x.drop("tree").join(self.classes.select("cls", "sig"), "cls"), "large")
+        signed = lambda x: stored(by_class(x.drop("tree"), lambda one: one.join(self.classes.select("cls", "sig"), "cls")), "large")
         large = rows.where(F.col("size") > SMALL)
         if not large.isEmpty() and self.link_to_one(signed(large)):
             # What the largest nodes have linked may settle nodes of all trees.
@@ -270,22 +273,63 @@ class Join:
         return rows, large.join(dense.select(F.col("parent").alias("node")), "node", "left_semi").select("node", "cls", "n", "label")
 
     def compare(self, nodes: DataFrame) -> bool:
-        """Link the members of each node that belong together, block by block; True if any new link came of it.
-
-        A pair that shares several roots comes out of the first one that is compared as it stands.
+        """Link the members of each node that belong together, block by block; True if any new link came of it."""
+        linked, rows = False, self.undecided(nodes)
+        for turn in range(DEALS):
+            blocks = _blocks("size", "shingles")
+            dealt = rows.where(blocks > 1).withColumn("i", F.pmod(F.xxhash64("cls", "node", F.lit(turn)), blocks).cast("int"))
+            members = dealt.count()
+            found = self.link_blocks(dealt.withColumns({"j": F.col("i"), "block": F.col("i")}), None) if members else 0
+            linked = linked or found > 0
+            if found:
+                # One row a class takes up its new component.
+                rows = self.undecided(by_class(nodes.drop("label"), lambda one: self.labelled(one, self.labels())))
+            # Dealt again only while that joins many of them.
+            if 64 * found <= members:
+                break
+        return self.link_blocks(self.paired(rows), nodes) > 0 or linked
+
+    def paired(self, rows: DataFrame) -> DataFrame:
+        """Each member with every pair of blocks it takes part in (``i, j, block``).
+
+        Components of more than a block get blocks of their own, which are compared neither with themselves nor with
+        each other; the other members of a node share blocks.
         """
-        rows = self.undecided(nodes)
-        whole = nodes.where(F.col("tree") < self.trees).groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("whole"))
-        facts = self.classes.select("cls", "sig", "roots").join(whole, "cls", "left").withColumn("whole", F.coalesce("whole", F.lit(0)))
-        rows = rows.join(facts, "cls")
-        blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-        block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-        partner = F.sequence(F.lit(0), F.col("blocks") - 1)
-        rows = rows.withColumns({"blocks": blocks, "block": block}).withColumn("other", F.explode(partner))
-        rows = rows.select(
-            "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            "block", "cls", "label", "n", "sig", "tree", "roots", "whole",
-        )
+        blocks = _blocks("size", "shingles")
+        small = rows.where(blocks <= 1).withColumns({"i": F.lit(0), "j": F.lit(0), "block": F.lit(0)})
+        large = rows.where(blocks > 1)
+        if large.isEmpty():
+            return small
+        shares = large.groupBy("node", "label").agg(F.count("*").alias("m"), F.sum("n").alias("s")).withColumn("own", F.col("m") > BLOCK)
+        part = F.when(F.col("own"), F.col("label")).alias("part")
+        parts = shares.groupBy("node", part).agg(F.sum("m").alias("m"), F.sum("s").alias("s")).select("node", "part", _blocks("m", "s").alias("blocks"))
+        # At most one part a block of members.
+        before = Window.partitionBy("node").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumns(
+            {"first": F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int"), "total": F.sum("blocks").over(Window.partitionBy("node")).cast("int")}
+        )
+        own, pool = parts.where(F.col("part").isNotNull()), parts.where(F.col("part").isNull())
+        of_own = own.select("node", F.col("part").alias("label"), F.col("first").alias("f"), F.col("blocks").alias("b"), F.col("total").alias("t"))
+        large = large.join(of_own, ["node", "label"], "left").join(pool.select("node", "first", "blocks", "total"), "node", "left")
+        first, blocks = F.coalesce("f", "first"), F.coalesce("b", "blocks")
+        others = F.filter(F.sequence(F.lit(0), F.coalesce("t", "total") - 1), lambda x: F.col("f").isNull() | (x < F.col("f")) | (x >= F.col("f") + F.col("b")))
+        large = large.withColumn("block", (first + F.pmod(F.xxhash64("cls"), blocks)).cast("int")).withColumn("other", F.explode(others))
+        large = large.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        return small.unionByName(large.select(*small.columns))
+
+    def link_blocks(self, rows: DataFrame, nodes: DataFrame | None) -> int:
+        """Compare the members of blocks i and j; the number of new links.
+
+        Given the nodes that are compared whole, a pair that shares several roots comes out of the first of them.
+        """
+        facts = self.classes.select("cls", "sig", "roots")
+        if nodes is None:
+            facts, tree = facts.withColumn("whole", F.lit(0).cast("long")), F.lit(0)
+        else:
+            whole = nodes.where(F.col("tree") < self.trees).groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("whole"))
+            facts, tree = facts.join(whole, "cls", "left").withColumn("whole", F.coalesce("whole", F.lit(0).cast("long"))), F.col("tree")
+        rows = rows.select("node", "i", "j", "block", "cls", "label", "n", tree.alias("tree"))
+        rows = by_class(rows, lambda one: one.join(facts, "cls"))
         floor, threshold, percent = self.floor, self.threshold, round(self.threshold * 100)
 
         def candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -322,8 +366,8 @@ class Join:
         kept = ["node", "i", "j", "block", "cls", "label", "n", "sig"]
         found = stored(by_group(rows, ["node", "i", "j"], involved, rows.select(*kept).schema), "involved")
         if found.isEmpty():
-            return False
-        sets = stored(self.fetch_sets(found.select("cls").distinct()), "sets")
+            return 0
+        sets = self.fetch_sets(found.select("cls").distinct())
 
         def forest(table: pa.Table) -> pa.Table:
             left, right, may, agree = candidates(table)
@@ -344,8 +388,9 @@ class Join:
                         label = [new if k == old else k for k in label]
             return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-        new = by_group(found.join(sets, "cls"), ["node", "i", "j"], forest, "a binary, b binary")
-        return self.add(stored(new.distinct(), "links"))
+        new = by_group(by_class(found, lambda one: one.join(sets, "cls")), ["node", "i", "j"], forest, "a binary, b binary")
+        new = stored(new.distinct(), "links")
+        return new.count() if self.add(new) else 0
 
     def link(self) -> DataFrame:
         """All rounds; ``cls, doc_id, label`` of every class: its smallest doc_id and its component."""
@@ -393,6 +438,17 @@ def _codes(column_: pa.ChunkedArray) -> np.ndarray:
     return column_.combine_chunks().dictionary_encode().indices.to_numpy()
 
 
+def _blocks(members: str, shingles: str) -> Column:
+    return F.ceil(F.greatest(F.col(members) / BLOCK, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def by_class(rows: DataFrame, join: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with what ``join`` adds to their ``cls``, one row a class while it is joined, however many nodes that is in."""
+    others = [c for c in rows.columns if c != "cls"]
+    one = join(rows.groupBy("cls").agg(F.collect_list(F.struct(*others)).alias("_at")))
+    return one.withColumn("_at", F.explode("_at")).select(*(c for c in one.columns if c != "_at"), "_at.*")
+
+
 def by_group(rows: DataFrame, keys: list[str], each: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
     """``each`` over the rows of every combination of ``keys``, which must be few: groups stream through sorted partitions,
     so that very many small ones cost little."""
