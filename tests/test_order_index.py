@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from tickloom.operators.features import volatility_percentile
+from tickloom.plans import order_index
 from tickloom.plans.order_index import OrderIndex, sliding_count
 
 
@@ -62,3 +63,28 @@ def test_percentile_over_a_window_longer_than_a_slice(spark, walk_bars):
     np.testing.assert_allclose(plain["vol_percentile"], want)
     np.testing.assert_allclose(cut["vol_percentile"], want)
     assert want.notna().sum() > 700
+
+
+@pytest.mark.parametrize("window, strict", [(300, False), (300, True), (None, True), (None, False)])
+def test_no_group_outgrows_its_block(spark, monkeypatch, window, strict):
+    """Long windows, half of the values equal, a series without a key: every group stays near a block of rows."""
+    rng = np.random.default_rng(8)
+    n, block = 900, 32
+    values = np.where(rng.random(n) < 0.5, 0.0, rng.normal(0, 1, n))
+
+    def bounded(held):
+        assert len(held) <= 3 * block
+        return OrderIndex(held)
+
+    monkeypatch.setattr(order_index, "OrderIndex", bounded)
+    rows = [(None if i % 3 == 0 else "a", i, float(v)) for i, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "k string, t long, v double")
+    got = {r["t"]: (r["not_above"], r["known"]) for r in sliding_count(frame, ["k"], "t", "v", window, strict=strict, rows_per_block=block).collect()}
+    want = {}
+    for own in ([r for r in rows if r[0] is None], [r for r in rows if r[0]]):
+        v = np.array([r[2] for r in own])
+        for i, (_, t, x) in enumerate(own):
+            inside = v[max(0, i - (window or n) + 1) : i + 1]
+            full = window is None or i >= window - 1
+            want[t] = (int((inside < x).sum() if strict else (inside <= x).sum()), len(inside)) if full else (None, None)
+    assert got == want

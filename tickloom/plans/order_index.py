@@ -1,20 +1,24 @@
 """Rank of every row within a long sliding window: an order-statistic index over blocks of a series.
 
 "How many of the last n values are not above mine" has no window form, and a frame of n rows read again
-for every row costs n. Here positions cut each series into blocks. The window of a row is the end of an
-older block, some whole blocks, and the beginning of its own. Each end is one lookup in the index of that block;
-whole blocks in between are covered by few nodes of doubling size, whose sorted values are searched.
-So a row travels to a handful of nodes however long the window is, each lookup costs the logarithm of the
-block, and nothing is borrowed or ranked again.
-
-The index of a block is its ranks split bit by bit (zeros kept before ones, order kept), with
+for every row costs n. Here positions cut each series into blocks, and quantiles cut its values into ranges of about
+as many rows. The window of a row is the end of an older block, some whole blocks, and the beginning of its own. Each end
+is one lookup in the index of that block. In the whole blocks, the values of lower ranges are read off a table of
+counts by block and range, and those of the row's own range are one lookup in the index of that range.
+So a row travels to three groups at most however long the window is, and no group outgrows a block or a range. A value
+that fills ranges by itself has one of its own, which the table answers alone.
+
+The index of a group is its ranks split bit by bit (zeros kept before ones, order kept), with
 the number of zeros before each place: a range of places is followed down the bits, and wherever the sought
 rank has a one, the zeros of the range are smaller.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.plans.scan import running
+from tickloom.plans.slices import count_not_above
+from tickloom.session import stored
 
-ROWS_PER_BLOCK = 1 << 18
-# Whole blocks are merged into nodes of up to 2 ** MERGES blocks, so that a node fits a task.
-MERGES = 4
+ROWS_PER_BLOCK = 1 << 17
+# A range of values holds about 2 ** MERGES blocks of rows.
+MERGES = 0
+# Tables of counts of up to so many cells go to every task.
+BROADCAST_CELLS = 1 << 21
 
 
 class OrderIndex:
@@ -59,38 +67,20 @@ class OrderIndex:
         return np.where(whole, high - low, count)
 
 
-def _nodes(first: Column, last: Column, merges: int) -> Column:
-    """The nodes (level, node) that together cover the blocks ``first <= block < last`` exactly."""
-    out = []
-    low, high = first, last
-    for level in range(merges + 1):
-        if level == merges:
-            # The largest nodes are not merged further: all of them that remain.
-            rest = F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
-            out.append(F.transform(rest, lambda node: F.struct(F.lit(merges).alias("level"), node.alias("node"))))
-            break
-        odd = lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1
-        left = odd(low) & (low < high)
-        start = F.when(odd(low), low + 1).otherwise(low)
-        right = odd(high) & (start < high)
-        one = lambda cond, node: F.when(cond, F.array(F.struct(F.lit(level).alias("level"), node.alias("node")))).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
-        out += [one(left, low), one(right, high - 1)]
-        low, high = F.shiftright(start, 1), F.shiftright(high, 1)
-    return F.concat(*out)
-
-
 def sliding_count(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     value: str,
-    window: int,
+    window: int | None,
     *,
+    strict: bool = False,
     rows_per_block: int | None = None,
     merges: int = MERGES,
     rows_per_slice: int | None = None,
 ) -> DataFrame:
-    """Add ``not_above`` and ``known``: of the last ``window`` rows, those with ``value`` <= the row's own, and those with a value.
+    """Add ``not_above`` and ``known``: of the last ``window`` rows (None: all so far), those with ``value`` <= the row's own
+    (``strict``: below it, rows that share an order by their values), and those with a value.
 
     Null where the window is not full yet. ``(keys, order)`` must be unique; a null value (NaN counts as one) is in no count
     and has 0 for ``not_above``.
@@ -107,49 +97,114 @@ def sliding_count(
         number(value).alias("_value"),
         F.lit(1).alias("_one"),
     )
-    placed = running(boxed, names, ["_at"], {"_upto": ("sum", F.col("_one"))}, rows_per_slice=rows_per_slice)
-    place = (F.col("_upto") - 1).alias("_place")
-    rows = placed.select("_row", *names, "_value", place, F.floor(place / size).alias("_own"), (place - window + 1).alias("_from"))
-    old = F.floor(F.col("_from") / size)
-    full = F.col("_from") >= 0
-    # Where a row is looked up: its own block, the block its window begins in, and the nodes in between.
-    asks = lambda level, node, low, role: F.struct(
-        F.lit(level).alias("level") if isinstance(level, int) else level.alias("level"), node.alias("node"), low.alias("low"), F.lit(role).alias("role")
+    placed = running(boxed, names, ["_at", "_value"] if strict else ["_at"], {"_upto": ("sum", F.col("_one"))}, rows_per_slice=rows_per_slice)
+    place = F.col("_upto") - 1
+    start = F.lit(0).cast("long") if window is None else F.greatest(place - window + 1, F.lit(0))
+    rows = placed.select("_row", *names, "_value", place.alias("_place"), F.floor(place / size).alias("_own"), start.alias("_from"))
+    rows = stored(rows, "places")
+    full = F.lit(True) if window is None else F.col("_place") >= window - 1
+    rows = _whole_blocks(rows, names, size, size << merges, full, strict)
+    asks = lambda kind, node, low, high, role: F.struct(
+        F.lit(kind).alias("kind"), node.cast("long").alias("node"), low.cast("long").alias("low"), high.cast("long").alias("high"), F.lit(role).alias("role")
     )
-    own = F.array(asks(0, F.col("_own"), F.greatest(F.col("_from") - F.col("_own") * size, F.lit(0)), 0))
-    nothing = F.array().cast("array<struct<level:int,node:bigint,low:bigint,role:int>>")
-    far = F.when(full & (old < F.col("_own")), F.array(asks(0, old, F.col("_from") - old * size, 1))).otherwise(nothing)
-    between = F.when(full & (old + 1 < F.col("_own")), F.transform(_nodes(old + 1, F.col("_own"), merges), lambda x: asks(x["level"], x["node"], F.lit(0).cast("long"), 2))).otherwise(nothing)
-    holds = F.when(F.lit(window > size), F.transform(F.sequence(F.lit(1), F.lit(merges)), lambda level: asks(level.cast("int"), F.expr("0L"), F.lit(0).cast("long"), 3))).otherwise(nothing)
-    out = rows.withColumn("_ask", F.explode(F.concat(own, far, between, holds)))
-    # A row held by a larger node is told which one here; blocks are the nodes of level 0.
-    node = F.when(F.col("_ask.role") == 3, F.expr("shiftright(_own, _ask.level)")).otherwise(F.col("_ask.node"))
-    row = F.when(F.col("_ask.role") == 0, F.col("_row"))
-    sent = out.select(*names, F.col("_ask.level").alias("_level"), node.alias("_node"), F.col("_ask.role").alias("_role"), F.col("_ask.low").alias("_low"), "_place", "_value", row.alias("_row"))
+    zero, nothing = F.lit(0), F.array().cast("array<struct<kind:int,node:bigint,low:bigint,high:bigint,role:int>>")
+    own = F.array(asks(0, F.col("_own"), F.greatest(F.col("_from") - F.col("_own") * size, zero), zero, 0))
+    old = F.floor(F.col("_from") / size)
+    far = F.when(full & (old < F.col("_own")) & (F.col("_from") > old * size), F.array(asks(0, old, F.col("_from") - old * size, zero, 1))).otherwise(nothing)
+    among = F.when(F.col("_range").isNotNull() & ~F.col("_single"), F.array(asks(1, F.col("_range"), F.col("_first") * size, F.col("_last") * size, 2))).otherwise(nothing)
+    out = rows.withColumn("_ask", F.explode(F.concat(own, far, among)))
+    at_home = lambda c: F.when(F.col("_ask.role") == 0, F.col(c)).alias(c)
+    sent = out.select(
+        *names, F.col("_ask.kind").alias("_kind"), F.col("_ask.node").alias("_node"), F.col("_ask.role").alias("_role"), F.col("_ask.low").alias("_low"),
+        F.col("_ask.high").alias("_high"), "_place", "_value", *(at_home(c) for c in ("_row", "_base", "_base_n")),
+    )
     shape = T.StructType([*(sent.schema[n] for n in [*names, "_place", "_row"]), T.StructField("_count", T.LongType()), T.StructField("_n", T.LongType())])
 
     def count(table: pa.Table) -> pa.Table:
-        role, low = table["_role"].to_numpy(), table["_low"].to_numpy()
-        pos, level = table["_place"].to_numpy(), table["_level"][0].as_py()
+        role, low, high, pos = (table[c].to_numpy() for c in ("_role", "_low", "_high", "_place"))
         values = table["_value"].to_numpy(zero_copy_only=False).astype(float)  # null: NaN
         known = ~np.isnan(values)
-        base = table["_node"][0].as_py() * size
-        held = np.flatnonzero(known & (role == (3 if level else 0)))
+        block = table["_kind"][0].as_py() == 0
+        held = np.flatnonzero(known & (role == 0) if block else known)
         held = held[np.argsort(pos[held], kind="stable")]
-        asking = np.flatnonzero(role < 3)
+        asking = np.arange(len(values)) if block else np.flatnonzero(low < high)
         bounds = np.where(known[asking], values[asking], -np.inf)
-        if level:
-            ordered = np.sort(values[held])
-            counts, seen = np.searchsorted(ordered, bounds, side="right"), np.full(len(asking), len(held))
+        if strict:
+            bounds = np.nextafter(bounds, -np.inf)
+        places = pos[held] - (table["_node"][0].as_py() * size if block else 0)
+        start = np.searchsorted(places, low[asking])
+        if block:
+            upto = np.searchsorted(places, pos[asking] - table["_node"][0].as_py() * size, side="right")
+            end = np.where(role[asking] == 0, upto, len(held))
         else:
-            places = pos[held] - base
-            start = np.searchsorted(places, low[asking])
-            end = np.where(role[asking] == 0, np.searchsorted(places, pos[asking] - base, side="right"), len(held))
-            counts, seen = OrderIndex(values[held]).count_not_above(start, end, bounds), end - start
+            end = np.searchsorted(places, high[asking])
+        counts = np.where(known[asking], OrderIndex(values[held]).count_not_above(start, end, bounds), 0)
+        seen = end - start if block else np.zeros(len(asking), np.int64)
+        extra = [table[c].take(pa.array(asking)).fill_null(0).to_numpy() for c in ("_base", "_base_n")]
         kept = table.select([*names, "_place", "_row"]).take(pa.array(asking))
-        return kept.append_column("_count", pa.array(counts.astype(np.int64))).append_column("_n", pa.array(seen.astype(np.int64)))
+        return kept.append_column("_count", pa.array((counts + extra[0]).astype(np.int64))).append_column("_n", pa.array((seen + extra[1]).astype(np.int64)))
 
-    parts = sent.groupBy(*names, "_level", "_node").applyInArrow(count, shape)
+    parts = sent.groupBy(*names, "_kind", "_node").applyInArrow(count, shape)
     whole = parts.groupBy(*names, "_place").agg(F.first("_row", ignorenulls=True).alias("_row"), F.sum("_count").alias("_count"), F.sum("_n").alias("_n"))
-    full = F.col("_place") >= window - 1
     return whole.select("_row.*", F.when(full, F.col("_count")).alias("not_above"), F.when(full, F.col("_n")).alias("known"))
+
+
+def _whole_blocks(rows: DataFrame, names: list[str], size: int, rows_per_range: int, full: Column, strict: bool) -> DataFrame:
+    """Add what lies in the whole blocks ``_first <= block < _last`` of a row's window: ``_base``, the values of lower ranges (all
+    that count, where the row's range is a ``_single`` value), ``_base_n``, the known values, and the row's ``_range``.
+
+    ``_range`` is null in series of one block, which hold no whole ones.
+    """
+    lengths = rows.groupBy(*names).agg(F.count("*").alias("n"), F.count("_value").alias("known")).where(F.col("n") > size)
+    total = lengths.agg(F.sum("n"), F.max("known")).first()
+    none = {"_first": "long", "_last": "long", "_range": "int", "_base": "long", "_base_n": "long", "_single": "boolean"}
+    if total[0] is None:
+        return rows.withColumns({c: F.lit(None).cast(kind) for c, kind in none.items()})
+    ranges = max(1, -(-total[1] // rows_per_range))
+    probs = [k / ranges for k in range(1, ranges)]
+    edges = F.percentile_approx("_value", probs, max(10_000, 20 * ranges)) if probs else F.lit(None).cast("array<double>")
+    # Some edges for each block of a long series: these are few.
+    found = rows.groupBy(*names).agg(F.count("*").alias("n"), edges.alias("edges")).where(F.col("n") > size).collect()
+    cuts = [(*(r[n] for n in names), *_cuts(r["edges"] or [])) for r in found]
+    own = T.StructType([*(T.StructField(f"_c{i}", rows.schema[n].dataType) for i, n in enumerate(names)), T.StructField("_cuts", T.ArrayType(T.DoubleType())), T.StructField("_singles", T.ArrayType(T.BooleanType()))])
+    local = rows.sparkSession.createDataFrame(cuts, own)
+    same = lambda prefix: reduce(and_, (F.col(n).eqNullSafe(F.col(f"{prefix}{i}")) for i, n in enumerate(names)), F.lit(True))
+    marked = rows.join(F.broadcast(local), same("_c"), "left")
+    inside = F.col("_value").isNotNull() & F.col("_cuts").isNotNull()
+    marked = marked.withColumn("_range", F.when(inside, count_not_above(F.col("_cuts"), F.col("_value"))).cast("int"))
+    marked = marked.withColumn("_single", F.coalesce(F.get("_singles", F.col("_range")), F.lit(False)))
+    cells = marked.where(F.col("_cuts").isNotNull()).groupBy(*names, "_own", F.coalesce("_range", F.lit(-1)).alias("_range")).agg(F.count("_value").alias("_n"))
+    shape = T.StructType([*(rows.schema[n] for n in names), T.StructField("_block", T.LongType()), T.StructField("_below", T.ArrayType(T.LongType()))])
+
+    def before(table: pa.Table) -> pa.Table:
+        block, place, n = (table[c].to_numpy() for c in ("_own", "_range", "_n"))
+        grid = np.zeros((block.max() + 2, max(place.max(), 0) + 2), np.int64)
+        some = place >= 0
+        grid[block[some] + 1, place[some] + 1] = n[some]
+        grid = grid.cumsum(0).cumsum(1)[:-1]
+        offsets = np.arange(len(grid) + 1, dtype=np.int32) * grid.shape[1]
+        own = table.select(names).slice(0, 1).take(pa.array(np.zeros(len(grid), np.int64)))
+        below = pa.ListArray.from_arrays(pa.array(offsets), pa.array(grid.ravel()))
+        return own.append_column("_block", pa.array(np.arange(len(grid)))).append_column("_below", below)
+
+    counts = stored(cells.groupBy(*names).applyInArrow(before, shape), "counts-before")
+    few = (total[0] // size + len(found)) * 2 * ranges <= BROADCAST_CELLS
+
+    def looked_up(frame: DataFrame, at: str, prefix: str) -> DataFrame:
+        side = counts.select(*(F.col(n).alias(f"{prefix}{i}") for i, n in enumerate(names)), F.col("_block").alias(f"{prefix}_block"), F.col("_below").alias(f"{prefix}_below"))
+        return frame.join(F.broadcast(side) if few else side, same(prefix) & (F.col(at) == F.col(f"{prefix}_block")), "left")
+
+    marked = marked.withColumns({"_first": F.ceil(F.col("_from") / size), "_last": F.when(full, F.col("_own")).otherwise(F.lit(0))})
+    some = F.col("_first") < F.col("_last")
+    marked = looked_up(looked_up(marked.withColumn("_need", F.when(some, F.col("_first"))).withColumn("_upto", F.when(some, F.col("_last"))), "_need", "_p"), "_upto", "_q")
+    upto = F.col("_range") if strict else F.col("_range") + F.col("_single").cast("int")
+    between = lambda i: F.get("_q_below", i) - F.get("_p_below", i)
+    marked = marked.withColumns({"_base": between(upto), "_base_n": between(F.size("_q_below") - 1)})
+    return marked.select(*rows.columns, *none)
+
+
+def _cuts(edges: Sequence[float]) -> tuple[list[float], list[bool]]:
+    """Lower ends of all ranges but the first, and which ranges hold a single value: those that several edges fell on."""
+    cuts, heavy = sorted(set(edges)), {a for a, b in zip(edges, edges[1:]) if a == b and math.isfinite(a)}
+    cuts = sorted({*cuts, *(math.nextafter(c, math.inf) for c in heavy)})
+    return cuts, [False, *(c in heavy for c in cuts)]

@@ -1,25 +1,20 @@
 """Rank of every row among the rows before it, for series of any length.
 
-"How many earlier values are smaller" has no window form. Inside a slice a
-rolling rank answers it. Across slices the count is assembled by halving: at
-each level neighbouring blocks of slices pair up, and rows of the right block
-count the smaller values of the left one with a running sum over the distinct
-values. log2(slices) levels cover every earlier slice exactly once.
+"How many earlier values are smaller" has no window form. It is the count of :mod:`tickloom.plans.order_index`
+over a window that begins with the series: a block, a range of values and a table of counts
+answer for a row, so no task holds more of a series than a block of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tickloom.functions.numeric import count_if
+from tickloom.plans.order_index import sliding_count
 from tickloom.plans.scan import running
-from tickloom.plans.slices import BORROWED, SLICE, slice_series
-from tickloom.session import durable
+from tickloom.plans.slices import position
 
 
 def prefix_rank(
@@ -27,44 +22,12 @@ def prefix_rank(
 ) -> DataFrame:
     """Add ``below`` (earlier rows with a smaller value) and ``seen`` (rows up to here).
 
-    ``value`` must be non-null and ``(keys, order)`` unique.
+    ``value`` must be non-null and ``(keys, order)`` unique. Rows without an order come last where they are ranked, and
+    first where they are counted.
     """
-    keys = list(keys)
-    series = slice_series(df, keys, [order], rows_per_slice=rows_per_slice)
-    base = durable(series.df.drop(BORROWED)) if series.sliced else series.df
-    schema = T.StructType([*base.schema.fields, T.StructField("below", T.LongType())])
-
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(below=pdf[value].expanding().rank(method="min").astype("int64") - 1)
-
-    ranked = base.groupBy(*series.partition).applyInPandas(rank, schema)
-    if series.sliced:
-        last = base.agg(F.max(SLICE)).first()[0]
-        for level in range(last.bit_length()):
-            earlier = _smaller_in_left_block(base, keys, value, level, rows_per_slice)
-            block = F.shiftright(SLICE, level + 1)
-            right = F.shiftright(SLICE, level).bitwiseAND(F.lit(1)) == 1
-            ranked = (
-                ranked.withColumn("_block", block)
-                .join(earlier, [*keys, "_block", value], "left")
-                .withColumn("below", F.col("below") + F.when(right, F.col("_left")).otherwise(0))
-                .drop("_block", "_left")
-            )
-        ranked = ranked.drop(SLICE)
-    return running(ranked, keys, [order], {"seen": ("count", F.col(value))}, rows_per_slice=rows_per_slice)
-
-
-def _smaller_in_left_block(
-    base: DataFrame, keys: list[str], value: str, level: int, rows_per_slice: int | None
-) -> DataFrame:
-    """Per (keys, block, value): how many rows of the block's left half are smaller."""
-    left = F.shiftright(SLICE, level).bitwiseAND(F.lit(1)) == 0
-    # One row per distinct value, so a value shared by many rows is no hot spot.
-    cells = base.groupBy(*keys, F.shiftright(SLICE, level + 1).alias("_block"), value).agg(
-        count_if(left).alias("_n")
-    )
-    summed = running(
-        cells, [*keys, "_block"], [value], {"_upto": ("sum", F.col("_n"))}, rows_per_slice=rows_per_slice
-    )
-    return summed.select(*keys, "_block", value, (F.col("_upto") - F.col("_n")).alias("_left"))
+    at = F.coalesce(position(df, order), F.lit((1 << 63) - 1))
+    placed = df.withColumn("_rank_at", at)
+    counted = sliding_count(placed, keys, "_rank_at", value, None, strict=True, rows_per_block=rows_per_slice, rows_per_slice=rows_per_slice)
+    below = counted.select(*df.columns, F.col("not_above").alias("below"), F.col("known").alias("_rank_at"))
+    # Rows of one instant are counted in the order they were ranked in.
+    return running(below, list(keys), [order, "_rank_at"], {"seen": ("count", F.col(value))}, rows_per_slice=rows_per_slice).drop("_rank_at")

@@ -65,3 +65,10 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(work_folder(spark, "checkpoint"))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written once as Parquet below :func:`work_folder` and read back, for what several passes read some columns of."""
+    path = f"{work_folder(df.sparkSession, name)}/{name}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
