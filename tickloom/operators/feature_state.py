@@ -30,7 +30,7 @@ from tickloom.session import durable
 
 MOMENTS, BINS, PAIRS = 0, 1, 2
 MANTISSA_BITS = 5  # bins a power of two: 32
-CHUNK_ROWS = 100_000
+CHUNK_ROWS = 20_000  # held at once by a Python worker, with several copies of their columns
 # More values in a bin than this are split again before they are ordered.
 MAX_BRACKET = 1_000_000
 SPLITS = 4096
@@ -108,7 +108,7 @@ def feature_states(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
         def flush() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held)
             held.clear()
-            x = np.column_stack([table.column(len(keys) + i).to_numpy() for i in range(len(columns))]).astype(float)
+            x = np.column_stack([table.column(len(keys) + i).to_numpy() for i in range(len(columns))]).astype(float, copy=False)
             if keys:
                 frame = table.select(keys).to_pandas()
                 codes = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
