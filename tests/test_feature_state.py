@@ -103,3 +103,29 @@ def test_table_updated_by_date_equals_a_full_run(spark, tmp_path):
     assert_close(collect(got, "symbol", "ts"), collect(full.select(names), "symbol", "ts"))
     with pytest.raises(ValueError, match="whole sample"):
         FeatureTable(f"{tmp_path}/other", FeatureConfig(volatility_mode="expanding")).update(spark, f"{tmp_path}/bars")
+
+
+def test_a_worker_holds_few_rows_of_a_wide_frame():
+    """The whole frame of 59 features: a chunk and the handful of copies made of it stay below 100 MB."""
+    from tickloom.catalog.statistics import COLUMNS as every
+
+    assert 10 * fs.CHUNK_ROWS * len(every) * 8 < 100 << 20
+
+
+def test_statistics_of_all_features_read_a_stored_frame(spark, monkeypatch):
+    """Statistics with several passes over the features compute them once."""
+    from tickloom.catalog import statistics
+    from tickloom.operators import feature_qc as fq
+
+    sf, read, computed = "/root/testdata/sf0.001", [], []
+    whole = statistics.all_features
+    monkeypatch.setattr(statistics, "all_features", lambda *a: (computed.append(1), whole(*a))[1])
+    for name in ("feature_set_gate", "quality_metrics", "analysis_summary"):
+        monkeypatch.setattr(fq, name, lambda df, *a, **k: read.append(df) or df.limit(0))
+    monkeypatch.setattr(statistics, "_pairs", lambda df: read.append(df))
+    monkeypatch.setattr(fq, "with_quality", lambda meta, metrics: meta.selectExpr("*", "'' AS status", "0D AS non_na_pct"))
+    for name in ("quality_gate_all", "metadata_quality_all", "analysis_summary_all"):
+        getattr(statistics, name)(spark, sf)
+    assert len(computed) == 3 and len(read) == 4
+    for df in read:
+        assert df.inputFiles() and all("/features" in f for f in df.inputFiles())

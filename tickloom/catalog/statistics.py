@@ -11,6 +11,7 @@ from tickloom.catalog.registry import query
 from tickloom.catalog.sqltext import TICK_BARS, rnd
 from tickloom.operators import feature_qc as fq
 from tickloom.operators.features import compute_features
+from tickloom.session import stored
 from tickloom.sources.tables import tick_bars
 
 COLUMNS = sorted(FAMILY_OF)
@@ -43,6 +44,11 @@ def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compute_features(tick_bars(spark, sf_dir), CFG).select("symbol", "ts", *COLUMNS)
 
 
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features, computed once for statistics that read them several times."""
+    return stored(all_features(spark, sf_dir), "features")
+
+
 def _pairs(feats: DataFrame) -> DataFrame:
     return r6(fq.correlation_pairs(feats, COLUMNS), "correlation")
 
@@ -54,7 +60,7 @@ def _pairs(feats: DataFrame) -> DataFrame:
     {rnd('max(value)')} AS max FROM cells GROUP BY 1""",
 )
 def describe_features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(fq.describe(all_features(spark, sf_dir), COLUMNS), "mean", "std", "min", "p25", "p50", "p75", "max")
+    return r6(fq.describe(stored_features(spark, sf_dir), COLUMNS), "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 @query(
@@ -82,7 +88,7 @@ def nan_inf_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT feature, count(*) FILTER (value < a OR value > b) AS extreme_count FROM cells JOIN q USING (feature) GROUP BY 1""",
 )
 def extreme_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fq.extreme_counts(all_features(spark, sf_dir), COLUMNS)
+    return fq.extreme_counts(stored_features(spark, sf_dir), COLUMNS)
 
 
 _MOMENTS = "m AS (SELECT feature, avg(value) AS m, stddev_samp(value) AS s FROM cells GROUP BY 1)"
@@ -93,12 +99,12 @@ _MOMENTS = "m AS (SELECT feature, avg(value) AS m, stddev_samp(value) AS s FROM
     f"{_ALL}, {_MOMENTS} SELECT feature, count(*) FILTER (s > {fq.ROUNDING!r} * abs(m) AND abs(value - m) / s > 6) AS outliers FROM cells JOIN m USING (feature) GROUP BY 1",
 )
 def zscore_outliers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fq.zscore_outliers(all_features(spark, sf_dir), COLUMNS)
+    return fq.zscore_outliers(stored_features(spark, sf_dir), COLUMNS)
 
 
 @query("quality_metrics_all", f"{_ALL} {_METRICS}")
 def quality_metrics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fq.quality_metrics(all_features(spark, sf_dir), COLUMNS)
+    df = fq.quality_metrics(stored_features(spark, sf_dir), COLUMNS)
     return r6(df, "non_na_pct", "mean", "std", "p1", "p50", "p99", "score").drop("min", "max")
 
 
@@ -110,7 +116,7 @@ def quality_metrics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN incomplete = 0 AND duplicates = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s""",
 )
 def quality_gate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fq.feature_set_gate(all_features(spark, sf_dir), COLUMNS)
+    return fq.feature_set_gate(stored_features(spark, sf_dir), COLUMNS)
 
 
 @query("corr_pairs_all", f"{_ALL}, {_PAIRS} SELECT * FROM pairs")
@@ -138,7 +144,7 @@ def variance_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT count(*) FROM pairs WHERE abs(correlation) > 0.8) AS high_correlation_pairs FROM cells""",
 )
 def analysis_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feats = all_features(spark, sf_dir)
+    feats = stored_features(spark, sf_dir)
     return fq.analysis_summary(feats, COLUMNS, _pairs(feats))
 
 
@@ -154,7 +160,7 @@ _GIVEN_SQL = ", ".join(f"('{name}', CAST({low} AS DOUBLE), CAST({'NULL' if high
 )
 def anomaly_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features without a given range are expected within six deviations of their mean."""
-    feats = all_features(spark, sf_dir)
+    feats = stored_features(spark, sf_dir)
     given = spark.createDataFrame(_RANGES, "feature string, expected_low double, expected_high double")
     m, s = F.col("mean"), F.col("std")
     usual = fq.feature_ranges(feats, [c for c in COLUMNS if c not in _GIVEN]).where(s > fq.ROUNDING * F.abs(m)).select(
@@ -171,7 +177,7 @@ def anomaly_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def metadata_quality_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = spark.createDataFrame(list(FAMILY_OF.items()), "name string, family string")
-    metrics = fq.quality_metrics(all_features(spark, sf_dir), COLUMNS)
+    metrics = fq.quality_metrics(stored_features(spark, sf_dir), COLUMNS)
     return r6(fq.with_quality(meta, metrics), "non_na_pct").select("name", "family", "status", "non_na_pct")
 
 
