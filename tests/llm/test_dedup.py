@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tickloom.llm import words
-from tickloom.llm.decontam import find_contamination
+from tickloom.llm.decontam import Bitmap, find_contamination
 from tickloom.llm.embed_dedup import near_vectors
 from tickloom.llm.graph import components
 from tickloom.llm import minhash_dedup
@@ -226,3 +226,37 @@ def test_a_large_group_of_near_copies_is_joined_block_by_block(spark, monkeypatc
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 if i < 1000 else i for i, _ in docs}
     # All pairs of the 16 blocks of a tree would be 16 rows a member; a deal has one, and then little is left.
     assert sizes[-1][1] is not None and sum(n for n, _ in sizes) < 256 * minhash_dedup.TREES * 8
+
+
+def test_rows_of_small_nodes_meet_their_node_once(spark, monkeypatch):
+    """Only the members of large nodes are looked up by node again, however many rounds those take."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    monkeypatch.setattr(minhash_dedup, "SMALL", 16)
+    again, undecided = [], minhash_dedup.Join.undecided
+    monkeypatch.setattr(minhash_dedup.Join, "undecided", lambda self, rows: (again.append(rows.select("cls").distinct().count()), undecided(self, rows))[1])
+    base = [f"w{k}" for k in range(160)]
+    docs = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(60)]
+    docs += [(1000 + i, " ".join([f"y{i // 2}z{k}" for k in range(40)] + ["end"] * (i % 2))) for i in range(400)]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), threshold=0.85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 if i < 1000 else i - i % 2 for i, _ in docs}
+    assert all(n <= 60 for n in again)
+
+
+def test_a_bitmap_takes_few_jobs_however_many_partitions(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("shingle"))
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    last = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=-1)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        spark.range(1).count()
+        before = last()
+        bitmap = Bitmap.of(keys)
+        spark.range(1).count()
+        assert 0 <= last() - before <= 6
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    hashes = np.array([r[0] for r in keys.collect()], np.int64).view(np.uint64)
+    assert bitmap.has(hashes).all() and Bitmap.of(keys.limit(0)).bits.sum() == 0

@@ -52,8 +52,8 @@ class Bitmap:
         packed = keys.select(slot.alias("slot")).selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, cast(slot & 63 AS int)) AS bit")
         packed = packed.groupBy("word").agg(F.bit_or("bit").alias("bit"))
         words = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-        for r in packed.toLocalIterator():
-            words[r["word"]] = np.uint64(r["bit"] & (2**64 - 1))
+        found = packed.toArrow()  # at most one row a word of the bitmap, in one job however many partitions there are
+        words[found["word"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
         return cls(words)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:

@@ -25,8 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = stored(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")), "roots")
         moved = True
         while moved:
-            # Two doublings before the pointers are stored again.
-            up = stored(_doubled(_doubled(up)), "roots")
+            # Three doublings before the pointers are stored again.
+            up = stored(_doubled(_doubled(_doubled(up))), "roots")
             moved = not up.where("moved").isEmpty()
             up = up.select("node", "root")
         maps.append(up)

@@ -12,7 +12,7 @@ Only components are asked for, so a large node first links its members to one of
 them; a node whose members are all in one component is done. Whether branching makes a node cheaper is
 read off the sizes its children would have; only then do members move, and only into children that hold undecided
 ones. A node that branching would not make cheaper is compared in blocks instead: first each block within itself, the
-members dealt to blocks at random a few times, which joins a large group of near copies at a cost in proportion to its
+members dealt to blocks at random twice over, which joins a large group of near copies at a cost in proportion to its
 members; then every two blocks, but no two of the same component. Signature agreement far below
 the threshold rules a pair out (one pair in 300,000 at the threshold, beside the one in a million above). The members
 of a block that are left with partners get their full shingle sets, pairs not yet connected are confirmed on them
@@ -49,7 +49,7 @@ BLOCK = 256
 MANY_PAIRS = 64  # candidates of a block from which all its sets are intersected at once
 MATRIX_CELLS = 1 << 25
 BLOCK_SHINGLES = 1 << 21  # of the members of a block together, about
-DEALS = 4  # times at most that members are dealt to blocks at random
+DEALS = 2  # times at most that members are dealt to blocks at random, twice over each time
 SIGMAS = 4.5  # a pair at the threshold agrees this far below its expectation once in 300,000 times
 
 _rng = np.random.default_rng(20240229)
@@ -199,39 +199,38 @@ class Join:
             self.known = stored(components(self.links), "labels")
         return self.known
 
-    def root_rows(self) -> DataFrame:
-        """``cls, n, label, tree, node``: every class in its root of every tree; labels are joined while there is one row a class."""
-        known = self.labelled(self.classes.select("cls", "n", "roots"), self.labels())
-        rows = known.select("cls", "n", "label", F.posexplode("roots").alias("tree", "token"))
-        return rows.select("cls", "n", "label", "tree", F.xxhash64("tree", "token").alias("node"))
-
     def grow(self) -> DataFrame:
-        """Branch all trees; ``node, cls, n, label, tree`` of the nodes to compare exhaustively (``tree``: of a root, else ``trees``)."""
-        rows = self.undecided(stored(self.root_rows(), "level"))
+        """Branch all trees; ``node, cls, n, label, size, shingles, tree`` of the nodes to compare exhaustively (``tree``: of a root, else ``trees``).
+
+        Every class is in its root of every tree; nodes of one class need nothing.
+        """
+        roots = self.classes.select("cls", "n", F.col("cls").alias("label"), F.posexplode("roots").alias("tree", "token"))
+        roots = roots.select("cls", "n", "label", "tree", F.xxhash64("tree", "token").alias("node"))
+        sizes = roots.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+        rows = stored(roots.join(sizes, "node"), "level")
         signed = lambda x: stored(by_class(x.drop("tree"), lambda one: one.join(self.classes.select("cls", "sig"), "cls")), "large")
-        large = rows.where(F.col("size") > SMALL)
-        if not large.isEmpty() and self.link_to_one(signed(large)):
-            # What the largest nodes have linked may settle nodes of all trees.
-            rows = self.undecided(stored(self.root_rows(), "level"))
-            large = rows.where(F.col("size") > SMALL)
-        deep = lambda x: x.select("node", "cls", "n", "label", F.lit(self.trees).alias("tree"))
-        out = rows.where(F.col("size") <= SMALL).select("node", "cls", "n", "label", "tree")
+        deep = lambda x: x.select("node", "cls", "n", "label", "size", "shingles", F.lit(self.trees).alias("tree"))
+        out, large = rows.where(F.col("size") <= SMALL), rows.where(F.col("size") > SMALL)
         if large.isEmpty():
             return out
         # From here on rows carry what comparing and branching need.
-        large = signed(large)
-        while True:
-            rows, dense = self.branch(large)
+        members = signed(large)
+        if self.link_to_one(members):
+            members = signed(self.undecided(large))
+        while not members.isEmpty():
+            rows, dense = self.branch(members)
             out = out.unionByName(deep(dense)).unionByName(deep(rows.where(F.col("size") <= SMALL)))
-            large = rows.where(F.col("size") > SMALL)
-            if large.isEmpty():
-                return out
+            members = rows.where(F.col("size") > SMALL)
+        return out
 
     def undecided(self, rows: DataFrame) -> DataFrame:
-        """Rows of nodes with members of more than one component, with the node's size in members and in shingles."""
-        stat = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        stat = stat.where(F.col("lo") != F.col("hi")).select("node", "size", "shingles")
-        return stored(rows.join(stat, "node"), "level")
+        """Rows of nodes with members of more than one component, one row a class taking up the component it is in by now.
+
+        Components only grow, so nodes that were settled before stay so and need not be among the rows.
+        """
+        rows = stored(by_class(rows.drop("label"), lambda one: self.labelled(one, self.labels())), "labelled")
+        mixed = rows.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        return stored(rows.join(mixed, "node", "left_semi"), "level")
 
     def link_to_one(self, large: DataFrame) -> bool:
         """Link the members of each large node to its smallest class where their signatures allow it."""
@@ -261,33 +260,36 @@ class Join:
         child = lambda k: F.xxhash64("node", F.lit(k), token(F.col("sig"), F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDS)).cast("int")))
         members = large.select("node", "size", "cls", "n", "label", "sig")
         # What the children would be: counted where the members are, before any of them moves.
-        of = [F.count("*").alias("m"), F.first("size").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")]
+        of = [F.count("*").alias("m"), F.sum("n").alias("shingles"), F.first("size").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")]
         kinds = [members.groupBy(F.col("node").alias("parent"), child(k).alias("child")).agg(*of) for k in (1, 2)]
         sizes = stored(kinds[0].unionByName(kinds[1]), "children")
         square = lambda c: F.col(c).cast("double") * F.col(c)
         dense = sizes.groupBy("parent").agg((F.sum(square("m")) >= F.first(square("size"))).alias("dense")).where("dense").select("parent")
         dense = stored(dense, "dense")
-        mixed = sizes.where(F.col("lo") != F.col("hi")).join(dense, "parent", "left_anti").select("child", F.col("m").alias("size"))
+        mixed = sizes.where(F.col("lo") != F.col("hi")).join(dense, "parent", "left_anti").select("child", F.col("m").alias("size"), "shingles")
         moved = [members.select("cls", "n", "label", "sig", child(k).alias("child")).join(mixed, "child") for k in (1, 2)]
-        rows = stored(moved[0].unionByName(moved[1]).withColumnRenamed("child", "node").select("node", "cls", "n", "label", "sig", "size"), "level")
-        return rows, large.join(dense.select(F.col("parent").alias("node")), "node", "left_semi").select("node", "cls", "n", "label")
+        rows = stored(moved[0].unionByName(moved[1]).withColumnRenamed("child", "node").select("node", "cls", "n", "label", "sig", "size", "shingles"), "level")
+        return rows, large.join(dense.select(F.col("parent").alias("node")), "node", "left_semi")
 
-    def compare(self, nodes: DataFrame) -> bool:
-        """Link the members of each node that belong together, block by block; True if any new link came of it."""
-        linked, rows = False, self.undecided(nodes)
+    def compare(self, nodes: DataFrame) -> None:
+        """Link the members of each node that belong together, block by block. Only nodes of several blocks are looked at more than once."""
+        blocks = _blocks("size", "shingles")
+        large = nodes.where(blocks > 1)
+        members = large.count()
         for turn in range(DEALS):
-            blocks = _blocks("size", "shingles")
-            dealt = rows.where(blocks > 1).withColumn("i", F.pmod(F.xxhash64("cls", "node", F.lit(turn)), blocks).cast("int"))
-            members = dealt.count()
-            found = self.link_blocks(dealt.withColumns({"j": F.col("i"), "block": F.col("i")}), None) if members else 0
-            linked = linked or found > 0
-            if found:
-                # One row a class takes up its new component.
-                rows = self.undecided(by_class(nodes.drop("label"), lambda one: self.labelled(one, self.labels())))
-            # Dealt again only while that joins many of them.
-            if 64 * found <= members:
+            if not members:
+                break
+            # Dealt twice over at once: the second deal joins what the first has joined in each block.
+            hands = [F.pmod(F.xxhash64("cls", "node", F.lit(2 * turn + k)), blocks).cast("int") + F.lit(k) * blocks for k in (0, 1)]
+            dealt = large.withColumn("i", F.explode(F.array(*hands)))
+            if not self.link_blocks(dealt.withColumns({"j": F.col("i"), "block": F.col("i")}), None):
+                break
+            large = self.undecided(large)
+            before, members = members, large.count()
+            # And again only where that settles most of them.
+            if 2 * members > before:
                 break
-        return self.link_blocks(self.paired(rows), nodes) > 0 or linked
+        self.link_blocks(self.paired(nodes.where(blocks <= 1).unionByName(large)), nodes)
 
     def paired(self, rows: DataFrame) -> DataFrame:
         """Each member with every pair of blocks it takes part in (``i, j, block``).
@@ -322,13 +324,13 @@ class Join:
 
         Given the nodes that are compared whole, a pair that shares several roots comes out of the first of them.
         """
-        facts = self.classes.select("cls", "sig", "roots")
+        facts = self.labelled(self.classes.select("cls", "sig", "roots"), self.labels())
         if nodes is None:
             facts, tree = facts.withColumn("whole", F.lit(0).cast("long")), F.lit(0)
         else:
             whole = nodes.where(F.col("tree") < self.trees).groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("whole"))
             facts, tree = facts.join(whole, "cls", "left").withColumn("whole", F.coalesce("whole", F.lit(0).cast("long"))), F.col("tree")
-        rows = rows.select("node", "i", "j", "block", "cls", "label", "n", tree.alias("tree"))
+        rows = rows.select("node", "i", "j", "block", "cls", "n", tree.alias("tree"))
         rows = by_class(rows, lambda one: one.join(facts, "cls"))
         floor, threshold, percent = self.floor, self.threshold, round(self.threshold * 100)
 
