@@ -181,3 +181,32 @@ def test_the_passes_leave_nothing_behind(spark, monkeypatch):
     frame = spark.createDataFrame([(f"some words {i} awful", i % 2) for i in range(60)], "text string, label int")
     assert toxicity.fit(frame, passes=3)
     assert len(given_up) == 3 and spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
+def test_driver_collects_the_state_in_pieces(spark, monkeypatch):
+    """No result holds a row for every coordinate that was learned, and none holds all blocks of the state."""
+    from pyspark.sql import DataFrame
+
+    data = [(" ".join(f"w{random.Random(i).randrange(4000)}x{k}" for k in range(40)), i % 2) for i in range(200)]
+    frame = spark.createDataFrame(data, "text string, label int")
+    kind, sizes, streamed = type(frame), [], []
+    assert issubclass(kind, DataFrame)
+    for name, size in (("toArrow", lambda x: x.num_rows), ("toPandas", len), ("collect", len)):
+
+        def fetch(df, real=getattr(kind, name), size=size):
+            sizes.append(size(out := real(df)))
+            return out
+
+        monkeypatch.setattr(kind, name, fetch)
+
+    def iterate(df, *args, real=kind.toLocalIterator, **named):
+        for row in real(df, *args, **named):
+            streamed.append(len(row["z"]) + len(row["n"]))
+            yield row
+
+    monkeypatch.setattr(kind, "toLocalIterator", iterate)
+    assert toxicity.fit(frame, passes=2)
+    assert max(sizes, default=0) < 10
+    # Twice every block at most, each in a row of its own.
+    blocks = -(-((1 << toxicity.BITS) + 1) // toxicity.BLOCK)
+    assert 0 < len(streamed) <= 2 * blocks and max(streamed) <= 16 * toxicity.BLOCK

@@ -34,6 +34,8 @@ PARTS = 4
 PASSES = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0, 0.1
 BEGINNINGS = (4, 5, 7)
+BLOCK = 1 << 12  # coordinates that go together in a row
+MOVED = "block int, z binary, n binary"
 
 # ASCII letters and digits, and every byte of the other letters.
 _WORD = np.zeros(256, bool)
@@ -108,25 +110,28 @@ def fit(rows: DataFrame, max_rows: int = MAX_ROWS, passes: int = PASSES) -> dict
     parts = max(1, sample.select("part").distinct().count())
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for turn in range(passes):
-        # The state is bounded by the number of coordinates; only what the parts changed comes back, averaged in Spark.
+        # The state is bounded by the number of coordinates; only blocks that the parts changed come back, averaged in Spark
+        # and added where they belong, one partition after the other: the driver holds the state once and little beside it.
         state = context.broadcast((z, n) if turn else None)
-        moved = sample.mapInArrow(_trainer(turn, state), "slot long, z double, n double")
-        mean = moved.groupBy("slot").agg((F.sum("z") / parts).alias("z"), (F.sum("n") / parts).alias("n")).toArrow()
-        z, n = z.copy(), n.copy()
-        at = mean["slot"].to_numpy()
-        z[at] += mean["z"].to_numpy()
-        n[at] += mean["n"].to_numpy()
+        moved = sample.mapInArrow(_trainer(turn, state), f"part int, {MOVED}")
+        for mean in moved.groupBy("block").applyInArrow(_mean(parts), MOVED).toLocalIterator():
+            at = slice(mean["block"] * BLOCK, (mean["block"] + 1) * BLOCK)
+            z[at] += np.frombuffer(mean["z"])
+            n[at] += np.frombuffer(mean["n"])
         state.destroy()
     sample.unpersist()
-    at = np.flatnonzero(n)
-    w = weights_of(at, z[at], n[at])
-    return {int(k): float(x) for k, x in zip(at[w != 0], w[w != 0])}
+    weights: dict[int, float] = {}
+    for first in range(0, len(n), BLOCK):
+        at = first + np.flatnonzero(n[first : first + BLOCK])
+        w = weights_of(at, z[at], n[at])
+        weights.update(zip(at[w != 0].tolist(), w[w != 0].tolist()))
+    return weights
 
 
 def _trainer(turn: int, state):
-    """One pass over the parts of a partition, each from the shared state and in an order that changes with the pass; the changes they make."""
+    """One pass over the parts of a partition, each from the shared state and in an order that changes with the pass; the changes they make, by block."""
 
-    def train(rows: pa.Table) -> pa.RecordBatch:
+    def train(rows: pa.Table, part: int) -> pa.RecordBatch:
         order = np.argsort(mix(rows["key"].to_numpy().view(np.uint64) + np.uint64(turn)), kind="stable")
         rows = rows.take(pa.array(order))
         model = Ftrl()
@@ -140,8 +145,10 @@ def _trainer(turn: int, state):
                 own = np.append(slots[begin[i] : begin[i + 1]], 1 << BITS)
                 model.learn(own, int(label[row]))
                 row += 1
-        moved = np.flatnonzero((model.z != z) | (model.n != n))
-        return pa.RecordBatch.from_arrays([pa.array(moved), pa.array((model.z - z)[moved]), pa.array((model.n - n)[moved])], names=["slot", "z", "n"])
+        z, n = model.z - z, model.n - n
+        moved = np.unique(np.flatnonzero((z != 0) | (n != 0)) // BLOCK).tolist()
+        of = lambda x: pa.array([x[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in moved], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(moved), pa.int32()), pa.array(moved, pa.int32()), of(z), of(n)], names=["part", "block", "z", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [batch for batch in batches if batch.num_rows]
@@ -149,20 +156,26 @@ def _trainer(turn: int, state):
             table = pa.Table.from_batches(held)
             part = table["part"].to_numpy()
             for own in np.unique(part):
-                yield train(table.filter(pa.array(part == own)))
+                yield train(table.filter(pa.array(part == own)), int(own))
 
     return run
 
 
+def _mean(parts: int):
+    """The mean over all parts of the changes to a block; a part without a row did not change it."""
+
+    def mean(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        sums = [sum(np.frombuffer(x.as_buffer()) for x in rows[c]) / parts for c in ("z", "n")]
+        return pa.table({"block": rows["block"].slice(0, 1), "z": pa.array([sums[0].tobytes()], pa.binary()), "n": pa.array([sums[1].tobytes()], pa.binary())})
+
+    return mean
+
+
 def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> DataFrame:
     """``docs`` with ``score``, in place of a column of that name if there is one."""
-    dense = np.zeros((1 << BITS) + 1)
-    for at, w in weights.items():
-        dense[at] = w
-    if not weights:
-        dense[1 << BITS] = -1e3
-    used = np.flatnonzero(dense)
-    sent = docs.sparkSession.sparkContext.broadcast((used, dense[used]))
+    weights = weights or {1 << BITS: -1e3}
+    sent = docs.sparkSession.sparkContext.broadcast((np.array([*weights.keys()], np.int64), np.array([*weights.values()], float)))
     docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "score")).alias("row"), F.col(f"`{text}`").alias("text"))
     fields = f"row {docs.schema['row'].dataType.simpleString()}, score double"
 
