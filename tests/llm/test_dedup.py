@@ -260,3 +260,36 @@ def test_a_bitmap_takes_few_jobs_however_many_partitions(spark):
             spark.conf.set(k, v)
     hashes = np.array([r[0] for r in keys.collect()], np.int64).view(np.uint64)
     assert bitmap.has(hashes).all() and Bitmap.of(keys.limit(0)).bits.sum() == 0
+
+
+def test_intersections_of_a_block_take_little_memory():
+    """The 0/1 matrix of a block's sets is never there as a whole, and the sizes are those of the sets."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    hashes = [np.unique(rng.integers(0, 2**63, 250, dtype=np.uint64)) for _ in range(256)]
+    hashes = [np.unique(np.concatenate([h, hashes[k // 2][: k % 97]])) for k, h in enumerate(hashes)]
+    every = np.arange(256)
+    tracemalloc.start()
+    try:
+        found = minhash_dedup._intersections(hashes, every, every[::-1])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    sets = [set(h.tolist()) for h in hashes]
+    assert all(found[x, y] == len(sets[x] & sets[255 - y]) for x in range(0, 256, 5) for y in range(256))
+    assert peak < 48 << 20
+
+
+def test_arrow_batches_of_long_texts_are_small(spark):
+    """What goes to a Python worker at once follows neither the length of texts nor the number of rows."""
+    from tickloom.llm.store import prepare
+
+    docs = prepare(spark).range(1500, numPartitions=1).select(F.repeat(F.lit("long text "), 2000).alias("text"))
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    sizes = docs.mapInArrow(size, "n long, size long").collect()
+    assert sum(r["n"] for r in sizes) == 1500 and max(r["size"] for r in sizes) < 4 << 20

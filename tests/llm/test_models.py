@@ -210,3 +210,27 @@ def test_driver_collects_the_state_in_pieces(spark, monkeypatch):
     # Twice every block at most, each in a row of its own.
     blocks = -(-((1 << toxicity.BITS) + 1) // toxicity.BLOCK)
     assert 0 < len(streamed) <= 2 * blocks and max(streamed) <= 16 * toxicity.BLOCK
+
+
+def test_features_and_passes_take_little_memory():
+    """Features are found in short pieces, and a pass over a part has one copy of the state."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [" ".join(f"word{rng.randrange(5000)}" for _ in range(400)) for _ in range(600)]
+    state = tuple(np.ones((1 << toxicity.BITS) + 1) for _ in "zn")
+    rows = pa.RecordBatch.from_pydict({"key": list(range(600)), "label": [k % 2 for k in range(600)], "text": texts, "part": [0] * 600})
+    tracemalloc.start()
+    try:
+        assert sum(n for n, _, _ in toxicity.text_features(pa.array(texts))) == 600
+        features = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        (moved,) = toxicity._trainer(1, SimpleNamespace(value=state))(iter([rows]))
+        learned = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert moved.num_rows and features < 24 << 20 and learned < 48 << 20

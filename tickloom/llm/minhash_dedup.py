@@ -48,6 +48,7 @@ SMALL = 256
 BLOCK = 256
 MANY_PAIRS = 64  # candidates of a block from which all its sets are intersected at once
 MATRIX_CELLS = 1 << 25
+SLAB_CELLS = 1 << 21  # of that matrix at a time
 BLOCK_SHINGLES = 1 << 21  # of the members of a block together, about
 DEALS = 2  # times at most that members are dealt to blocks at random, twice over each time
 SIGMAS = 4.5  # a pair at the threshold agrees this far below its expectation once in 300,000 times
@@ -425,14 +426,20 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _intersections(hashes: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
-    """Sizes of the intersections of all pairs of sets as one product of 0/1 matrices, unless those would be large."""
+    """Sizes of the intersections of all pairs of sets as a product of 0/1 matrices, unless those would be large; some columns at a time."""
     place = np.unique(np.concatenate(hashes), return_inverse=True)[1]
     width = int(place.max(initial=-1)) + 1
     if len(hashes) * width > MATRIX_CELLS:
         return None
-    m = np.zeros((len(hashes), width), np.float32)
-    m[np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]), place] = 1
-    return m[left] @ m[right].T
+    row = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+    slab = max(1, SLAB_CELLS // len(hashes))
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, width, slab):
+        mine = (place >= low) & (place < low + slab)
+        m = np.zeros((len(hashes), min(slab, width - low)), np.float32)
+        m[row[mine], place[mine] - low] = 1
+        shared += m[left] @ m[right].T
+    return shared
 
 
 def _codes(column_: pa.ChunkedArray) -> np.ndarray:

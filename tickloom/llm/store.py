@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Arrow batches of long texts stay small in the Python workers.
+# Arrow batches of long texts stay small, in the Python workers and in the direct memory of the executors: both keep
+# what their largest batches took.
 ARROW = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
 }
 
 

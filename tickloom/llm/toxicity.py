@@ -73,8 +73,8 @@ def weights_of(at: np.ndarray, z: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Ftrl:
     """State of the learner: per coordinate the sums z and n; the last coordinate is the bias."""
 
-    def __init__(self):
-        self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    def __init__(self, z: np.ndarray | None = None, n: np.ndarray | None = None):
+        self.z, self.n = (np.zeros((1 << BITS) + 1) if x is None else x.copy() for x in (z, n))
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         return weights_of(at, self.z[at], self.n[at])
@@ -134,10 +134,8 @@ def _trainer(turn: int, state):
     def train(rows: pa.Table, part: int) -> pa.RecordBatch:
         order = np.argsort(mix(rows["key"].to_numpy().view(np.uint64) + np.uint64(turn)), kind="stable")
         rows = rows.take(pa.array(order))
-        model = Ftrl()
-        if state.value is not None:
-            model.z[:], model.n[:] = state.value
-        z, n = model.z.copy(), model.n.copy()
+        before = state.value or (None, None)
+        model = Ftrl(*before)
         label = rows["label"].to_numpy()
         row = 0
         for count, slots, begin in text_features(rows["text"].combine_chunks()):
@@ -145,10 +143,17 @@ def _trainer(turn: int, state):
                 own = np.append(slots[begin[i] : begin[i + 1]], 1 << BITS)
                 model.learn(own, int(label[row]))
                 row += 1
-        z, n = model.z - z, model.n - n
-        moved = np.unique(np.flatnonzero((z != 0) | (n != 0)) // BLOCK).tolist()
-        of = lambda x: pa.array([x[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in moved], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(moved), pa.int32()), pa.array(moved, pa.int32()), of(z), of(n)], names=["part", "block", "z", "n"])
+        # What changed is found block by block, beside one copy of the state.
+        moved, z, n = [], [], []
+        for k in range(-(-len(model.n) // BLOCK)):
+            at = slice(k * BLOCK, (k + 1) * BLOCK)
+            dz, dn = (x[at] if old is None else x[at] - old[at] for x, old in zip((model.z, model.n), before))
+            if dz.any() or dn.any():
+                moved.append(k), z.append(dz.tobytes()), n.append(dn.tobytes())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part] * len(moved), pa.int32()), pa.array(moved, pa.int32()), pa.array(z, pa.binary()), pa.array(n, pa.binary())],
+            names=["part", "block", "z", "n"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [batch for batch in batches if batch.num_rows]
