@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import words
 from tickloom.llm.decontam import Bitmap, find_contamination
+from tickloom.llm import embed_dedup
 from tickloom.llm.embed_dedup import near_vectors
 from tickloom.llm.graph import components
 from tickloom.llm import minhash_dedup
@@ -196,6 +197,29 @@ def test_wide_vectors_of_few_directions_lose_no_link(spark):
         assert got == {i: (int(degree[i]), int(low[i]), low[i] == i) for i in range(len(vectors))}
 
 
+def test_vectors_meet_without_a_shuffle_of_copies(spark, monkeypatch):
+    """Cells of several blocks, copies, and links at the threshold, in single precision: what disks hold grows with the vectors only."""
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(700, 8)).astype(np.float32)
+    vectors[500:600] = vectors[:100] * 2
+    vectors[600:] = vectors[0] + 0.05 * rng.normal(size=(100, 8))
+    vectors[:2, :] = 0
+    vectors[0, :2], vectors[1, :1] = (3, 4), 1
+    degree, low = _links(vectors / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True))
+    plans, kept = {}, embed_dedup.stored
+
+    def stored(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, name)
+
+    monkeypatch.setattr(embed_dedup, "stored", stored)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    frame = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(frame, cell=60).collect()}
+    assert got == {i: (int(degree[i]), int(low[i]), low[i] == i) for i in range(len(vectors))}
+    assert "Exchange" not in plans["found"] and "Generate" not in plans["found"]
+
+
 def test_vectors_of_several_lengths(spark):
     """Each length is compared with its own kind, however rare it is."""
     rng = np.random.default_rng(9)
