@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import assert_close, collect
+from conftest import assert_close, collect, walk
 from tickloom.config import FeatureConfig, TradeConfig
 from tickloom.operators.cross_asset import driver_features, pair_features
 from tickloom.operators.features import compute_features, volatility_percentile
@@ -18,7 +18,7 @@ from tickloom.operators.quality import gaps, price_jumps
 from tickloom.operators.signals import label_signals
 from tickloom.operators.trades import barrier_outcomes, equity_curve, grid_rank, open_positions_ordered
 from tickloom.plans.quantiles import quantiles
-from tickloom.plans.ranks import prefix_rank
+from tickloom.plans.ranks import above_so_far, prefix_rank
 from tickloom.plans.scan import running
 from tickloom.plans.slices import SLICE, slice_series
 
@@ -172,3 +172,37 @@ def test_bracketed_quantiles_equal_percentile(spark):
     assert left["k"].tolist() == right["k"].tolist()
     for x, y in zip(left["quantiles"], right["quantiles"]):
         np.testing.assert_allclose(x, y, atol=1e-12)
+
+
+def test_above_so_far_decides_block_by_block(spark):
+    """Blocks, ties of values and instants, a drift, NaN, nulls and a short series, against sorted prefixes."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k, n in (("a", 900), ("b", 7), ("c", 130)):
+        at = np.sort(rng.integers(0, 4 * n, n)) if k == "a" else np.arange(n)
+        x = rng.normal(size=n) + np.arange(n) / 300
+        x[rng.random(n) < 0.3] = 0.25
+        y = np.round(rng.normal(size=n), 1)
+        rows += [(k, int(t), float("nan") if i % 97 == 5 else float(v), None if i % 11 == 3 else float(w)) for i, (t, v, w) in enumerate(zip(at, x, y))]
+        rows.append((k, None, 1.0, 2.0))
+    want = []
+    for k in "abc":
+        for c in (2, 3):
+            own = sorted((r for r in rows if r[0] == k and r[1] is not None and r[c] is not None), key=lambda r: (r[1], -np.inf if np.isnan(r[c]) else r[c]))
+            for i, r in enumerate(own):
+                below = sum(s[c] < r[c] for s in own[:i])
+                want.append((k, r[1], c, bool(below > (i + 1) * 0.8 + 1e-9)))
+    frame = spark.createDataFrame(rows, "k string, t long, x double, y double")
+    for size in (40, 5000):
+        flags, repeated = above_so_far(frame, "k", "t", ["x", "y"], 0.8, rows_per_block=size)
+        got = [(r["k"], r["t"], c, r["xy"[c - 2]]) for r in flags.collect() for c in (2, 3) if r["xy"[c - 2]] is not None]
+        assert sorted(got) == sorted(want) and repeated
+    assert "Scan ExistingRDD" not in flags._jdf.queryExecution().toString()
+    assert not above_so_far(frame.where("k = 'c'"), "k", "t", ["x"], 0.8)[1]
+
+
+def test_expanding_flags_rank_all_columns_from_one_stored_table(spark):
+    bars = spark.createDataFrame(walk("A", 300, 5))
+    flagged = compute_features(bars, FeatureConfig(volatility_mode="expanding"), ["volatility_risk", "regime"]).select("symbol", "ts", "high_volatility_20", "high_volatility_50")
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" not in plan

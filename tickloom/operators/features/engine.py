@@ -22,7 +22,7 @@ from tickloom.operators.features.families import FAMILIES, documented_extras
 from tickloom.operators.features.family import Family
 from tickloom.plans.order_index import sliding_count
 from tickloom.plans.quantiles import quantiles
-from tickloom.plans.ranks import prefix_rank
+from tickloom.plans.ranks import above_so_far
 from tickloom.plans.slices import BORROWED, SLICE, slice_series
 from tickloom.plans.small import join_small
 
@@ -105,18 +105,23 @@ def _flag_high_volatility(
 
     ``full_sample`` takes the quantile over the whole history, so the flag looks
     ahead; it is one distributed aggregate, joined back on the symbol.
-    ``expanding`` uses the bars so far: a value exceeds the interpolated quantile
-    exactly when more than q * (m - 1) of the m values so far are smaller.
+    ``expanding`` uses the bars so far, for all columns in one pass over the values, which are computed once and stored.
     """
     names = [f"volatility_{n}" for n in cfg.volatility]
     q = cfg.volatility_quantile
     if cfg.volatility_mode == "expanding":
+        flags, repeated = above_so_far(df, KEY, TIME, names, q, rows_per_block=rows_per_slice)
+        if not repeated:
+            above = flags.select(KEY, TIME, *(F.col(name).alias(f"_above_{name}") for name in names))
+            df = df.join(above, [KEY, TIME], "left")
+            return df.withColumns({f"high_{name}": flag(F.col(f"_above_{name}")) for name in names}).drop(*(f"_above_{name}" for name in names))
+        # Bars of one instant meet each other's flags, and go into the next column's counts as often.
+        values = df.select(KEY, TIME, *names)
         for name in names:
-            known = df.where(F.col(name).isNotNull()).select(KEY, TIME, F.col(name).alias("_v"))
-            ranks = prefix_rank(known, [KEY], TIME, "_v", rows_per_slice=rows_per_slice)
-            above = F.col("below") > (F.col("seen") - 1) * F.lit(q) + F.lit(1e-9)
-            flags = ranks.select(KEY, TIME, above.alias("_above"))
-            df = df.join(flags, [KEY, TIME], "left").withColumn(f"high_{name}", flag(F.col("_above"))).drop("_above")
+            known = values.where(F.col(name).isNotNull()).select(KEY, TIME, name)
+            above = above_so_far(known, KEY, TIME, [name], q, rows_per_block=rows_per_slice)[0].withColumnRenamed(name, "_above")
+            df = df.join(above, [KEY, TIME], "left").withColumn(f"high_{name}", flag(F.col("_above"))).drop("_above")
+            values = values.join(above.select(KEY, TIME), [KEY, TIME], "left")
         return df
     if cfg.volatility_mode != "full_sample":
         raise ValueError(f"unknown volatility_mode {cfg.volatility_mode!r}")

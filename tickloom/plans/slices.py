@@ -86,6 +86,19 @@ def count_not_above(cuts: Column, pos: Column) -> Column:
     return F.aggregate(rounds, start, step, lambda state: state["lo"])
 
 
+def _with_place(df: DataFrame, name: str, pos: Column, rounds: int) -> DataFrame:
+    """Add how many of the sorted ``cuts`` are <= ``pos``: as :func:`count_not_above`, but one projection a round, which compiles."""
+    df = df.withColumn(name, F.lit(0))
+    for step in (1 << k for k in reversed(range(rounds))):
+        df = df.withColumn(name, F.col(name) + F.when(F.get("cuts", F.col(name) + (step - 1)) <= pos, step).otherwise(0))
+    return df
+
+
+def _rounds(cuts: DataFrame) -> int:
+    """Rounds of bisection for the longest ``cuts``."""
+    return (cuts.agg(F.max(F.size("cuts"))).first()[0] or 0).bit_length()
+
+
 def _slice_table(
     positions: DataFrame, keys: Sequence[str], step: int, rows: int, lookback: int, lookahead: int
 ) -> DataFrame:
@@ -94,10 +107,9 @@ def _slice_table(
     Holds at most about CUTS_PER_SLICE entries per slice; short keys have no row and are slice 0.
     """
     chosen = F.pmod(F.xxhash64(*keys, "_pos"), F.lit(step)) == 0
-    cuts = positions.where(chosen).groupBy(*keys).agg(F.sort_array(F.collect_set("_pos")).alias("cuts"))
+    cuts = durable(positions.where(chosen).groupBy(*keys).agg(F.sort_array(F.collect_set("_pos")).alias("cuts")))
     counted = (
-        positions.join(F.broadcast(cuts), list(keys), "left")
-        .withColumn("sub", count_not_above(F.col("cuts"), F.col("_pos")))
+        _with_place(positions.join(F.broadcast(cuts), list(keys), "left"), "sub", F.col("_pos"), _rounds(cuts))
         .groupBy(*keys, "sub")
         .agg(F.count("*").alias("n"))
     )
@@ -156,13 +168,11 @@ def slice_series(
     positions = df.select(*keys, position(df, order[0]).alias("_pos")).join(long_keys, list(keys), "left_semi")
     # Small and used by every later evaluation of the result, so computed once.
     table = durable(_slice_table(positions, keys, step, rows, lookback, lookahead))
-    sub = count_not_above(F.col("cuts"), F.col("_pos"))
     sliced = (
-        df.withColumn("_pos", position(df, order[0]))
-        .join(F.broadcast(table), list(keys), "left")
-        .withColumn("_span", F.get("spans", sub - F.col("base")))
+        _with_place(df.withColumn("_pos", position(df, order[0])).join(F.broadcast(table), list(keys), "left"), "_sub", F.col("_pos"), _rounds(table))
+        .withColumn("_span", F.get("spans", F.col("_sub") - F.col("base")))
         .withColumn(SLICE, F.explode(F.sequence(F.coalesce("_span.first", F.lit(0)), F.coalesce("_span.last", F.lit(0)))))
         .withColumn(BORROWED, F.col(SLICE) != F.coalesce("_span.slice", F.lit(0)))
-        .drop("_pos", "cuts", "spans", "base", "_span")
+        .drop("_pos", "_sub", "cuts", "spans", "base", "_span")
     )
     return Series(sliced, keys, order, True)
